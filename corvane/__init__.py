@@ -1,3 +1,10 @@
 """Corvane: application catalogs to utterance corpora, retrieval and scoring, on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so that nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

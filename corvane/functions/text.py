@@ -24,8 +24,7 @@ def lstrip_chars(text: Column, chars: str) -> Column:
 
 def words(text: Column) -> Column:
     """Words between runs of whitespace; empty array for blank text."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
+    return F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
 
 
 def word_count(text: Column) -> Column:
@@ -56,20 +55,33 @@ def is_trigger(command: Column) -> Column:
     return command_part(command, -1).isin(TRIGGERS)
 
 
-def render_template(operation: Column, app: Column, obj: Column, on_unknown: str = "null") -> Column:
-    """Utterance of an operation; unknown operations give null or, with ``on_unknown='raise'``, an error."""
-    expr = None
-    for name, template in TEMPLATES.items():
-        head, rest = template.split("{app}")
-        middle, tail = rest.split("{object}")
-        value = F.concat(F.lit(head), app, F.lit(middle), obj, F.lit(tail))
-        cond = operation == name
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    if on_unknown == "raise":
-        return expr.otherwise(F.raise_error(F.concat(F.lit("no template for operation "), operation)))
+def _by_operation(operation: Column, values: dict[str, str]) -> Column:
+    expr = F
+    for name, value in values.items():
+        expr = expr.when(operation == name, F.lit(value))
     return expr
 
 
+def render_template(
+    operation: Column, app: Column, obj: Column, lowered: Column | None = None, on_unknown: str = "null"
+) -> Column:
+    """Utterance of an operation; unknown operations give null or, with ``on_unknown='raise'``, an error.
+
+    ``lowered`` tells for each row whether the names are put in lower case.
+    """
+    parts = {name: template.partition("{app} {object}") for name, template in TEMPLATES.items()}
+    names = F.concat(app, F.lit(" "), obj)
+    if lowered is not None:
+        names = F.when(lowered, F.lower(names)).otherwise(names)
+    head = _by_operation(operation, {name: part[0] for name, part in parts.items()})
+    tail = _by_operation(operation, {name: part[2] for name, part in parts.items()})
+    text = F.concat(head, names, tail)
+    if on_unknown == "raise":
+        problem = F.raise_error(F.concat(F.lit("no template for operation "), operation))
+        return F.when(operation.isin(list(TEMPLATES)), text).otherwise(problem)
+    return text
+
+
 def trigger_phrase(text: Column, compat: bool = False, specifies: bool = False) -> Column:
     """Turn a trigger description into the opening clause of a request.
 

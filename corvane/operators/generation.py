@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,54 +20,45 @@ from corvane.functions.text import (
     trigger_phrase,
     word_count,
 )
-from corvane.operators.grouping import objects_with_names
 from corvane.operators.lemma import Lemmatiser, lemmatise_first
 from corvane.operators.sampling import (
-    sample_descriptions,
+    draw_descriptions,
+    group_table,
+    number_draws,
     sampled_pairs,
     sampled_triples,
     shuffle_rows,
 )
-from corvane.operators.skew import tiled_pairs
+from corvane.operators.skew import cut_lineage, first_row, tiled_pairs
 from corvane.vocab import FUZZY_THRESHOLD, PER_TRIGGER_APP
 
-SAMPLE = ["utterances", "commands", "app_list", "type"]
-TEXT = ["command", "description"]
+# --- Descriptions ------------------------------------------------------------------------------------
 
 
-# --- Descriptions ------------------------------------------------------------------------------------
+NAMES = ["app", "object", "op", "app_display_name", "object_display_name"]
 
 
-def stack_descriptions(commands: DataFrame, seed: str | None = "caps") -> DataFrame:
-    """Up to four descriptions per command: 1 its description, 2 its display name, 3 the template with names,
+def description_array(seed: str | None) -> Column:
+    """Array of (source, description) of a command: 1 its description, 2 its display name, 3 the template with names,
     4 the template with display names. With a seed, half of the templates are filled with lower-cased names."""
 
     def filled(source: int, app: str, obj: str) -> Column:
-        names = [F.col(app), F.col(obj)]
-        if seed is not None:
-            low = unit(seed, "command", F.lit(source)) < F.lit(0.5)
-            names = [F.when(low, F.lower(n)).otherwise(n) for n in names]
-        return render_template(F.col("op"), *names)
-
-    texts = F.array(
-        F.struct(F.lit(1).alias("source"), F.col("description").alias("text")),
-        F.struct(F.lit(2).alias("source"), F.col("operation_display_name").alias("text")),
-        F.struct(F.lit(3).alias("source"), filled(3, "app", "object").alias("text")),
-        F.struct(F.lit(4).alias("source"), filled(4, "app_display_name", "object_display_name").alias("text")),
-    )
-    rows = commands.select(
-        "command", "app", "object", "op", "app_display_name", "object_display_name", F.explode(texts).alias("t")
-    )
-    return rows.select(
-        "command",
-        F.col("t.source").alias("source"),
-        F.col("t.text").alias("description"),
-        "app",
-        "object",
-        "op",
-        "app_display_name",
-        "object_display_name",
-    )
+        lowered = None if seed is None else unit(seed, "command", F.lit(source)) < F.lit(0.5)
+        return render_template(F.col("op"), F.col(app), F.col(obj), lowered)
+
+    values = [
+        F.col("description"),
+        F.col("operation_display_name"),
+        filled(3, "app", "object"),
+        filled(4, "app_display_name", "object_display_name"),
+    ]
+    return F.array(*[F.struct(F.lit(i).alias("source"), v.alias("description")) for i, v in enumerate(values, 1)])
+
+
+def stack_descriptions(commands: DataFrame, seed: str | None = "caps") -> DataFrame:
+    """Up to four descriptions per command, one row each."""
+    rows = commands.select("command", *NAMES, F.explode(description_array(seed)).alias("t"))
+    return rows.select("command", F.col("t.source").alias("source"), F.col("t.description").alias("description"), *NAMES)
 
 
 def with_parts(df: DataFrame) -> DataFrame:
@@ -85,83 +77,132 @@ def min_words(df: DataFrame, column: str = "description", n: int = 2) -> DataFra
     return df.where(word_count(F.col(column)) >= n)
 
 
+def complete_commands(commands: DataFrame) -> DataFrame:
+    return commands.na.drop(
+        subset=["command", "description", "app_display_name", "object_display_name", "operation_display_name"]
+    )
+
+
 def utterances(commands: DataFrame, seed: str | None = "caps", words: int = 2) -> DataFrame:
     """Descriptions of all complete commands, with the columns the samplers use."""
-    complete = commands.na.drop(
-        "any", ["command", "description", "app_display_name", "object_display_name", "operation_display_name"]
-    )
-    rows = min_words(stack_descriptions(complete, seed), n=words)
+    rows = min_words(stack_descriptions(complete_commands(commands), seed), n=words)
     return rows.withColumn("app_list", F.array("app"))
 
 
+def packed_utterances(commands: DataFrame, seed: str | None = "caps", words: int = 2) -> DataFrame:
+    """The same with one row per command and its descriptions as the array ``texts``; commands without any are gone."""
+    kept = F.filter(description_array(seed), lambda t: word_count(t["description"]) >= words)
+    rows = complete_commands(commands).select("command", *NAMES, kept.alias("texts"))
+    return rows.where(F.size("texts") > 0)
+
+
 def mentions_app(rows: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """Fuzzy score of the application name in the description, and whether it passes the threshold."""
     name, text = F.lower(command_part(F.col("command"), 1)), F.lower(F.col("description"))
     usable = (F.trim(F.col("command")) != "") & (F.trim(F.col("description")) != "")
-    scored = rows.withColumn("app_score", partial_ratio(text, name))
+    scored = rows.withColumn("app_score", partial_ratio(name, text))
     flag = F.coalesce(usable, F.lit(False)) & F.coalesce(F.col("app_score") > threshold, F.lit(False))
     return scored.withColumn("mentions", flag)
 
 
 # --- Samples -------------------------------------------------------------------------------------------
+#
+# A sample type works on ``Draws``: the drawn descriptions of all its streams, numbered within their application.
+
+STREAMS = {1: ["1"], 2: ["2"], 3: ["3/pair", "3/third"], 4: ["4/pair", "4/third"], 5: ["5"]}
+
+
+@dataclass(frozen=True)
+class Draws:
+    """Numbered draws ``(stream, role, app, idx, ...)`` and the table of their applications."""
+
+    rows: DataFrame
+    apps: DataFrame
+    seed: str
+
+
+def draw(packed: DataFrame, verbs: Lemmatiser, seed: str, types: Sequence[int]) -> Draws:
+    """Draws for the given sample types. Both tables are small against the catalog times the samples that refer to
+    them, and are kept, so that no sample repeats the work."""
+    streams = [s for t in types for s in STREAMS.get(t, [])]
+    parts = []
+    if streams:
+        drawn = draw_descriptions(packed, seed, streams)
+        role = F.when(
+            F.col("stream") == "5", F.when(F.col("op") == "RETRIEVEALL", "trigger").when(F.col("op") == "CREATE", "action")
+        ).otherwise(F.when(is_trigger(F.col("command")), "trigger").otherwise("action"))
+        parts.append(lemmatise_first(drawn.withColumn("role", role), "description", "verb_text", verbs))
+    if 6 in types:
+        objects = packed_objects(packed).withColumns(
+            {
+                "stream": F.lit("6"),
+                "role": F.lit("object"),
+                "command": F.col("objects"),
+                "source": F.lit(0),
+                "op": F.lit(None).cast("string"),
+                "description": F.lit(None).cast("string"),
+                "verb_text": F.lit(None).cast("string"),
+            }
+        )
+        parts.append(objects.drop("objects"))
+    columns = ["stream", "role", "app", "command", "source", "object", "app_display_name", "object_display_name", "description", "verb_text"]
+    rows = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).where(F.col("role").isNotNull())
+    numbered = cut_lineage(number_draws(rows, "app"))
+    return Draws(numbered, cut_lineage(group_table(numbered, "app")), seed)
+
+
+def packed_objects(packed: DataFrame) -> DataFrame:
+    """Distinct objects with the display names of their first command."""
+    names = first_row(
+        packed.select("app", "object", "app_display_name", "object_display_name", "command"), ["app", "object"], [F.col("command")]
+    )
+    return names.select(
+        F.concat_ws(".", "app", "object").alias("objects"), "app", "object", "app_display_name", "object_display_name"
+    )
 
 
-def triggers_of(df: DataFrame) -> DataFrame:
-    return df.where(is_trigger(F.col("command")))
-
-
-def actions_of(df: DataFrame) -> DataFrame:
-    return df.where(~is_trigger(F.col("command")))
+def samples_type1(draws: Draws) -> DataFrame:
+    """Single command."""
+    rows = draws.rows.where(F.col("stream") == "1")
+    return rows.select(
+        F.col("description").alias("utterances"),
+        F.col("command").alias("commands"),
+        F.array("app").alias("app_list"),
+        F.lit(1).alias("type"),
+    )
 
 
-def _with_verbs(actions: DataFrame, verbs: Lemmatiser) -> DataFrame:
-    return lemmatise_first(actions, "description", "verb_text", verbs)
+def _pairs(draws: Draws, stream: str, roles: tuple[str, str] = ("trigger", "action")) -> DataFrame:
+    columns = ["command", "description", "verb_text", "object", "app_display_name", "object_display_name"]
+    return sampled_pairs(draws.rows, draws.apps, "app", stream, roles, f"{draws.seed}/{stream}", columns)
 
 
-def samples_type1(utt: DataFrame, seed: str) -> DataFrame:
-    """Single command."""
-    rows = sample_descriptions(utt, seed + "/1")
-    return rows.select(
-        F.col("description").alias("utterances"), F.col("command").alias("commands"), "app_list", F.lit(1).alias("type")
-    )
+def _opening() -> Column:
+    return F.concat(trigger_phrase(F.col("description_t")), F.lit(", "), rstrip_chars(F.col("verb_text_a"), "."))
 
 
-def samples_type2(utt: DataFrame, verbs: Lemmatiser, seed: str) -> DataFrame:
+def samples_type2(draws: Draws) -> DataFrame:
     """Trigger, then action: one per pair of applications."""
-    drawn = sample_descriptions(utt, seed + "/2")
-    actions = _with_verbs(actions_of(drawn), verbs)
-    triggers = triggers_of(drawn).withColumn("verb_text", F.lit(None).cast("string"))
-    rows = sampled_pairs(triggers, actions, "app", seed + "/2", TEXT + ["verb_text"])
-    text = F.concat(trigger_phrase(F.col("description_t")), F.lit(", "), rstrip_chars(F.col("verb_text_a"), "."))
-    return rows.select(
-        text.alias("utterances"),
+    return _pairs(draws, "2").select(
+        _opening().alias("utterances"),
         F.concat_ws("\n", "command_t", "command_a").alias("commands"),
         F.array("app_t", "app_a").alias("app_list"),
         F.lit(2).alias("type"),
     )
 
 
-def _triples(utt: DataFrame, verbs: Lemmatiser, seed: str, cap: int) -> DataFrame:
-    pair_draw = sample_descriptions(utt, seed + "/pair")
-    third_draw = sample_descriptions(utt, seed + "/third")
-    triggers = triggers_of(pair_draw).withColumn("verb_text", F.lit(None).cast("string"))
+def _triples(draws: Draws, number: int, cap: int) -> DataFrame:
+    streams = (f"{number}/pair", f"{number}/third")
+    columns = ["command", "description", "verb_text"]
     return sampled_triples(
-        triggers,
-        _with_verbs(actions_of(pair_draw), verbs),
-        _with_verbs(actions_of(third_draw), verbs),
-        "app",
-        seed,
-        cap,
-        TEXT + ["verb_text"],
+        draws.rows, draws.apps, "app", streams, ("trigger", "action"), f"{draws.seed}/{number}", cap, columns
     )
 
 
-def samples_type3(utt: DataFrame, verbs: Lemmatiser, seed: str, cap: int = PER_TRIGGER_APP) -> DataFrame:
+def samples_type3(draws: Draws, cap: int = PER_TRIGGER_APP) -> DataFrame:
     """Trigger, then two actions; at most ``cap`` per trigger application."""
-    rows = _triples(utt, verbs, seed + "/3", cap)
-    opening = F.concat(trigger_phrase(F.col("description_t")), F.lit(", "), rstrip_chars(F.col("verb_text_a"), "."))
-    return rows.select(
-        F.concat(rstrip_chars(opening, "."), F.lit(" and "), F.col("verb_text_b")).alias("utterances"),
+    return _triples(draws, 3, cap).select(
+        F.concat(rstrip_chars(_opening(), "."), F.lit(" and "), F.col("verb_text_b")).alias("utterances"),
         F.concat_ws("\n", "command_t", "command_a", "command_b").alias("commands"),
         F.array("app_t", "app_a", "app_b").alias("app_list"),
         F.lit(3).alias("type"),
@@ -185,12 +226,9 @@ def if_else_text(u: Column, condition: str) -> Column:
     return choice(u, [if_last, action_first, if_first], [1 / 3, 2 / 3])
 
 
-def samples_type4(
-    utt: DataFrame, verbs: Lemmatiser, seed: str, condition: str = "CONDITION", cap: int = PER_TRIGGER_APP
-) -> DataFrame:
+def samples_type4(draws: Draws, condition: str = "CONDITION", cap: int = PER_TRIGGER_APP) -> DataFrame:
     """Trigger, then one action or another."""
-    rows = _triples(utt, verbs, seed + "/4", cap)
-    u = unit(seed + "/4/text", "command_t", "command_a", "command_b")
+    u = unit(f"{draws.seed}/4/text", "command_t", "command_a", "command_b")
     program = F.concat(
         F.col("command_t"),
         F.lit(f"\nif {condition.replace(' ', '_')}:\n\t"),
@@ -198,7 +236,7 @@ def samples_type4(
         F.lit("\nelse:\n\t"),
         F.col("command_b"),
     )
-    return rows.select(
+    return _triples(draws, 4, cap).select(
         if_else_text(u, condition).alias("utterances"),
         program.alias("commands"),
         F.array("app_t", "app_a", "app_b").alias("app_list"),
@@ -206,13 +244,9 @@ def samples_type4(
     )
 
 
-def samples_type5(utt: DataFrame, verbs: Lemmatiser, nouns: Lemmatiser, seed: str) -> DataFrame:
+def samples_type5(draws: Draws, nouns: Lemmatiser) -> DataFrame:
     """For each object retrieved from one application, create one in another."""
-    drawn = sample_descriptions(utt, seed + "/5")
-    retrieve = drawn.where(F.col("op") == "RETRIEVEALL").withColumn("verb_text", F.lit(None).cast("string"))
-    create = _with_verbs(drawn.where(F.col("op") == "CREATE"), verbs)
-    rows = sampled_pairs(retrieve, create, "app", seed + "/5", ["command", "object", "verb_text"])
-    rows = nouns.add(rows, F.lower("object_t"), "noun")
+    rows = nouns.add(_pairs(draws, "5"), F.lower("object_t"), "noun")
     text = F.concat(
         F.lit("For each "), F.col("app_t"), F.lit(" "), F.col("noun"), F.lit(", "), rstrip_chars(F.col("verb_text_a"), ".")
     )
@@ -230,17 +264,10 @@ def plural(name: Column) -> Column:
     return F.concat(F.lower(rstrip_chars(name, "s")), F.lit("s"))
 
 
-def object_pairs(objects: DataFrame, seed: str, same_app: bool = True) -> DataFrame:
-    """One uniform object pair per pair of applications (an application may meet itself)."""
-    columns = ["objects", "app_display_name", "object_display_name"]
-    rows = objects.withColumn("command", F.col("objects")).withColumn("source", F.lit(0))
-    pairs = sampled_pairs(rows, rows, "app", seed, columns)
-    return pairs if same_app else pairs.where(F.col("app_t") != F.col("app_a"))
-
-
-def samples_type6(objects: DataFrame, seed: str, same_app: bool = True) -> DataFrame:
-    """Keep new objects of one application in step with those of another."""
-    rows = object_pairs(objects, seed + "/6", same_app)
+def samples_type6(draws: Draws, same_app: bool = True) -> DataFrame:
+    """Keep new objects of one application in step with those of another (an application may meet itself)."""
+    rows = _pairs(draws, "6", ("object", "object"))
+    rows = rows if same_app else rows.where(F.col("app_t") != F.col("app_a"))
     text = F.concat(
         F.lit("Sync new "),
         F.col("app_display_name_t"),
@@ -252,7 +279,7 @@ def samples_type6(objects: DataFrame, seed: str, same_app: bool = True) -> DataF
         plural(F.col("object_display_name_a")),
     )
     program = F.concat(
-        F.col("objects_t"), F.lit(".CREATED\n"), F.col("objects_t"), F.lit(".RETRIEVEALL\n"), F.col("objects_a"), F.lit(".CREATE")
+        F.col("command_t"), F.lit(".CREATED\n"), F.col("command_t"), F.lit(".RETRIEVEALL\n"), F.col("command_a"), F.lit(".CREATE")
     )
     return rows.select(
         text.alias("utterances"),
@@ -300,28 +327,26 @@ def samples_type8(objects: DataFrame) -> DataFrame:
     return _transfer(same_object_pairs(objects), [8])
 
 
-def samples_transfer(objects: DataFrame) -> DataFrame:
-    """Types 7 and 8 from one pass over the pairs."""
-    return _transfer(same_object_pairs(objects), [7, 8])
-
-
 def sample_corpus(
-    utt: DataFrame, verbs: Lemmatiser, nouns: Lemmatiser, seed: str = "0", types: Sequence[int] = tuple(range(1, 9))
+    commands: DataFrame, verbs: Lemmatiser, nouns: Lemmatiser, seed: str = "0", types: Sequence[int] = tuple(range(1, 9))
 ) -> DataFrame:
     """All requested sample types in one frame ``(utterances, commands, app_list, type)``."""
-    objects = objects_with_names(utt)
-    builders = {
-        1: lambda: samples_type1(utt, seed),
-        2: lambda: samples_type2(utt, verbs, seed),
-        3: lambda: samples_type3(utt, verbs, seed),
-        4: lambda: samples_type4(utt, verbs, seed),
-        5: lambda: samples_type5(utt, verbs, nouns, seed),
-        6: lambda: samples_type6(objects, seed),
-    }
-    parts = [builders[t]() for t in types if t in builders]
+    packed = packed_utterances(commands, f"{seed}/caps")
+    parts = []
+    if any(t <= 6 for t in types):
+        draws = draw(packed, verbs, seed, types)
+        builders = {
+            1: samples_type1,
+            2: samples_type2,
+            3: samples_type3,
+            4: samples_type4,
+            5: lambda d: samples_type5(d, nouns),
+            6: samples_type6,
+        }
+        parts = [builders[t](draws) for t in types if t in builders]
     transfer = [t for t in types if t in (7, 8)]
     if transfer:
-        parts.append(_transfer(same_object_pairs(objects), transfer))
+        parts.append(_transfer(same_object_pairs(packed_objects(packed)), transfer))
     return reduce(DataFrame.unionByName, parts)
 
 

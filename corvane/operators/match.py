@@ -6,11 +6,11 @@ element and adds its weighted distance to the score of its parent. Scores are di
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators.knn import rank_hits, tiled_topk
-from corvane.operators.skew import first_row
+from corvane.operators.skew import cut_lineage, first_row
 from corvane.vocab import (
     ANY_KIND,
     MATCH_TOP,
@@ -36,79 +36,68 @@ def rewrite_requests(requests: DataFrame) -> DataFrame:
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
     """Closest row of each element."""
-    columns = ["query_id", "element_id", "distance", "parent_id"]
-    return first_row(hits.select(*columns), ["query_id", "element_id"], [F.col("distance")])
+    return first_row(hits.drop("item_id", "rank"), ["query_id", "element_id"], [F.col("distance")])
 
 
-def _level(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, dedupe_first: bool) -> DataFrame:
-    """Hits ``(query_id, element_id, parent_id, distance)`` of one level.
+def _level(
+    asked: DataFrame, vectors: DataFrame, keys: list[str], k: int, weight: float, dedupe_first: bool
+) -> DataFrame:
+    """Hits ``(query_id, element_id, score, owner, grand_owner)`` of one level.
 
-    The cut to ``k`` counts description rows, so that fewer than ``k`` elements may remain; with ``dedupe_first`` it
-    counts elements.
+    ``asked`` is ``(keys..., query_id, query_vec, above, owner, grand_owner)``: what the hits inherit travels with the
+    request. The cut to ``k`` counts description rows, so that fewer than ``k`` elements may remain; with
+    ``dedupe_first`` it counts elements.
     """
     row = "element_id" if dedupe_first else "vec_id"
-    c = vectors.select(
-        *keys, F.col(row).alias("item_id"), F.col("embedding").alias("item_vec"), "element_id", "parent_id"
-    )
-    hits = tiled_topk(queries, c, k, keys, ["element_id", "parent_id"], collapse=dedupe_first)
-    return dedupe_hits(rank_hits(hits, k))
-
-
-def _score(distance: Column, weight: float) -> Column:
-    return F.lit(weight) * F.greatest(distance, F.lit(0.0))
-
-
-def _kind_key(kind: Column) -> Column:
-    return F.coalesce(kind, F.lit(ANY_KIND))
+    c = vectors.select(*keys, F.col(row).alias("item_id"), F.col("embedding").alias("item_vec"), "element_id")
+    carry = ["element_id", "above", "owner", "grand_owner"]
+    hits = dedupe_hits(rank_hits(tiled_topk(asked, c, k, keys, carry, collapse=dedupe_first), k))
+    score = F.col("above") + F.lit(weight) * F.greatest("distance", F.lit(0.0))
+    return hits.select("query_id", "element_id", score.alias("score"), "owner", "grand_owner")
 
 
 def match_apps(requests: DataFrame, vectors: DataFrame, n: int = MATCH_TOP, dedupe_first: bool = False) -> DataFrame:
-    """Application hits ``(query_id, element_id, score)``."""
-    q = requests.select(F.col("request_id").alias("query_id"), F.col("app_vec").alias("query_vec"), F.lit(0).alias("level"))
-    c = vectors.where(F.col("typename") == TAG_APP).withColumn("level", F.lit(0))
-    hits = _level(q, c, ["level"], n, dedupe_first)
-    return hits.select("query_id", "element_id", _score(F.col("distance"), WEIGHT_APP).alias("score"))
+    """Application hits ``(query_id, element_id, score, ...)``."""
+    asked = requests.select(
+        F.lit(0).alias("level"),
+        F.col("request_id").alias("query_id"),
+        F.col("app_vec").alias("query_vec"),
+        F.lit(0.0).alias("above"),
+        F.lit(-1).cast("bigint").alias("owner"),
+        F.lit(-1).cast("bigint").alias("grand_owner"),
+    )
+    apps = vectors.where(F.col("typename") == TAG_APP).withColumn("level", F.lit(0))
+    return _level(asked, apps, ["level"], n, WEIGHT_APP, dedupe_first)
 
 
 def _children(
-    requests: DataFrame,
-    parents: DataFrame,
-    vectors: DataFrame,
-    vec: str,
-    tag: str,
-    k: int,
-    weight: float,
-    dedupe_first: bool,
+    requests: DataFrame, parents: DataFrame, vectors: DataFrame, vec: str, tag: str, k: int, weight: float, dedupe_first: bool
 ) -> DataFrame:
-    q = requests.select(
-        F.col("request_id").alias("query_id"), F.col(vec).alias("query_vec"), _kind_key(F.col("kind")).alias("kind_key")
-    )
-    above = parents.select("query_id", F.col("element_id").alias("parent_key"))
-    asked = q.join(above, "query_id", "inner")
+    above = parents.select("query_id", F.col("element_id").alias("parent_key"), F.col("score").alias("above"), F.col("owner").alias("grand_owner"))
+    asked = requests.select(
+        F.col("request_id").alias("query_id"),
+        F.col(vec).alias("query_vec"),
+        F.coalesce("kind", F.lit(ANY_KIND)).alias("kind_key"),
+    ).join(above, "query_id", "inner")
+    asked = asked.withColumn("owner", F.col("parent_key"))
     # A candidate is listed under each of its kinds and under "any", so that the kind filter is part of the join key.
-    kinds = F.explode(F.array_distinct(F.concat(F.coalesce("op_types", F.array().cast("array<string>")), F.array(F.lit(ANY_KIND)))))
-    c = vectors.where(F.col("typename") == tag).withColumns({"parent_key": F.col("parent_id"), "kind_key": kinds})
-    hits = _level(asked, c, ["parent_key", "kind_key"], k, dedupe_first)
-    scored = hits.join(
-        parents.select("query_id", F.col("element_id").alias("parent_id"), F.col("score").alias("above")),
-        ["query_id", "parent_id"],
-        "inner",
-    )
-    total = F.col("above") + _score(F.col("distance"), weight)
-    return scored.select("query_id", "element_id", "parent_id", total.alias("score"))
+    own = F.coalesce("op_types", F.array().cast("array<string>"))
+    kinds = F.explode(F.array_distinct(F.concat(own, F.array(F.lit(ANY_KIND)))))
+    candidates = vectors.where(F.col("typename") == tag).withColumns({"parent_key": F.col("parent_id"), "kind_key": kinds})
+    return _level(asked, candidates, ["parent_key", "kind_key"], k, weight, dedupe_first)
 
 
 def match_objects(
     requests: DataFrame, app_hits: DataFrame, vectors: DataFrame, n: int = MATCH_TOP, dedupe_first: bool = False
 ) -> DataFrame:
-    """Object hits under the matched applications."""
+    """Object hits under the matched applications (``owner``)."""
     return _children(requests, app_hits, vectors, "object_vec", TAG_OBJECT, n * n, WEIGHT_OBJECT, dedupe_first)
 
 
 def match_ops(
     requests: DataFrame, object_hits: DataFrame, vectors: DataFrame, n: int = MATCH_TOP, dedupe_first: bool = False
 ) -> DataFrame:
-    """Operation hits under the matched objects."""
+    """Operation hits under the matched objects (``owner``) of applications (``grand_owner``)."""
     return _children(requests, object_hits, vectors, "op_vec", TAG_OPERATION, 4 * n * n, WEIGHT_OPERATION, dedupe_first)
 
 
@@ -127,16 +116,15 @@ def match_records(
     """
     if product is not None:
         vectors = vectors.where(F.array_contains("products", product))
-    app_hits = match_apps(requests, vectors, n, dedupe_first)
-    object_hits = match_objects(requests, app_hits, vectors, n, dedupe_first)
+    # Hits are n (and n * n) short rows per request; each level is needed by the sizes and by the tiles of the next.
+    app_hits = cut_lineage(match_apps(requests, vectors, n, dedupe_first))
+    object_hits = cut_lineage(match_objects(requests, app_hits, vectors, n, dedupe_first))
     op_hits = match_ops(requests, object_hits, vectors, n, dedupe_first)
-    top = rank_hits(op_hits, n, order=("score", "element_id"))
-    owners = object_hits.select("query_id", F.col("element_id").alias("parent_id"), F.col("parent_id").alias("app_id"))
-    rows = top.join(owners, ["query_id", "parent_id"], "inner").select(
+    rows = rank_hits(op_hits, n, order=("score", "element_id")).select(
         F.col("query_id").alias("request_id"),
         "rank",
-        "app_id",
-        F.col("parent_id").alias("object_id"),
+        F.col("grand_owner").alias("app_id"),
+        F.col("owner").alias("object_id"),
         F.col("element_id").alias("op_id"),
         "score",
     )

@@ -29,22 +29,57 @@ def sample_fraction(df: DataFrame, fraction: float, seed: str, row_key: Sequence
     return df.where(unit(seed, *row_key) < F.lit(float(fraction)))
 
 
-def sample_descriptions(utterances: DataFrame, seed: str) -> DataFrame:
+def _first_score(seed: str, stream: Column, command: Column, source: Column, text: Column) -> Column:
+    u = unit(seed + "/first", stream, command, source)
+    return gumbel_score(word_count(text).cast("double"), u)
+
+
+def _second_score(seed: str, stream: Column, command: Column, source: Column, text: Column) -> Column:
+    u = unit(seed + "/second", stream, command, source)
+    return gumbel_score(F.log(word_count(text).cast("double")), u)
+
+
+def _second_wanted(seed: str, stream: Column, command: Column) -> Column:
+    return unit(seed + "/fraction", stream, command) < F.lit(SECOND_PICK_FRACTION)
+
+
+def sample_descriptions(utterances: DataFrame, seed: str, stream: str = "1") -> DataFrame:
     """Length-weighted draw of the descriptions of each command.
 
     Every command gives one row (weight exp(number of words)); one command in ten gives a second row drawn from its
-    remaining descriptions (weight number of words). Which commands these are depends on the command alone, so only their rows
-    enter the second aggregation.
+    remaining descriptions (weight number of words). Which commands these are depends on the command alone, so only
+    their rows enter the second aggregation. Different streams are independent draws.
     """
-    n_words = word_count(F.col("description")).cast("double")
-    first = weighted_pick(utterances, ["command"], n_words, seed + "/first")
-    wanted = unit(seed + "/fraction", "command") < F.lit(SECOND_PICK_FRACTION)
+    key = (seed, F.lit(stream), F.col("command"), F.col("source"), F.col("description"))
+    first = first_row(utterances, ["command"], [-_first_score(*key)])
+    wanted = _second_wanted(*key[:3])
     taken = first.where(wanted).select("command", F.col("source").alias("__taken"))
     rest = utterances.where(wanted).join(taken, "command", "inner").where(F.col("source") != F.col("__taken"))
-    second = weighted_pick(rest.drop("__taken"), ["command"], F.log(n_words), seed + "/second")
+    second = first_row(rest.drop("__taken"), ["command"], [-_second_score(*key)])
     return first.unionByName(second)
 
 
+def draw_descriptions(packed: DataFrame, seed: str, streams: Sequence[str]) -> DataFrame:
+    """The draws of ``sample_descriptions`` for several streams from commands that carry their descriptions as an
+    array ``texts`` of (source, description): a projection, nothing is shuffled."""
+    rows = packed.withColumn("stream", F.explode(F.array(*[F.lit(s) for s in streams])))
+
+    def best(texts: Column, score) -> Column:
+        def scored(t: Column) -> Column:
+            value = -score(seed, F.col("stream"), F.col("command"), t["source"], t["description"])
+            return F.struct(value.alias("score"), t["source"].alias("source"), t["description"].alias("description"))
+
+        return F.array_min(F.transform(texts, scored))
+
+    first = rows.withColumn("__first", best(F.col("texts"), _first_score))
+    rest = F.filter("texts", lambda t: t["source"] != F.col("__first.source"))
+    wanted = _second_wanted(seed, F.col("stream"), F.col("command"))
+    second = F.when(wanted & (F.size("texts") > 1), best(rest, _second_score))
+    both = first.withColumn("__pick", F.explode(F.array_compact(F.array(F.col("__first"), second))))
+    keep = [c for c in packed.columns if c != "texts"]
+    return both.select("stream", *keep, F.col("__pick.source").alias("source"), F.col("__pick.description").alias("description"))
+
+
 def pick_per(df: DataFrame, by: Sequence[str], seed: str, row_key: Sequence[str]) -> DataFrame:
     """One uniform row per group."""
     return first_row(df, by, [key_digest(seed, *row_key)])
@@ -94,56 +129,64 @@ def shuffle_rows(df: DataFrame, seed: str, row_key: Sequence[str]) -> DataFrame:
 
 
 # --- One row per combination of groups, without building the product of the rows -----------------
+#
+# Rows come as numbered draws ``(stream, role, group, idx, ...)``; ``group_table`` lists their groups.
 
+ROLE = ["stream", "role"]
 
-def group_sizes(df: DataFrame, group: str, name: str) -> DataFrame:
-    """(group, row count, group number) for every group."""
-    sizes = df.groupBy(F.col(group).alias(name)).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    return number_rows(sizes, [], F.md5(F.col(name)), ties=[name], out=f"g_{name}")
 
+def number_draws(draws: DataFrame, group: str) -> DataFrame:
+    """Draws with their number ``idx`` within (stream, role, group)."""
+    digest = key_digest("order", "command", "source")
+    return number_rows(draws, [*ROLE, group], digest, ties=["command", "source"])
 
-def combine_groups(left: DataFrame, right: DataFrame, g: str, n_groups: Column) -> DataFrame:
-    """Every left row with every right group, as an equi-join on the group number ``g``."""
-    return left.withColumn(g, F.explode(F.sequence(F.lit(0).cast("bigint"), n_groups - 1))).join(right, g, "inner")
 
+def group_table(numbered: DataFrame, group: str) -> DataFrame:
+    """``(stream, role, group, n, g, n_groups)``: size and number of each group, number of groups."""
+    sizes = numbered.groupBy(*ROLE, group).agg(F.count(F.lit(1)).alias("n"))
+    return number_rows(sizes, ROLE, F.md5(group), ties=[group], out="g", total="n_groups")
 
-def member(df: DataFrame, group: str, suffix: str, columns: Sequence[str]) -> DataFrame:
-    """Rows numbered within their group, columns suffixed: ``(group_<suffix>, i_<suffix>, ...)``."""
-    digest = key_digest("order", "command", "source")
-    numbered = number_rows(df, [group], digest, ties=["command", "source"], out="__i")
-    return numbered.select(
+
+def _groups(groups: DataFrame, group: str, stream: str, role: str, suffix: str) -> DataFrame:
+    rows = groups.where((F.col("stream") == stream) & (F.col("role") == role))
+    return rows.select(
         F.col(group).alias(f"{group}_{suffix}"),
-        F.col("__i").alias(f"i_{suffix}"),
+        F.col("n").alias(f"n_{suffix}"),
+        F.col("g").alias(f"g_{suffix}"),
+        F.col("n_groups").alias(f"groups_{suffix}"),
+    )
+
+
+def _member(numbered: DataFrame, group: str, stream: str, role: str, suffix: str, columns: Sequence[str]) -> DataFrame:
+    rows = numbered.where((F.col("stream") == stream) & (F.col("role") == role))
+    return rows.select(
+        F.col(group).alias(f"{group}_{suffix}"),
+        F.col("idx").alias(f"i_{suffix}"),
         *[F.col(c).alias(f"{c}_{suffix}") for c in columns],
     )
 
 
-def pair_keys(left: DataFrame, right: DataFrame, group: str, seed: str) -> DataFrame:
-    """For each (left group, right group) one uniform index into either side.
+def sampled_pairs(
+    numbered: DataFrame, groups: DataFrame, group: str, stream: str, roles: tuple[str, str], seed: str, columns: Sequence[str]
+) -> DataFrame:
+    """One uniform (left, right) row pair per pair of groups; columns get the suffixes ``_t`` and ``_a``.
 
     A uniform row of L_a x R_b is a uniform row of L_a next to an independent uniform row of R_b, so only the group
     pairs are formed, and those are the result.
     """
     a, b = f"{group}_t", f"{group}_a"
-    l_sizes = group_sizes(left, group, a)
-    r_sizes = group_sizes(right, group, b)
-    n_right = r_sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pairs = combine_groups(l_sizes, r_sizes, f"g_{b}", n_right)
-    return pairs.select(
+    left, right = (_groups(groups, group, stream, role, x) for role, x in zip(roles, ("t", "a")))
+    # Every left group lists the numbers of all right groups; the right side joins on its number.
+    count = right.select("groups_a").limit(1).scalar()
+    listed = left.withColumn("__n", count).withColumn("g_a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+    keys = listed.join(right, "g_a", "inner").select(
         a,
         b,
-        uniform_index(f"n_{a}", seed + "/left", a, b).alias("i_t"),
-        uniform_index(f"n_{b}", seed + "/right", a, b).alias("i_a"),
+        uniform_index("n_t", seed + "/left", a, b).alias("i_t"),
+        uniform_index("n_a", seed + "/right", a, b).alias("i_a"),
     )
-
-
-def sampled_pairs(
-    left: DataFrame, right: DataFrame, group: str, seed: str, columns: Sequence[str]
-) -> DataFrame:
-    """One uniform (left, right) row pair per pair of groups; columns get the suffixes ``_t`` and ``_a``."""
-    keys = pair_keys(left, right, group, seed)
-    with_left = keys.join(member(left, group, "t", columns), [f"{group}_t", "i_t"], "inner")
-    return with_left.join(member(right, group, "a", columns), [f"{group}_a", "i_a"], "inner").drop("i_t", "i_a")
+    out = keys.join(_member(numbered, group, stream, roles[0], "t", columns), [a, "i_t"], "inner")
+    return out.join(_member(numbered, group, stream, roles[1], "a", columns), [b, "i_a"], "inner").drop("i_t", "i_a")
 
 
 def capped_combinations(n_groups: Column, cap: int, seed: str, key: Column) -> Column:
@@ -163,12 +206,12 @@ def capped_combinations(n_groups: Column, cap: int, seed: str, key: Column) -> C
         ),
         lambda s: s["p"],
     )
+    fine = F.lit(1048576.0)  # a second draw refines the first one, so that large spaces are covered evenly
     drawn = F.array_distinct(
         F.transform(
             F.sequence(F.lit(0).cast("bigint"), F.lit(4 * cap - 1).cast("bigint")),
             lambda k: F.floor(
-                (unit(seed + "/high", key, k) + F.floor(unit(seed + "/low", key, k) * F.lit(1048576.0)))
-                / F.lit(1048576.0) * space
+                (F.floor(unit(seed + "/coarse", key, k) * fine) + unit(seed + "/fine", key, k)) / fine * space
             ).cast("bigint"),
         )
     )
@@ -176,40 +219,38 @@ def capped_combinations(n_groups: Column, cap: int, seed: str, key: Column) -> C
 
 
 def sampled_triples(
-    pairs_left: DataFrame,
-    pairs_right: DataFrame,
-    third: DataFrame,
+    numbered: DataFrame,
+    groups: DataFrame,
     group: str,
+    streams: tuple[str, str],
+    roles: tuple[str, str],
     seed: str,
     cap: int,
     columns: Sequence[str],
 ) -> DataFrame:
     """One uniform row per (left, right, third) group triple, at most ``cap`` triples per left group.
 
-    The capped set of (right, third) groups is drawn first, so that text is only joined to surviving triples.
-    The (left, right) draw is the one of ``sampled_pairs``: it does not depend on the third group.
+    The pair comes from the first stream, the third row from the second stream in the role of the right one. The
+    capped set of (right, third) groups is drawn first, so that text is only joined to surviving triples. The
+    (left, right) draw does not depend on the third group.
     """
     a, b, c = f"{group}_t", f"{group}_a", f"{group}_b"
-    l_sizes = group_sizes(pairs_left, group, a)
-    r_sizes = group_sizes(pairs_right, group, b)
-    t_sizes = group_sizes(third, group, c)
-    # Both action sides hold the same groups: each is a draw with at least one row per command.
-    n_right = r_sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    combos = l_sizes.withColumn(
-        "__p", F.explode(capped_combinations(n_right, cap, seed + "/cap", F.col(a)))
-    )
-    located = combos.withColumn(f"g_{b}", F.floor(F.col("__p") / n_right).cast("bigint")).withColumn(
-        f"g_{c}", F.col("__p") % n_right
-    )
-    keyed = located.join(r_sizes, f"g_{b}", "inner").join(t_sizes, f"g_{c}", "inner")
-    indexed = keyed.select(
+    left = _groups(groups, group, streams[0], roles[0], "t")
+    right = _groups(groups, group, streams[0], roles[1], "a")
+    third = _groups(groups, group, streams[1], roles[1], "b")
+    # Every command appears in every stream, so the right and the third side have the same groups.
+    count = right.select("groups_a").limit(1).scalar()
+    counted = left.withColumn("__n", count).withColumn("__p", F.explode(capped_combinations(F.col("__n"), cap, seed + "/cap", F.col(a))))
+    located = counted.withColumns({"g_a": F.floor(F.col("__p") / F.col("__n")).cast("bigint"), "g_b": F.col("__p") % F.col("__n")})
+    keys = located.join(right, "g_a", "inner").join(third, "g_b", "inner").select(
         a,
         b,
         c,
-        uniform_index(f"n_{a}", seed + "/left", a, b).alias("i_t"),
-        uniform_index(f"n_{b}", seed + "/right", a, b).alias("i_a"),
-        uniform_index(f"n_{c}", seed + "/third", a, b, c).alias("i_b"),
+        uniform_index("n_t", seed + "/left", a, b).alias("i_t"),
+        uniform_index("n_a", seed + "/right", a, b).alias("i_a"),
+        uniform_index("n_b", seed + "/third", a, b, c).alias("i_b"),
     )
-    out = indexed.join(member(pairs_left, group, "t", columns), [a, "i_t"], "inner")
-    out = out.join(member(pairs_right, group, "a", columns), [b, "i_a"], "inner")
-    return out.join(member(third, group, "b", columns), [c, "i_b"], "inner").drop("i_t", "i_a", "i_b")
+    out = keys.join(_member(numbered, group, streams[0], roles[0], "t", columns), [a, "i_t"], "inner")
+    out = out.join(_member(numbered, group, streams[0], roles[1], "a", columns), [b, "i_a"], "inner")
+    out = out.join(_member(numbered, group, streams[1], roles[1], "b", columns), [c, "i_b"], "inner")
+    return out.drop("i_t", "i_a", "i_b")

@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that the session names; a lost executor costs no recomputation.
+
+    Without a folder a session on one machine gets a temporary one; on a cluster it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="corvane-")
+        if folder is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def first_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
     """First (or last) row of each group by ``order``; ties fall to the smallest (largest) row."""
     rest = [c for c in df.columns if c not in by]
@@ -43,22 +60,24 @@ def number_rows(
 ) -> DataFrame:
     """Zero-based number of each row in its group, ordered by ``digest`` and then ``ties``.
 
-    Group columns must not be null. The leading ``prefix`` hex digits of the digest cut a group into up to ``16**prefix`` slices. Only the
-    slice counts meet in one window, and they are bounded by ``16**prefix`` per group.
+    Group columns must not be null. The leading ``prefix`` hex digits of the digest cut a group into up to
+    ``16**prefix`` slices, which are numbered on their own. Only the slice sizes meet in one window, and they are
+    bounded by ``16**prefix`` per group. Rows and slice sizes come from the same shuffle.
     """
     by = list(by)
-    cut = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, prefix))
     keys = by + ["__slice"]
-    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    cut = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, prefix))
+    inner = W.partitionBy(*keys).orderBy("__digest", *ties)
+    whole = inner.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranked = cut.withColumns({"__rank": F.row_number().over(inner), "__n": F.count(F.lit(1)).over(whole)})
+    slices = ranked.where(F.col("__rank") == 1).select(*keys, "__n")
     # One group only: the window has no key, and at most 16**prefix rows.
-    scope = W.partitionBy(*[F.col(c) for c in by]) if by else W.partitionBy(F.lit(0))
+    scope = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     running = scope.orderBy("__slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = counts.withColumn("__before", F.sum("__n").over(running) - F.col("__n"))
+    offsets = slices.withColumn("__before", F.sum("__n").over(running) - F.col("__n"))
     if total:
         offsets = offsets.withColumn(total, F.sum("__n").over(scope))
-    inner = W.partitionBy(*[F.col(c) for c in keys]).orderBy("__digest", *ties)
-    ranked = cut.withColumn("__rank", F.row_number().over(inner))
-    joined = ranked.join(offsets.drop("__n"), keys, "inner")
+    joined = ranked.drop("__n").join(offsets.drop("__n"), keys, "inner")
     return joined.withColumn(out, (F.col("__before") + F.col("__rank") - 1).cast("bigint")).drop(
         "__digest", "__slice", "__before", "__rank"
     )

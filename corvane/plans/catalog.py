@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.operators import catalog as c
 from corvane.operators import embed, evalsets, generation
@@ -27,11 +28,16 @@ class Catalog:
 
     @classmethod
     def from_records(
-        cls, records: DataFrame, summaries: DataFrame, schemas: DataFrame, products: DataFrame | None = None, patch: bool = True
+        cls, records: DataFrame, listings: DataFrame, schemas: DataFrame, products: DataFrame | None = None, patch: bool = True
     ) -> Catalog:
-        """Catalog of ``(app, pos, record)``, ``(app, object, pos, summary)`` and ``(app, object, doc)``."""
-        listed = records.join(summaries.select("app").distinct(), "app", "left_semi")
-        apps = c.build_apps(listed, products)
+        """Catalog of ``(app, pos, record)``, listing documents ``(app, doc)`` and schemas ``(app, object, doc)``.
+
+        Error documents are left out, and so are applications without a good listing.
+        """
+        good, _ = c.quarantine_listings(listings)
+        summaries = c.explode_objects(good)
+        schemas, _ = c.quarantine_schemas(schemas)
+        apps = c.build_apps(records.join(good.select("app"), "app", "left_semi"), products)
         objects, orphans = c.build_objects(summaries, schemas, apps, patch)
         operations = c.build_operations(objects)
         return cls(apps, c.rollup_kinds(objects, operations), operations, orphans)
@@ -49,7 +55,7 @@ class Catalog:
         configure(spark)
         return cls.from_records(
             files.read_apps(spark, f"{directory}/applications.json", apps),
-            files.read_objects(spark, f"{directory}/application_objects", apps),
+            files.read_listings(spark, f"{directory}/application_objects", apps),
             files.read_schemas(spark, f"{directory}/object_schemas", apps),
             read_products(spark, products) if products else None,
             patch,
@@ -81,7 +87,8 @@ class Catalog:
 
     def description_vectors(self, encoder: str | Callable = "hash", dim: int = 256) -> DataFrame:
         """Vectors of all descriptions with the attributes of their elements."""
-        vectors = embed.embed_distinct(self.descriptions, "description", encoder, dim=dim)
+        rows = self.descriptions.withColumn("vec_id", F.xxhash64("full_name", "description"))
+        vectors = embed.embed_distinct(rows, "description", encoder, dim=dim)
         return embed.with_attributes(vectors.drop("typename"), self.elements.drop("parent_name"))
 
     def utterances(self, seed: str | None = "caps") -> DataFrame:
@@ -115,5 +122,4 @@ class Catalog:
 def sample_corpus(commands: DataFrame, seed: str = "0", types: Sequence[int] = tuple(range(1, 9))) -> DataFrame:
     """Corpus of the chosen sample types for a table of commands."""
     spark = commands.sparkSession
-    utt = generation.utterances(commands, f"{seed}/caps")
-    return generation.sample_corpus(utt, verb_lemmatiser(spark), noun_lemmatiser(spark), seed, types)
+    return generation.sample_corpus(commands, verb_lemmatiser(spark), noun_lemmatiser(spark), seed, types)

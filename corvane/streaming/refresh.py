@@ -14,7 +14,7 @@ def is_stale(modified: Column, now: Column, timeout: float | None) -> Column:
     """Missing, or older than ``timeout`` seconds."""
     if timeout is None:
         return modified.isNull()
-    age = F.unix_micros(now) - F.unix_micros(modified)
+    age = F.timestamp_diff("MICROSECOND", modified, now)
     return modified.isNull() | (age > F.lit(int(timeout * 1_000_000)))
 
 
