@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 _CELLS = 4_000_000  # cells of the pair x character matrix worked on at a time
 
@@ -53,7 +54,7 @@ def _lcs_batch(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _indel_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         ok = (a.notna() & b.notna()).to_numpy()
@@ -84,7 +85,7 @@ def best_window_ratio(short: str, long: str) -> int:
     return int(np.floor(100.0 * best + 0.5))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _partial_ratios_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, names in batches:
         seen: dict[tuple[str, str], int] = {}

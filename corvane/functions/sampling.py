@@ -8,30 +8,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _as_column(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def _sql(value: str) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _digest_sql(seed: str, names: Sequence[str]) -> str:
+    keys = ", ".join(f"cast({name} as string)" for name in names)
+    return f"md5(concat_ws('|', {_sql(seed)}, {keys}))"
+
+
+def _unit_sql(digest: str) -> str:
+    return f"((cast(conv(substring({digest}, 1, 8), 16, 10) as bigint) + 0.5D) / 4294967296.0D)"
 
 
 def key_digest(seed: str, *keys: Column | str) -> Column:
     """Hex digest of the seed and the key columns, nulls skipped."""
-    parts = [F.lit(str(seed)), *[_as_column(k).cast("string") for k in keys]]
+    if all(isinstance(k, str) for k in keys):
+        return F.expr(_digest_sql(seed, keys))
+    parts = [F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]]
     return F.md5(F.concat_ws("|", *parts))
 
 
-def digest_unit(digest: Column) -> Column:
-    """Number in (0, 1) from the first eight hex digits of a digest."""
-    head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+def unit(seed: str, *keys: Column | str) -> Column:
+    """Uniform number in (0, 1) for a row key, from the first eight hex digits of its digest."""
+    if all(isinstance(k, str) for k in keys):
+        return F.expr(_unit_sql(_digest_sql(seed, keys)))
+    head = F.conv(F.substring(key_digest(seed, *keys), 1, 8), 16, 10).cast("bigint")
     return (head + F.lit(0.5)) / F.lit(4294967296.0)
 
 
-def unit(seed: str, *keys: Column | str) -> Column:
-    """Uniform number in (0, 1) for a row key."""
-    return digest_unit(key_digest(seed, *keys))
+def uniform_index(n: str, seed: str, *keys: str) -> Column:
+    """Uniform index in 0 .. n-1 for a row key."""
+    return F.expr(f"cast(floor({_unit_sql(_digest_sql(seed, keys))} * {n}) as bigint)")
 
 
-def uniform_index(n: Column | str, seed: str, *keys: Column | str) -> Column:
-    """Uniform index in 0 .. n-1 for a row key."""
-    return F.floor(unit(seed, *keys) * _as_column(n)).cast("bigint")
+def below_sql(share: float, seed: str, *keys: str) -> str:
+    """SQL condition that holds for a share of the row keys."""
+    return f"({_unit_sql(_digest_sql(seed, keys))} < {float(share)}D)"
 
 
 def gumbel_score(log_weight: Column, u: Column) -> Column:

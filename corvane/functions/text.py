@@ -55,60 +55,47 @@ def is_trigger(command: Column) -> Column:
     return command_part(command, -1).isin(TRIGGERS)
 
 
-def _by_operation(operation: Column, values: dict[str, str]) -> Column:
-    expr = F
-    for name, value in values.items():
-        expr = expr.when(operation == name, F.lit(value))
-    return expr
+def render_template(operation: str, app: str, obj: str, lowered: str = "false", on_unknown: str = "null") -> Column:
+    """Utterance of an operation from columns (or SQL expressions) for its name and the names it is filled with.
 
-
-def render_template(
-    operation: Column, app: Column, obj: Column, lowered: Column | None = None, on_unknown: str = "null"
-) -> Column:
-    """Utterance of an operation; unknown operations give null or, with ``on_unknown='raise'``, an error.
-
-    ``lowered`` tells for each row whether the names are put in lower case.
+    ``lowered`` is a condition that puts the names of a row in lower case. Unknown operations give null or, with
+    ``on_unknown='raise'``, an error.
     """
     parts = {name: template.partition("{app} {object}") for name, template in TEMPLATES.items()}
-    names = F.concat(app, F.lit(" "), obj)
-    if lowered is not None:
-        names = F.when(lowered, F.lower(names)).otherwise(names)
-    head = _by_operation(operation, {name: part[0] for name, part in parts.items()})
-    tail = _by_operation(operation, {name: part[2] for name, part in parts.items()})
-    text = F.concat(head, names, tail)
-    if on_unknown == "raise":
-        problem = F.raise_error(F.concat(F.lit("no template for operation "), operation))
-        return F.when(operation.isin(list(TEMPLATES)), text).otherwise(problem)
-    return text
-
-
-def trigger_phrase(text: Column, compat: bool = False, specifies: bool = False) -> Column:
+    names = f"concat({app}, ' ', {obj})"
+    head = " ".join(f"WHEN '{name}' THEN '{part[0]}'" for name, part in parts.items())
+    tail = " ".join(f"WHEN '{name}' THEN '{part[2]}'" for name, part in parts.items())
+    other = f"ELSE raise_error(concat('no template for operation ', {operation}))" if on_unknown == "raise" else ""
+    return F.expr(
+        f"concat(CASE {operation} {head} {other} END, CASE WHEN {lowered} THEN lower({names}) ELSE {names} END, "
+        f"CASE {operation} {tail} END)"
+    )
+
+
+def _capitalized(x: str) -> str:
+    return f"concat(upper(substring({x}, 1, 1)), lower(substring({x}, 2)))"
+
+
+def trigger_phrase(column: str, compat: bool = False, specifies: bool = False) -> Column:
     """Turn a trigger description into the opening clause of a request.
 
     ``compat`` strips the leading *characters* of the prefix instead of the prefix itself;
     ``specifies`` adds the branch used by the evaluation sets.
     """
 
-    def after(prefix: str) -> Column:
-        if compat:
-            return lstrip_chars(text, prefix)
-        return F.substring(text, F.lit(len(prefix) + 1), F.length(text))
-
-    when_rest = after("Triggers when")
-    if not compat:
-        when_rest = F.ltrim(when_rest)
-    lowered = rstrip_chars(F.lower(text), ".")
-    expr = F.when(
-        text.startswith("Triggers when"),
-        capitalize(F.concat(F.lit("When "), rstrip_chars(when_rest, "."))),
-    )
+    def after(prefix: str) -> str:
+        return f"ltrim('{prefix}', {column})" if compat else f"substring({column}, {len(prefix) + 1})"
+
+    rest = after("Triggers when") if compat else f"ltrim({after('Triggers when')})"
+    when = _capitalized(f"concat('When ', rtrim('.', {rest}))")
+    extra = ""
     if specifies:
-        expr = expr.when(
-            text.startswith("Specifies"),
-            capitalize(F.concat(F.lit("For"), rstrip_chars(after("Specifies"), "."))),
-        )
-    return expr.when(text.endswith("s"), F.concat(F.lit("For "), lowered)).otherwise(
-        F.concat(F.lit("For a "), lowered)
+        phrase = _capitalized(f"concat('For', rtrim('.', {after('Specifies')}))")
+        extra = f"WHEN startswith({column}, 'Specifies') THEN {phrase} "
+    lowered = f"rtrim('.', lower({column}))"
+    return F.expr(
+        f"CASE WHEN startswith({column}, 'Triggers when') THEN {when} {extra}"
+        f"WHEN endswith({column}, 's') THEN concat('For ', {lowered}) ELSE concat('For a ', {lowered}) END"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import operation_kind
 from corvane.functions.variant import explode_variant, has_key, is_array, resolve_path, vget
-from corvane.operators.skew import number_rows
+from corvane.operators.skew import cut_lineage, number_rows
 from corvane.vocab import (
     ACTIONS,
     DUMMY_APPS,
@@ -286,7 +286,7 @@ def elements(apps: DataFrame, objects: DataFrame, operations: DataFrame) -> Data
         "products",
     )
     rows = a.unionByName(o).unionByName(p)
-    numbered = number_rows(rows, [], F.md5("full_name"), ties=["full_name"], out="element_id")
+    numbered = cut_lineage(number_rows(rows, [], F.md5("full_name"), ties=["full_name"], out="element_id"))
     parents = numbered.where(F.col("typename") != TAG_OPERATION).select(
         F.col("full_name").alias("parent_name"), F.col("element_id").alias("parent_id")
     )

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.sampling import key_digest, uniform_index
 from corvane.functions.text import is_trigger, rest_words, rstrip_chars, trigger_phrase
 from corvane.operators.grouping import last_per, single_object_apps, unique_objects
 from corvane.operators.lemma import Lemmatiser, lemmatise_first
 from corvane.operators.sampling import pick_n, pick_per, resample, resample_per, zip_frames
+from corvane.operators.skew import cut_lineage, number_rows
 from corvane.vocab import EVAL_ACTIONS_PER_APP, EVAL_COMPOSED, EVAL_OBJECTS
 
 
@@ -85,7 +87,9 @@ def eval_composed(
     seed: str = "0",
 ) -> DataFrame:
     """Three-command samples extended by a random action."""
-    base = resample(all_apps_named(samples), n, seed + "/samples", ["commands", "utterances"])
+    # Both pools are drawn from by position, which reads them more than once.
+    named = cut_lineage(all_apps_named(samples).select("utterances", "commands"))
+    base = resample(named, n, seed + "/samples", ["commands", "utterances"])
     actions = lemmatise_first(mentions(commands, "actions"), "description", "action_text", verbs)
     pool = resample_per(
         actions.select("app_display_name", "command", "action_text"),
@@ -95,7 +99,7 @@ def eval_composed(
         ["command"],
         out="pool_draw",
     )
-    extra = resample(pool, n, seed + "/actions", ["app_display_name", "pool_draw"])
+    extra = resample(cut_lineage(pool), n, seed + "/actions", ["app_display_name", "pool_draw"])
     rows = zip_frames(base.select("draw", "utterances", "commands"), extra.select("draw", "command", "action_text"))
     shorter = rstrip_chars(F.replace("utterances", F.lit(" and "), F.lit(", ")), ".")
     return rows.select(
@@ -106,16 +110,14 @@ def eval_composed(
 
 def eval_trigger_composed(samples: DataFrame, commands: DataFrame, seed: str = "0") -> DataFrame:
     """Three-command samples preceded by a random trigger (one draw per sample)."""
-    from corvane.functions.sampling import key_digest, uniform_index
-    from corvane.operators.skew import number_rows
-
     base = all_apps_named(samples).select("utterances", "commands")
-    triggers = mentions(commands, "triggers").select("command", "description")
+    triggers = cut_lineage(mentions(commands, "triggers").select("command", "description"))
     numbered = number_rows(triggers, [], key_digest("order", "command"), ties=["command"], out="__idx")
     total = triggers.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = base.withColumn("__idx", uniform_index(total, seed + "/trigger", "commands", "utterances"))
-    rows = draws.join(numbered, "__idx", "inner")
-    opening = trigger_phrase(F.col("description"), specifies=True)
+    sized = base.withColumn("__n", total)
+    draws = sized.withColumn("__idx", uniform_index("__n", seed + "/trigger", "commands", "utterances"))
+    rows = draws.drop("__n").join(numbered, "__idx", "inner")
+    opening = trigger_phrase("description", specifies=True)
     return rows.select(
         F.concat(opening, F.lit(" and "), rest_words(F.col("utterances"))).alias("utterances"),
         F.concat_ws("\n", "command", "commands").alias("commands"),

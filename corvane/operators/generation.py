@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.fuzzy import partial_ratio
-from corvane.functions.sampling import choice, unit
+from corvane.functions.sampling import below_sql, choice, unit
 from corvane.functions.text import (
     capitalize,
     command_part,
@@ -43,8 +43,8 @@ def description_array(seed: str | None) -> Column:
     4 the template with display names. With a seed, half of the templates are filled with lower-cased names."""
 
     def filled(source: int, app: str, obj: str) -> Column:
-        lowered = None if seed is None else unit(seed, "command", F.lit(source)) < F.lit(0.5)
-        return render_template(F.col("op"), F.col(app), F.col(obj), lowered)
+        lowered = "false" if seed is None else below_sql(0.5, seed, "command", str(source))
+        return render_template("op", app, obj, lowered)
 
     values = [
         F.col("description"),
@@ -178,7 +178,7 @@ def _pairs(draws: Draws, stream: str, roles: tuple[str, str] = ("trigger", "acti
 
 
 def _opening() -> Column:
-    return F.concat(trigger_phrase(F.col("description_t")), F.lit(", "), rstrip_chars(F.col("verb_text_a"), "."))
+    return F.concat(trigger_phrase("description_t"), F.lit(", "), rstrip_chars(F.col("verb_text_a"), "."))
 
 
 def samples_type2(draws: Draws) -> DataFrame:
@@ -211,7 +211,7 @@ def samples_type3(draws: Draws, cap: int = PER_TRIGGER_APP) -> DataFrame:
 
 def if_else_text(u: Column, condition: str) -> Column:
     """One of three phrasings of a conditional flow."""
-    trigger = trigger_phrase(F.col("description_t"))
+    trigger = trigger_phrase("description_t")
     low = {s: rstrip_chars(F.lower(F.col(f"description_{s}")), ".") for s in ("a", "b")}
     verb = {s: rstrip_chars(F.col(f"verb_text_{s}"), ".") for s in ("a", "b")}
     if_last = F.concat(trigger, F.lit(", "), verb["a"], F.lit(f" if {condition}, else "), verb["b"])

@@ -102,7 +102,6 @@ def tiled_topk(
     several rows; with ``collapse`` it counts once, at the distance of its nearest row.
     """
     keys = list(keys)
-    grid = _blocks(queries, keys, "__qn", tile).join(_blocks(corpus, keys, "__cn", tile), keys, "inner")
 
     def own_block(column: str, n: str) -> Column:
         return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
@@ -110,8 +109,15 @@ def tiled_topk(
     def all_blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    q = queries.join(grid, keys, "inner").withColumn("__qb", own_block("query_id", "__qn")).withColumn("__cb", all_blocks("__cn"))
-    c = corpus.join(grid, keys, "inner").withColumn("__cb", own_block("item_id", "__cn")).withColumn("__qb", all_blocks("__qn"))
+    if keys:
+        grid = _blocks(queries, keys, "__qn", tile).join(_blocks(corpus, keys, "__cn", tile), keys, "inner")
+        q, c = queries.join(grid, keys, "inner"), corpus.join(grid, keys, "inner")
+    else:
+        # One group: its two sizes are scalars, nothing is joined.
+        sizes = {"__qn": _blocks(queries, [], "__qn", tile).scalar(), "__cn": _blocks(corpus, [], "__cn", tile).scalar()}
+        q, c = queries.withColumns(sizes), corpus.withColumns(sizes)
+    q = q.withColumn("__qb", own_block("query_id", "__qn")).withColumn("__cb", all_blocks("__cn"))
+    c = c.withColumn("__cb", own_block("item_id", "__cn")).withColumn("__qb", all_blocks("__qn"))
     q, c = q.drop("__qn", "__cn"), c.drop("__qn", "__cn")
     cell = [*keys, "__qb", "__cb"]
     names = list(carry)
@@ -183,8 +189,6 @@ def knn(
         local = q.limit(few + 1).toPandas()
         if len(local) <= few:
             return rank_hits(streamed_topk(local, c, k, _schema(q, c, ())), k)
-    if not keys:
-        q, c, keys = q.withColumn("__all", F.lit(0)), c.withColumn("__all", F.lit(0)), ["__all"]
     return rank_hits(tiled_topk(q, c, k, keys, tile=tile), k)
 
 

@@ -33,21 +33,13 @@ class Lemmatiser:
         else:
             dictionary = spark.createDataFrame([(w,) for w in lemmas], "lemma string")
             small = len(lemmas) <= BROADCAST_WORDS
-        own = F.struct(F.lit(1).alias("rank"), F.col("lemma").alias("surface"))
         derived = [
-            F.when(
-                F.col("lemma").endswith(dictionary_end),
-                F.struct(
-                    F.lit(1).alias("rank"),
-                    F.concat(
-                        F.expr(f"left(lemma, length(lemma) - {len(dictionary_end)})"), F.lit(surface_end)
-                    ).alias("surface"),
-                ),
-            )
-            for surface_end, dictionary_end in rules
+            f"CASE WHEN endswith(lemma, '{end}') THEN concat(left(lemma, length(lemma) - {len(end)}), '{surface}') END"
+            for surface, end in rules
         ]
-        forms = dictionary.select("lemma", F.explode(F.array_compact(F.array(own, *derived))).alias("f"))
-        forms = forms.select(F.col("f.surface").alias("surface"), "lemma", F.col("f.rank").alias("rank"))
+        forms = dictionary.selectExpr(
+            f"explode(array_compact(array(lemma, {', '.join(derived)}))) AS surface", "lemma", "1 AS rank"
+        )
         if exceptions:
             extra = spark.createDataFrame([(s, l, 0) for s, l in exceptions], "surface string, lemma string, rank int")
             forms = forms.unionByName(extra)

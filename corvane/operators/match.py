@@ -59,15 +59,14 @@ def _level(
 def match_apps(requests: DataFrame, vectors: DataFrame, n: int = MATCH_TOP, dedupe_first: bool = False) -> DataFrame:
     """Application hits ``(query_id, element_id, score, ...)``."""
     asked = requests.select(
-        F.lit(0).alias("level"),
         F.col("request_id").alias("query_id"),
         F.col("app_vec").alias("query_vec"),
         F.lit(0.0).alias("above"),
         F.lit(-1).cast("bigint").alias("owner"),
         F.lit(-1).cast("bigint").alias("grand_owner"),
     )
-    apps = vectors.where(F.col("typename") == TAG_APP).withColumn("level", F.lit(0))
-    return _level(asked, apps, ["level"], n, WEIGHT_APP, dedupe_first)
+    apps = vectors.where(F.col("typename") == TAG_APP)
+    return _level(asked, apps, [], n, WEIGHT_APP, dedupe_first)
 
 
 def _children(

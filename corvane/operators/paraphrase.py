@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from corvane.functions.fuzzy import partial_ratios
 from corvane.functions.text import first_sentence, rstrip_chars
+from corvane.vocab import SAMPLE_TYPES
 
 
 def route_to_template(samples: DataFrame, templates: DataFrame) -> DataFrame:
     """Samples with the few-shot template of their type, null for types that have none.
 
-    Several templates of one type: the last one by file name is used. The template side holds a row per type.
+    Several templates of one type: the last one by file name is used. There are eight types, so the template side has
+    at most eight rows.
     """
-    last = templates.groupBy("type").agg(F.max_by("template", "file").alias("template"))
-    return samples.join(last, "type", "left")
+    known = templates.where(F.col("type").isin(SAMPLE_TYPES))
+    last = known.groupBy("type").agg(F.max_by("template", "file").alias("template"))
+    return samples.join(F.broadcast(last), "type", "left")
 
 
 def closed(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.sampling import gumbel_score, key_digest, uniform_index, unit
 from corvane.functions.text import word_count
-from corvane.operators.skew import first_row, number_rows
+from corvane.operators.skew import first_row, number_rows, rows_at
 from corvane.vocab import SECOND_PICK_FRACTION
 
 ROW_KEY = ("command", "source")
@@ -100,11 +100,9 @@ def resample(
     df: DataFrame, n: int, seed: str, row_key: Sequence[str], out: str = "draw"
 ) -> DataFrame:
     """``n`` uniform rows with replacement, numbered by ``out`` = 0 .. n-1."""
-    spark = df.sparkSession
-    numbered = number_rows(df, [], key_digest("order", *row_key), ties=row_key, out="__idx")
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = spark.range(n).select(F.col("id").alias(out)).withColumn("__idx", uniform_index(total, seed, out))
-    return draws.join(numbered, "__idx", "inner").drop("__idx")
+    draws = df.sparkSession.range(n).select(F.col("id").alias(out))
+    index = uniform_index("__total", seed, out)
+    return rows_at(df, draws, key_digest("order", *row_key), row_key, index, out)
 
 
 def resample_per(

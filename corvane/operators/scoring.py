@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corvane.functions.text import clean_generation, normalise_label, program_tokens
 from corvane.vocab import CLARIFICATION, DOCUMENT_SEPARATOR, PROMPT_LAYOUTS
 
 EXACT = 1e-4
+RETRIEVED = 5  # candidates retrieved per utterance
 
 
 def split_docs(hits: DataFrame, document: str = "document") -> DataFrame:
@@ -43,8 +45,9 @@ def hit_at_k(test: DataFrame, hits: DataFrame, key: str, compat: bool = False) -
     return test.join(found.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
-def prompts(test: DataFrame, hits: DataFrame | None, key: str, layout: str, eos: str = "</s>", apps: str = "") -> DataFrame:
-    """Prompt text of every test row. The layouts with candidates need ``hits`` (key, rank, path, description)."""
+def prompts(test: DataFrame, hits: DataFrame | None, key: str, layout: str, eos: str = "</s>", apps: str = "", k: int = RETRIEVED) -> DataFrame:
+    """Prompt text of every test row. The layouts with candidates show the ``k`` best ``hits`` (key, rank, path,
+    description)."""
     template = PROMPT_LAYOUTS[layout]
     rows = test
     if "{pairs}" in template or "{paths}" in template:
@@ -53,8 +56,7 @@ def prompts(test: DataFrame, hits: DataFrame | None, key: str, layout: str, eos:
             F.concat("description", F.lit(": "), "path") if "{pairs}" in template else F.col("path"),
             F.lit("\n"),
         )
-        # k rows per test row, k being the retrieval depth.
-        listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("__l"))
+        listed = hits.where(F.col("rank") <= k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("__l"))
         text = F.array_join(F.transform("__l", lambda s: s["line"]), "")
         rows = rows.join(listed.select(key, text.alias("__lines")), key, "left")
         lines = F.coalesce("__lines", F.lit(""))
@@ -97,7 +99,7 @@ def _token_distance(a: list[str], b: list[str]) -> float:
     return float(row[-1]) / max(len(x), len(y))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _token_distance_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else _token_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 
 
+PREFIX = 4  # hex digits of a digest that name a slice of a group: up to 65,536 slices
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Let adaptive execution split hot join keys even when that costs one more shuffle."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -56,7 +59,7 @@ def number_rows(
     ties: Sequence[str | Column] = (),
     out: str = "idx",
     total: str | None = None,
-    prefix: int = 3,
+    prefix: int = PREFIX,
 ) -> DataFrame:
     """Zero-based number of each row in its group, ordered by ``digest`` and then ``ties``.
 
@@ -83,6 +86,40 @@ def number_rows(
     )
 
 
+def rows_at(
+    df: DataFrame, draws: DataFrame, digest: Column, ties: Sequence[str], index: Column, out: str, prefix: int = PREFIX
+) -> DataFrame:
+    """Rows of the whole table at the drawn positions of the order of ``number_rows``.
+
+    ``index`` is computed over the columns of ``draws`` and ``__total``, the number of rows. ``draws`` is a short
+    table with the number ``out``. Only the slices that a position falls into are moved and numbered.
+    """
+    cut = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, prefix))
+    sizes = cut.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    # At most 16**prefix sizes and the draws meet in one task: each draw takes the last slice that starts before it.
+    scope = W.partitionBy(F.lit(0)).orderBy("__slice")
+    before = F.sum("__n").over(scope.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+    starts = sizes.select("__slice", before.alias("__start"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    wanted = draws.withColumn("__total", total).select(out, index.alias("__start"))
+    none = F.lit(None)
+    line = starts.select(none.cast("bigint").alias(out), "__start", "__slice", F.col("__start").alias("__before"))
+    both = line.unionByName(
+        wanted.select(F.col(out).cast("bigint").alias(out), "__start", none.cast("string").alias("__slice"), none.cast("bigint").alias("__before"))
+    )
+    order = W.partitionBy(F.lit(0)).orderBy("__start", F.col("__slice").isNull())
+    seen = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = both.select(
+        out,
+        F.last("__slice", ignorenulls=True).over(seen).alias("__slice"),
+        (F.col("__start") - F.last("__before", ignorenulls=True).over(seen) + 1).alias("__rank"),
+    ).where(F.col(out).isNotNull())
+    hit = cut.join(placed.select("__slice").distinct(), "__slice", "left_semi")
+    inner = W.partitionBy("__slice").orderBy("__digest", *ties)
+    ranked = hit.withColumn("__rank", F.row_number().over(inner).cast("bigint"))
+    return ranked.join(placed, ["__slice", "__rank"], "inner").drop("__slice", "__rank", "__digest")
+
+
 def tiled_pairs(
     df: DataFrame, key: str, row_key: Sequence[str], residual, tile: int = 2000, suffixes=("_a", "_b")
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.operators import catalog as c
 from corvane.operators import embed, evalsets, generation
 from corvane.operators.lemma import noun_lemmatiser, verb_lemmatiser
-from corvane.operators.skew import configure
+from corvane.operators.skew import configure, cut_lineage
 from corvane.sources import catalog_files as files
 from corvane.sources.tables import read_products
 
@@ -28,18 +28,27 @@ class Catalog:
 
     @classmethod
     def from_records(
-        cls, records: DataFrame, listings: DataFrame, schemas: DataFrame, products: DataFrame | None = None, patch: bool = True
+        cls,
+        records: DataFrame,
+        listings: DataFrame,
+        schemas: DataFrame,
+        products: DataFrame | None = None,
+        patch: bool = True,
+        keep: bool = True,
     ) -> Catalog:
         """Catalog of ``(app, pos, record)``, listing documents ``(app, doc)`` and schemas ``(app, object, doc)``.
 
-        Error documents are left out, and so are applications without a good listing.
+        Error documents are left out, and so are applications without a good listing. With ``keep`` the parsed objects
+        and operations are checkpointed, so that the views over them do not parse the JSON again.
         """
+        held = cut_lineage if keep else (lambda df: df)
         good, _ = c.quarantine_listings(listings)
         summaries = c.explode_objects(good)
         schemas, _ = c.quarantine_schemas(schemas)
-        apps = c.build_apps(records.join(good.select("app"), "app", "left_semi"), products)
+        apps = held(c.build_apps(records.join(good.select("app"), "app", "left_semi"), products))
         objects, orphans = c.build_objects(summaries, schemas, apps, patch)
-        operations = c.build_operations(objects)
+        objects = held(objects)
+        operations = held(c.build_operations(objects))
         return cls(apps, c.rollup_kinds(objects, operations), operations, orphans)
 
     @classmethod

@@ -620,9 +620,9 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 6) sim
     sql["exact_match_rows"] = _with(TEST, SCORED) + "SELECT conv_id, turn, response, exact FROM scored"
     sql["exact_match_report"] = _with(TEST, SCORED) + 'SELECT "type", subtype, count(*) n, sum(exact::INT)::BIGINT n_exact FROM scored GROUP BY ALL'
     sql["token_counts"] = "SELECT doc_id, len(regexp_extract_all(text, '(\\w+|[^\\w ])', 1)) n_tokens FROM documents"
-    lines = "coalesce((SELECT string_agg('    ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id), '')"
+    lines = "coalesce((SELECT string_agg('    ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
     sql["prompt_rows"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('options', lines)} prompt FROM test WHERE turn = 0"
-    both = "coalesce((SELECT string_agg('    ' || text || ': ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id), '')"
+    both = "coalesce((SELECT string_agg('    ' || text || ': ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
     sql["prompt_rows_pairs"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('pairs_and_apps', both, 'alpha, beta')} prompt FROM test"
     sql["prompt_rows_apps"] = _with(TEST) + f"SELECT conv_id, turn, {prompt('apps', '', 'alpha, beta')} prompt FROM test"
     sql["needs_app"] = _with(TEST) + (

@@ -13,7 +13,7 @@ from corvane.functions.variant import explode_variant, resolve_path
 from corvane.operators import catalog as cat
 from corvane.operators import embed, evalsets, generation, grouping, knn, match, paraphrase, quality, sampling, scoring
 from corvane.operators.lemma import lemmatise_last, noun_lemmatiser, verb_lemmatiser
-from corvane.operators.skew import configure
+from corvane.operators.skew import configure, cut_lineage
 from corvane.plans import surrogates as s
 from corvane.plans.catalog import Catalog
 from corvane.plans.catalog import sample_corpus as corpus_of
@@ -155,7 +155,9 @@ def _json_catalog(spark, d) -> Catalog:
 
 @query
 def json_apps(spark, d):
-    rows = _json_catalog(spark, d).apps
+    good, _ = cat.quarantine_listings(s.listing_documents(spark, d))
+    records = cat.explode_apps(s.app_documents(spark, d)).join(good.select("app"), "app", "left_semi")
+    rows = cat.build_apps(records, tables.split_products(s.product_rows(spark, d)))
     return _joined(rows.select("app", "dialect", "display_name", "description", "products"), "products")
 
 
@@ -315,7 +317,7 @@ def pick_n_rows(spark, d):
 def zip_resample(spark, d):
     left = s.table(spark, d, "orders").select("o_orderkey")
     right = s.table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    pool = sampling.resample_per(right, "c_nationkey", 4, f"{SEED}/pool", ["c_custkey"], out="pool_draw")
+    pool = cut_lineage(sampling.resample_per(right, "c_nationkey", 4, f"{SEED}/pool", ["c_custkey"], out="pool_draw"))
     a = sampling.resample(left, 1000, f"{SEED}/left", ["o_orderkey"])
     b = sampling.resample(pool, 1000, f"{SEED}/right", ["c_nationkey", "pool_draw"])
     return sampling.zip_frames(a, b).select("draw", "o_orderkey", "c_custkey")
@@ -750,7 +752,7 @@ def token_counts(spark, d):
 def _reply_hits(spark, d):
     turns = s.table(spark, d, "conversations").where("role = 'assistant'")
     return turns.select(
-        "conv_id", F.col("turn").alias("rank"), F.concat_ws(".", F.lit("conv"), "conv_id", "turn").alias("path"), F.col("text").alias("description")
+        "conv_id", F.floor((F.col("turn") + 1) / 2).alias("rank"), F.concat_ws(".", F.lit("conv"), "conv_id", "turn").alias("path"), F.col("text").alias("description")
     )
 
 

@@ -55,6 +55,7 @@ EVAL_COMPOSED = 1000
 EVAL_ACTIONS_PER_APP = 4
 
 # --- Fixed values: types of samples that are paraphrased, fuzzy threshold ----------------------
+SAMPLE_TYPES = [1, 2, 3, 4, 5, 6, 7, 8]
 PARAPHRASED_TYPES = [2, 3, 5, 6, 7, 8]
 FUZZY_THRESHOLD = 80
 
