@@ -59,7 +59,7 @@ def batch_encode(
     """Run a caller's batch function over the text column, ``batch`` texts at a time."""
     from pyspark.sql.types import ArrayType, FloatType, StructType
 
-    schema = StructType(df.schema.fields).add(out, ArrayType(FloatType()))
+    schema = StructType(list(df.schema.fields)).add(out, ArrayType(FloatType()))
 
     def encode(frames):
         for frame in frames:

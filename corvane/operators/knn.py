@@ -102,6 +102,8 @@ def tiled_topk(
     several rows; with ``collapse`` it counts once, at the distance of its nearest row.
     """
     keys = list(keys)
+    # Both sides may come from one table; fresh columns keep their keys apart.
+    corpus = corpus.select(*[F.col(name).alias(name) for name in corpus.columns])
 
     def own_block(column: str, n: str) -> Column:
         return F.pmod(F.xxhash64(column), F.col(n)).cast("int")

@@ -98,7 +98,7 @@ class Catalog:
         """Vectors of all descriptions with the attributes of their elements."""
         rows = self.descriptions.withColumn("vec_id", F.xxhash64("full_name", "description"))
         vectors = embed.embed_distinct(rows, "description", encoder, dim=dim)
-        return embed.with_attributes(vectors.drop("typename"), self.elements.drop("parent_name"))
+        return embed.with_attributes(vectors, self.elements)
 
     def utterances(self, seed: str | None = "caps") -> DataFrame:
         return generation.utterances(self.commands, seed)
