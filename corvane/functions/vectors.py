@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,20 +37,12 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
 
 def hash_encode(df: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:
     """Hashed counts of lower-cased words and word pairs, scaled to length one. Map-only, on the JVM."""
-    lowered = F.lower(F.col(text))
-    unigrams = F.filter(F.split(lowered, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    bigrams = F.zip_with(
-        F.slice(F.col("__uni"), F.lit(1), F.greatest(F.size("__uni") - 1, F.lit(0))),
-        F.slice(F.col("__uni"), F.lit(2), F.greatest(F.size("__uni") - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    tokens = df.withColumn("__uni", unigrams).withColumn("__tok", F.concat(F.col("__uni"), bigrams))
+    words = RegexTokenizer(inputCol=text, outputCol="__uni", pattern=r"[^\p{L}\p{N}]+").transform(df)
+    pairs = NGram(n=2, inputCol="__uni", outputCol="__bi").transform(words)
+    tokens = pairs.withColumn("__tok", F.concat("__uni", "__bi"))
     counted = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim).transform(tokens)
-    raw = counted.withColumn("__raw", vector_to_array("__tf")).withColumn("__len", norm(F.col("__raw")))
-    scaled = F.when(
-        F.col("__len") > 0, F.transform("__raw", lambda x: (x / F.col("__len")).cast("float"))
-    ).otherwise(F.transform("__raw", lambda x: x.cast("float")))
-    return raw.withColumn(out, scaled).drop("__uni", "__tok", "__tf", "__raw", "__len")
+    scaled = Normalizer(inputCol="__tf", outputCol="__unit").transform(counted)
+    return scaled.withColumn(out, vector_to_array("__unit", "float32")).drop("__uni", "__bi", "__tok", "__tf", "__unit")
 
 
 def batch_encode(

@@ -77,6 +77,17 @@ def min_words(df: DataFrame, column: str = "description", n: int = 2) -> DataFra
     return df.where(word_count(F.col(column)) >= n)
 
 
+def with_display_names(rows: DataFrame, commands: DataFrame) -> DataFrame:
+    """Attach the display names of application and object to rows that have a command."""
+    names = commands.select("command", "app_display_name", "object_display_name")
+    return rows.join(names, "command", "left")
+
+
+def merge_app_lists(*lists: str) -> Column:
+    """Application list of a sample made of several parts."""
+    return F.concat(*lists)
+
+
 def complete_commands(commands: DataFrame) -> DataFrame:
     return commands.na.drop(
         subset=["command", "description", "app_display_name", "object_display_name", "operation_display_name"]

@@ -111,7 +111,7 @@ def ambiguity_report(named: DataFrame, app: str, lemma: str) -> DataFrame:
     """Commands behind each ambiguous lemma with their operation, one row per command."""
     found = ambiguous_objects(named, app, lemma)
     rows = named.select(lemma, app, "command").distinct()
-    joined = found.join(rows, lemma, "left")
+    joined = rows.join(found, lemma, "inner")
     return joined.select(lemma, "n_apps", app, "command", command_part(F.col("command"), -1).alias("method"))
 
 

@@ -8,10 +8,13 @@ streaming path instead: they are sent to every task after their number has been
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,35 +198,57 @@ def knn(
 
 
 def knn_lsh(
-    queries: DataFrame, corpus: DataFrame, k: int, tables: int = 8, bucket_length: float = 1.2, seed: int = 17
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    tables: int = 8,
+    bits: int | None = None,
+    probes: int = 1,
+    seed: int = 17,
+    tile: int = TILE,
 ) -> DataFrame:
-    """Approximate neighbours: only rows that share a bucket of a random projection meet, and are ranked exactly.
+    """Approximate neighbours: only rows that share a bucket meet, and those are ranked exactly.
 
-    A full bucket is tiled like any other group, so no candidate is cut. Recall depends on ``tables`` and
-    ``bucket_length``.
+    A bucket of a table is a pattern of ``bits`` sides of random hyperplanes. By default there are as many bits as make
+    an average bucket one tile, so the work per query stays the same when the corpus grows. With ``probes = 1`` a query
+    also visits the buckets that differ in one side. A full bucket is tiled like any other group, so no candidate is
+    cut. More tables raise the recall (see ``recall``).
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    if bits is None:
+        bits = max(1, math.ceil(math.log2(max(2, corpus.count()) / tile)))
+    # A bucket length above the norm of a unit vector leaves two buckets per projection: its sign.
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="__unit", outputCol="__hash", numHashTables=tables * bits, bucketLength=2.0, seed=seed
+    )
 
     def with_unit(df: DataFrame, column: str) -> DataFrame:
-        from corvane.functions.vectors import norm
+        dense = df.withColumn("__raw", array_to_vector(F.col(column).cast("array<double>")))
+        return Normalizer(inputCol="__raw", outputCol="__unit").transform(dense).drop("__raw")
 
-        sized = df.withColumn("__len", norm(F.col(column)))
-        scaled = F.transform(column, lambda x: F.when(F.col("__len") > 0, x / F.col("__len")).otherwise(F.lit(0.0)))
-        return sized.withColumn("__unit", array_to_vector(scaled)).drop("__len")
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="__unit", outputCol="__hash", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    )
     left, right = with_unit(queries, "query_vec"), with_unit(corpus, "item_vec")
     model = lsh.fit(right)
-
-    def bucketed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        hashed = model.transform(df).select(*columns, F.posexplode("__hash").alias("table", "cell"))
-        return hashed.select(*columns, "table", F.get(vector_to_array("cell"), F.lit(0)).alias("bucket"))
-
-    q, c = bucketed(left, ["query_id", "query_vec"]), bucketed(right, ["item_id", "item_vec"])
-    hits = tiled_topk(q, c, k, ["table", "bucket"])
+    sides = F.transform("__hash", lambda h: F.when(F.get(vector_to_array(h), F.lit(0)) < 0, F.lit(0)).otherwise(F.lit(1)))
+
+    def pattern(row: Column) -> Column:
+        return F.array_join(row.cast("array<string>"), "")
+
+    def probed(row: Column) -> Column:
+        flips = F.transform(
+            F.sequence(F.lit(0), F.lit(bits - 1)),
+            lambda i: pattern(F.transform(row, lambda side, j: F.when(i == j, 1 - side).otherwise(side))),
+        )
+        return F.concat(F.array(pattern(row)), flips) if probes else F.array(pattern(row))
+
+    def bucketed(df: DataFrame, columns: Sequence[str], patterns) -> DataFrame:
+        hashed = model.transform(df).withColumn("__sides", sides)
+        starts = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table")
+        rows = hashed.select(*columns, "__sides", starts)
+        own = F.slice("__sides", F.col("table") * bits + 1, F.lit(bits))
+        return rows.select(*columns, "table", F.explode(patterns(own)).alias("bucket"))
+
+    q = bucketed(left, ["query_id", "query_vec"], probed)
+    c = bucketed(right, ["item_id", "item_vec"], lambda row: F.array(pattern(row)))
+    hits = tiled_topk(q, c, k, ["table", "bucket"], tile=tile)
     return rank_hits(hits.groupBy("query_id", "item_id").agg(F.min("distance").alias("distance")), k)
 
 

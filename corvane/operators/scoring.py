@@ -136,3 +136,13 @@ def first_correct(rounds: DataFrame, key: str, order: str, exact: str = "exact",
     """Per row the first correct generation over its rounds, else the first one."""
     pick = F.min_by(F.struct(generation, exact), F.struct((~F.col(exact)).alias("wrong"), F.col(order).alias("at")))
     return rounds.groupBy(key).agg(pick.alias("r")).select(key, f"r.{generation}", f"r.{exact}")
+
+
+def evaluate(
+    test: DataFrame, generations: DataFrame, hits: DataFrame | None, key: str, by: Sequence[str] = (), compat: bool = False
+) -> DataFrame:
+    """Report of stored generations ``(key, generations)`` and retrieved paths ``(key, rank, path)`` against a test frame."""
+    scored = exact_match(test.join(generations.select(key, "generations"), key, "left"))
+    if hits is not None:
+        scored = hit_at_k(scored, hits, key, compat)
+    return report(scored, by)

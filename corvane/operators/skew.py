@@ -21,10 +21,12 @@ PREFIX = 4  # hex digits of a digest that name a slice of a group: up to 65,536
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Let adaptive execution split hot join keys even when that costs one more shuffle."""
+    """Let adaptive execution split hot join keys even when that costs one more shuffle, and keep short tables of
+    costly rows on more than one core."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     return spark
 
 

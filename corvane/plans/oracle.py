@@ -488,6 +488,9 @@ UNION ALL SELECT app, object, payload, true FROM taken"""
     sql["triplet_utterances_wide"] = _with(wide, utt()) + f"SELECT {cols} FROM utt"
     sql["weighted_sample"] = _with(wide, utt(), drawn("d", "1")) + "SELECT command, source, description FROM d"
     sql["packed_sample"] = _with(wide, utt(), drawn("d", "1"), drawn("e", "2")) + "SELECT '1' stream, command, source, description FROM d UNION ALL SELECT '2', command, source, description FROM e"
+    sql["display_names"] = _with(wide, utt(), "narrow AS (" + _with(cat) + "SELECT command, app_display_name, object_display_name FROM cmds)") + (
+        "SELECT utt.command, source, n.app_display_name, n.object_display_name FROM utt LEFT JOIN narrow n ON n.command = utt.command"
+    )
     sql["fraction_sample"] = f"SELECT o_orderkey FROM orders WHERE {u(SEED, 'o_orderkey')} < 0.1"
     sql["pick_per_group"] = f"SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY {digest(SEED, 'l_orderkey', 'l_linenumber', 'l_partkey')}) = 1"
     sql["cap_per_group"] = f"SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY {digest(SEED, 'o_orderkey')}) <= 250"
@@ -619,6 +622,11 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 6) sim
   FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id) SELECT query_id, bool_or(ql = cl) hit FROM n WHERE k <= 5 GROUP BY query_id"""
     sql["exact_match_rows"] = _with(TEST, SCORED) + "SELECT conv_id, turn, response, exact FROM scored"
     sql["exact_match_report"] = _with(TEST, SCORED) + 'SELECT "type", subtype, count(*) n, sum(exact::INT)::BIGINT n_exact FROM scored GROUP BY ALL'
+    sql["evaluation_report"] = _with(TEST, SCORED) + (
+        'SELECT "type", subtype, count(*) n, sum(exact::INT)::BIGINT n_exact, '
+        "sum((conv_id % 2 = 0 AND list_contains(regexp_extract_all(label, '([\\w.\\-]+)', 1), regexp_extract(commands, '([\\w.\\-]+)', 1)))::INT)::BIGINT n_hit "
+        "FROM scored GROUP BY ALL"
+    )
     sql["token_counts"] = "SELECT doc_id, len(regexp_extract_all(text, '(\\w+|[^\\w ])', 1)) n_tokens FROM documents"
     lines = "coalesce((SELECT string_agg('    ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
     sql["prompt_rows"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('options', lines)} prompt FROM test WHERE turn = 0"

@@ -284,6 +284,12 @@ def weighted_sample(spark, d):
     return rows.select("command", "source", "description")
 
 
+@query
+def display_names(spark, d):
+    rows = _utt(spark, d, wide=True).select("command", "source")
+    return generation.with_display_names(rows, s.commands(spark, d))
+
+
 @query
 def packed_sample(spark, d):
     packed = generation.packed_utterances(s.commands(spark, d, wide=True), f"{SEED}/caps")
@@ -655,7 +661,7 @@ def candidates_of_hits(spark, d):
 @query
 def knn_lsh(spark, d):
     q, c = _search(spark, d)
-    return _hits(knn.knn_lsh(q, c, 5))
+    return _hits(knn.knn_lsh(q, c, 5, bits=4))
 
 
 @query
@@ -737,6 +743,14 @@ def exact_match_report(spark, d):
     return scoring.report(scoring.exact_match(s.test_frame(spark, d)), ["type", "subtype"])
 
 
+@query
+def evaluation_report(spark, d):
+    frame = s.test_frame(spark, d).withColumn("row", F.concat_ws("/", "conv_id", "turn"))
+    first = F.regexp_extract("commands", r"([\w.\-]+)", 1)
+    hits = frame.select("row", F.lit(1).alias("rank"), F.when(F.col("conv_id") % 2 == 0, first).otherwise(F.lit("nowhere.to.FIND")).alias("path"))
+    return scoring.evaluate(frame.drop("generations"), frame.select("row", "generations"), hits, "row", ["type", "subtype"])
+
+
 @query
 def token_distances(spark, d):
     """Token edit distance of whole texts; checked against brute force in the tests."""

@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.sampling import shuffle_rows
+
 
 def split_products(rows: DataFrame) -> DataFrame:
     """``(app, products)`` from ``(app, label, targets)``; rows of unknown applications are skipped, last row wins."""
@@ -54,8 +56,9 @@ def write_catalog(df: DataFrame, path: str) -> None:
     df.repartition("app").write.mode("overwrite").partitionBy("app").parquet(path)
 
 
-def write_samples(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_samples(df: DataFrame, path: str, seed: str = "0") -> None:
+    """Samples in a seeded random order."""
+    shuffle_rows(df, f"{seed}/shuffle", ["type", "commands", "utterances"]).write.mode("overwrite").parquet(path)
 
 
 def write_eval(df: DataFrame, path: str) -> None:
