@@ -6,7 +6,7 @@ through one dynamic programme in numpy and take strings of any length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 _CELLS = 4_000_000  # cells of the pair x character matrix worked on at a time
+_LONG = 1_000  # pairs with more cells than this are cheaper bit by bit than in a batch
 
 
 def _codes(texts: list[str], pad: int) -> np.ndarray:
@@ -36,10 +37,36 @@ def common_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
+def position_masks(items: Sequence) -> dict:
+    """Bit set of the positions of every item."""
+    masks: dict = {}
+    bit = 1
+    for item in items:
+        masks[item] = masks.get(item, 0) | bit
+        bit <<= 1
+    return masks
+
+
+def common_length_bits(a: str, b: str) -> int:
+    """The same for one pair of long texts: a row of the table is one integer, its zero bits count the length."""
+    if len(a) < len(b):
+        a, b = b, a
+    masks, full = position_masks(a), (1 << len(a)) - 1
+    row = full
+    for item in b:
+        hit = row & masks.get(item, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 def _lcs_batch(left: list[str], right: list[str]) -> np.ndarray:
-    """LCS length of every pair; pairs are handled in order of size so that padding stays small."""
+    """LCS length of every pair; short pairs go in batches, in order of size so that padding stays small."""
     out = np.zeros(len(left), dtype=np.int64)
-    order = sorted(range(len(left)), key=lambda i: (len(left[i]) + len(right[i])))
+    cells = [len(a) * len(b) for a, b in zip(left, right)]
+    for i, size in enumerate(cells):
+        if size > _LONG:
+            out[i] = common_length_bits(left[i], right[i])
+    order = sorted((i for i, size in enumerate(cells) if 0 < size <= _LONG), key=lambda i: len(left[i]) + len(right[i]))
     start = 0
     while start < len(order):
         stop, width = start, 1

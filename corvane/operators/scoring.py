@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from corvane.functions.fuzzy import position_masks
 from corvane.functions.text import clean_generation, normalise_label, program_tokens
 from corvane.vocab import CLARIFICATION, DOCUMENT_SEPARATOR, PROMPT_LAYOUTS
 
@@ -85,18 +85,25 @@ def needs_app(test: DataFrame) -> DataFrame:
     return test.withColumn("app", app).where(~F.lower("utterances").contains(F.lower("app")))
 
 
-def _token_distance(a: list[str], b: list[str]) -> float:
-    if not a and not b:
-        return 0.0
-    ids: dict[str, int] = {}
-    x = np.array([ids.setdefault(t, len(ids)) for t in a], dtype=np.int64)
-    y = np.array([ids.setdefault(t, len(ids)) for t in b], dtype=np.int64)
-    row, step = np.arange(len(x) + 1), np.arange(len(x) + 1)
-    for j, token in enumerate(y):
-        best = np.minimum(row[1:] + 1, row[:-1] + (x != token))
-        best = np.concatenate([[j + 1], best])
-        row = np.minimum.accumulate(best - step) + step
-    return float(row[-1]) / max(len(x), len(y))
+def _token_distance(a: Sequence[str], b: Sequence[str]) -> float:
+    """Edit distance over the longer length. The differences along a column of the table are two integers (steps up and
+    steps down, one bit per token), so that a token of ``b`` costs a few integer operations."""
+    m = len(a)
+    if not m or not len(b):
+        return float(bool(m or len(b)))
+    masks, full, last = position_masks(a), (1 << m) - 1, 1 << (m - 1)
+    up, down, distance = full, 0, m
+    for token in b:
+        same = masks.get(token, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more = down | (full & ~(diagonal | up))
+        less = up & diagonal
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1) | 1, less << 1
+        vertical = same | down
+        up = full & (less | ~(vertical | more))
+        down = full & more & vertical
+    return distance / max(m, len(b))
 
 
 @F.pandas_udf(DoubleType())

@@ -240,7 +240,7 @@ def event_props_path(spark, d):
     events = s.table(spark, d, "events")
     doc = F.concat(F.lit('{"outer":{"type":[{"inner":{"type":'), F.col("props"), F.lit('}}]},"flat":{"type":'), F.col("props"), F.lit("}}"))
     paths = F.explode(F.array(*[F.lit(p) for p in ("outer.inner.k", "flat.k", "flat", "outer.k", "none.k")]))
-    rows = events.select("event_id", F.parse_json(doc).alias("doc"), paths.alias("path"))
+    rows = events.select("event_id", F.parse_json(doc).alias("doc")).select("event_id", "doc", paths.alias("path"))
     value = resolve_path(F.col("doc"), F.col("path"))
     return rows.select("event_id", "path", value.cast("string").alias("value"))
 
