@@ -142,6 +142,13 @@ def interactions(objects: DataFrame) -> DataFrame:
     )
 
 
+def interaction_names(objects: DataFrame, source: str) -> DataFrame:
+    """``(app, object, op)`` named by the ``summary`` or the ``schema`` of the objects that have both."""
+    both = objects.where(F.col("schema").isNotNull() & F.col("summary").isNotNull())
+    rows = both.select("app", "object", vget(source, "interactions", "variant").alias("inter"))
+    return explode_variant(rows, "inter").select("app", "object", F.col("key").alias("op"))
+
+
 def known_pair(kind: Column, op: Column) -> Column:
     return ((kind == "actions") & op.isin(ACTIONS)) | ((kind == "triggers") & op.isin(TRIGGERS))
 
@@ -179,6 +186,9 @@ def build_operations(objects: DataFrame) -> DataFrame:
         .alias("description"),
         "data",
         vget("schema", "properties", "variant").alias("properties"),
+        "dialect",
+        "op_summary",
+        "op_details",
     )
 
 

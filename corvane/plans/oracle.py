@@ -462,6 +462,9 @@ def oracle_sql() -> dict[str, str]:
     CASE WHEN own_display IS NULL THEN 'missing displayName (patched)' END,
     CASE WHEN description IS NULL THEN 'missing description' END) FROM jobj
   WHERE nested AND (coalesce(own_display, '?') <> inner_display OR description IS NULL)"""
+    sql["json_interaction_diff"] = _with(cat, JSON) + (
+        "SELECT DISTINCT l.app, l.object, l.op, 'summary only' side FROM jl l JOIN jschema USING (app, object) WHERE l.op = 'DELETED'"
+    )
     sql["missing_labels"] = "SELECT doc_id, 'missing quality, missing toxic' warnings FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
     sql["complete_rows"] = "SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)"
     sql["interaction_diff"] = (

@@ -206,8 +206,10 @@ def quality_warnings(spark, d):
     catalog = _json_catalog(spark, d)
     apps = quality.with_warnings(catalog.apps, quality.app_warnings())
     objects = quality.with_warnings(catalog.objects, quality.object_warnings())
-    names = [apps.select(F.col("app").alias("name"), "warnings"), objects.select(F.concat_ws("/", "app", "object").alias("name"), "warnings")]
-    rows = names[0].unionByName(names[1])
+    ops = quality.with_warnings(catalog.operations, quality.operation_warnings())
+    rows = apps.select(F.col("app").alias("name"), "warnings")
+    rows = rows.unionByName(objects.select(F.concat_ws("/", "app", "object").alias("name"), "warnings"))
+    rows = rows.unionByName(ops.select(F.concat_ws("/", "app", "object", "op").alias("name"), "warnings"))
     return rows.withColumn("warnings", F.array_join("warnings", ", "))
 
 
@@ -230,6 +232,13 @@ def interaction_diff(spark, d):
     return quality.diff_interactions(english, s.table(spark, d, "labels"), ["doc_id"])
 
 
+@query
+def json_interaction_diff(spark, d):
+    objects = _json_catalog(spark, d).objects
+    names = [cat.interaction_names(objects, source) for source in ("summary", "schema")]
+    return quality.diff_interactions(*names, ["app", "object", "op"])
+
+
 @query
 def flatten_nested(spark, d):
     return cat.flatten_catalog(s.nested_documents(spark, d))

@@ -155,6 +155,20 @@ def test_warnings(catalog):
     ]
 
 
+def test_operation_warnings(catalog):
+    rows_ = quality.with_warnings(catalog.operations, quality.operation_warnings()).collect()
+    assert {(r.object, r.op): r.warnings for r in rows_} == {
+        ("mail", "DELETEALL"): ["missing description", "missing display_name"],
+        ("label", "UPDATE"): ["missing description", "missing display_name"],
+    }
+
+
+def test_interactions_of_summary_and_schema(catalog):
+    names = [c.interaction_names(catalog.objects, source) for source in ("summary", "schema")]
+    diff = quality.diff_interactions(*names, ["app", "object", "op"])
+    assert rows(diff) == {("gmail", "mail", "OLDOP", "summary only"), ("gmail", "mail", "DELETEALL", "schema only")}
+
+
 def test_utterances_of_files(catalog):
     texts = {(r.command, r.source): r.description for r in catalog.utterances(seed=None).collect()}
     assert texts[("gmail.mail.CREATE", 3)] == "Create a gmail mail."
