@@ -14,7 +14,6 @@ part like any other; repeated rows give repeated results; other columns are not
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +28,6 @@ NONE = np.iinfo(np.int64).max
 CACHE_UNITS = 1 << 19
 
 
-@lru_cache(1)
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else the next from U+0100."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -45,9 +43,10 @@ class Vocabulary:
             data = json.load(f)
         ids = data["model"]["vocab"]
         added = {t["content"]: t["id"] for t in data.get("added_tokens", ())}
-        byte_of = {s: b for b, s in enumerate(byte_symbols())}
+        symbols = byte_symbols()
+        byte_of = {s: b for b, s in enumerate(symbols)}
         self.size = max([*ids.values(), *added.values()]) + 1
-        self.first = np.array([ids.get(s, -1) for s in byte_symbols()], np.int64)
+        self.first = np.array([ids.get(s, -1) for s in symbols], np.int64)
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
         keys = np.array([ids[a] * self.size + ids[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
@@ -63,6 +62,13 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
         self.added = added
 
+    @classmethod
+    def of(cls, tables: dict) -> Vocabulary:
+        """A vocabulary from the tables of another, as they are broadcast."""
+        made = cls.__new__(cls)
+        made.__dict__.update(tables)
+        return made
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many words in one flat array, and the offsets of the words in it."""
         counts = np.array([len(w) for w in words], np.int64)
@@ -210,7 +216,7 @@ class Encoder:
 
 
 def _broadcast(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    return df.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
 
 
 def encode(df: DataFrame, path: str, text: Column | None = None, keep: Column | None = None) -> DataFrame:
@@ -219,7 +225,7 @@ def encode(df: DataFrame, path: str, text: Column | None = None, keep: Column |
 
     def run(batch, state=[]):  # noqa: B006  one encoder a worker
         if not state:
-            state.append(Encoder(vocabulary.value))
+            state.append(Encoder(Vocabulary.of(vocabulary.value)))
         texts = [t or "" for t in batch["text"]]
         out = []
         for a, b in runs_of(texts):
@@ -238,7 +244,7 @@ def decode(df: DataFrame, path: str, ids: Column | None = None, keep: Column | N
         ids = [x or [] for x in batch["ids"]]
         offsets = np.cumsum([0, *map(len, ids)])
         flat = np.fromiter((i for x in ids for i in x), np.int64, offsets[-1])
-        return {"decoded": [x.decode("utf-8", "replace") for x in vocabulary.value.decode(flat, offsets)]}
+        return {"decoded": [x.decode("utf-8", "replace") for x in Vocabulary.of(vocabulary.value).decode(flat, offsets)]}
 
     return map_rows(df, run, {"ids": F.col("ids") if ids is None else ids}, "decoded string", keep)
 
@@ -254,9 +260,10 @@ def digests(df: DataFrame, path: str, text: Column | None = None, keep: Column |
 
     def run(batch, state=[]):  # noqa: B006  one encoder and the decimals of each id a worker
         if not state:
-            decimal = [b"%d," % i for i in range(vocabulary.value.size)]
+            shared = Vocabulary.of(vocabulary.value)
+            decimal = [b"%d," % i for i in range(shared.size)]
             lengths = np.array([len(d) for d in decimal], np.int64)
-            state.extend([Encoder(vocabulary.value), np.frombuffer(b"".join(decimal), np.uint8), np.cumsum(lengths) - lengths, lengths])
+            state.extend([Encoder(shared), np.frombuffer(b"".join(decimal), np.uint8), np.cumsum(lengths) - lengths, lengths])
         encoder, *decimals = state
         texts = [t or "" for t in batch["text"]]
         out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

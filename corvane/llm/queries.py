@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, langid, linededup, quality, toxicity, urls, warc
+from corvane.llm import bpe, decontam, jaccard, langid, linededup, quality, toxicity, urls, warc
 from corvane.llm.common import held_out, sha256_text, table, work_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op9_quality(spark, d):
 def op10_bpe(spark, d):
     rows = bpe.digests(table(spark, d, "documents"), vocabulary_path(), keep=F.struct("doc_id"))
     return rows.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op6_jaccard(spark, d):
+    linked = jaccard.link(table(spark, d, "documents"), "doc_id", "text", words=5, percent=75)
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

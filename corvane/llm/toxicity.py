@@ -25,6 +25,9 @@ from corvane.llm.langid import count_ngrams
 BITS = 18
 ORDERS = (3, 4, 5)
 SAMPLE = 1000
+PSEUDO = 100.0
+FLOOR = 60  # a shorter text counts as of so many n-grams, so that one n-gram alone decides nothing
+TOXIC_SHARE = 0.25
 BROADCAST_LABELS = 4_000_000  # rows of (id, label), about 100 MB at most; a longer table is joined by a shuffle
 THRESHOLD = 0.7
 
@@ -61,11 +64,11 @@ def _sample(rows: DataFrame, orders: Sequence[int], bits: int, sample: int) -> l
     return map_rows(few, run, {"text": F.col("text")}, kinds, F.struct("id", "label")).orderBy("row.id").collect()
 
 
-def _logistic(starts, buckets, values, y, size: int, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4):
-    """Weights and bias of a logistic classifier by full-batch Adam; both classes weigh the same."""
+def _logistic(starts, buckets, values, y, size: int, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-6):
+    """Weights and bias of a logistic classifier by full-batch Adam; the classes share the weight as ``TOXIC_SHARE`` says."""
     used, column = np.unique(buckets, return_inverse=True)
     row = np.repeat(np.arange(len(y)), np.diff(starts))
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = np.where(y == 1, TOXIC_SHARE / max(1, (y == 1).sum()), (1 - TOXIC_SHARE) / max(1, (y == 0).sum()))
     w, b = np.ones(len(used)), 0.0
     theta = np.append(w, b)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -88,16 +91,18 @@ def fit(rows: DataFrame, orders: Sequence[int] = ORDERS, bits: int = BITS, sampl
     by_label = {r.label: np.array(r.cells, np.int64).reshape(-1, 2) for r in grouped if r.label in ("0", "1")}
     if len(by_label) < 2:
         return None
-    logs = []
+    tables = []
     for label in ("1", "0"):
-        table = np.ones(1 << bits)
-        table[by_label[label][:, 0]] += by_label[label][:, 1]
-        logs.append(np.log(table / table.sum()))
-    ratio = logs[0] - logs[1]
+        table = np.zeros(1 << bits)
+        table[by_label[label][:, 0]] = by_label[label][:, 1]
+        tables.append(table)
+    # Pseudo-counts at the pooled rate: a bucket that says little has a ratio near 0.
+    toxic, clean = (t + PSEUDO * t.sum() / (tables[0].sum() + tables[1].sum()) for t in tables)
+    ratio = np.log(toxic / clean) - np.log(tables[0].sum() / tables[1].sum())
     picked = _sample(rows, orders, bits, sample)
     buckets = np.concatenate([np.frombuffer(r.buckets, np.int32) for r in picked])
     sizes = np.array([len(r.buckets) // 4 for r in picked])
-    shares = np.concatenate([np.frombuffer(r.counts, np.int32) / max(1, r.n) for r in picked])
+    shares = np.concatenate([np.frombuffer(r.counts, np.int32) / max(FLOOR, r.n) for r in picked])
     y = np.array([r["row"]["label"] for r in picked])
     scale = 100.0
     weights, bias = _logistic(np.append(0, np.cumsum(sizes)), buckets, shares * ratio[buckets] * scale, y, 1 << bits)
@@ -124,7 +129,7 @@ def score(
                 h = ngram_buckets(points, order, bits)
                 total += span_sums(shared.value[h], offsets, order)
                 n += np.maximum(0, np.diff(offsets) - order + 1)
-            out += (1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + bias, -30, 30)))).tolist()
+            out += (1 / (1 + np.exp(-np.clip(total / np.maximum(n, FLOOR) + bias, -30, 30)))).tolist()
         return {"score": out}
 
     return map_rows(df, run, {"text": text}, "score double", keep)
