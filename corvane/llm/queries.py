@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, jaccard, langid, linededup, quality, toxicity, urls, warc
+from corvane.llm import bpe, decontam, jaccard, langid, linededup, quality, suffix, toxicity, urls, warc
 from corvane.llm.common import held_out, sha256_text, table, work_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op10_bpe(spark, d):
 def op6_jaccard(spark, d):
     linked = jaccard.link(table(spark, d, "documents"), "doc_id", "text", words=5, percent=75)
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op8_suffix(spark, d):
+    found = suffix.repeats(table(spark, d, "documents").select("doc_id", "text"), "text", length=200, keep=F.struct("doc_id"))
+    return suffix.remaining(found).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
