@@ -18,7 +18,7 @@ def _digest_sql(seed: str, names: Sequence[str]) -> str:
 
 
 def _unit_sql(digest: str) -> str:
-    return f"((cast(conv(substring({digest}, 1, 8), 16, 10) as bigint) + 0.5D) / 4294967296.0D)"
+    return f"((cast(conv(substring({digest}, 1, 13), 16, 10) as bigint) + 0.5D) / 4503599627370496.0D)"
 
 
 def key_digest(seed: str, *keys: Column | str) -> Column:
@@ -30,11 +30,11 @@ def key_digest(seed: str, *keys: Column | str) -> Column:
 
 
 def unit(seed: str, *keys: Column | str) -> Column:
-    """Uniform number in (0, 1) for a row key, from the first eight hex digits of its digest."""
+    """Uniform number in (0, 1) for a row key, from the first 13 hex digits (52 bits) of its digest."""
     if all(isinstance(k, str) for k in keys):
         return F.expr(_unit_sql(_digest_sql(seed, keys)))
-    head = F.conv(F.substring(key_digest(seed, *keys), 1, 8), 16, 10).cast("bigint")
-    return (head + F.lit(0.5)) / F.lit(4294967296.0)
+    head = F.conv(F.substring(key_digest(seed, *keys), 1, 13), 16, 10).cast("bigint")
+    return (head + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
 def uniform_index(n: str, seed: str, *keys: str) -> Column:

@@ -101,7 +101,9 @@ def build_apps(records: DataFrame, products: DataFrame | None = None) -> DataFra
     first = normalise(records).groupBy("app").agg(F.min_by(fields, "pos").alias("r")).select("app", "r.*")
     if products is None:
         return first.withColumn("products", F.lit(None).cast("array<string>"))
-    by_key = products.select(F.lower("app").alias("__key"), "products")
+    # Names that differ by case are one application: its product lists are joined, each product once.
+    lists = F.array_distinct(F.flatten(F.array_sort(F.collect_list("products"))))
+    by_key = products.groupBy(F.lower("app").alias("__key")).agg(lists.alias("products"))
     return first.join(by_key, F.lower("app") == F.col("__key"), "left").drop("__key")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.variant import vget
 from corvane.functions.vectors import batch_encode, hash_encode
+from corvane.operators.skew import salted_join
 from corvane.vocab import DOCUMENT_SEPARATOR, TAG_APP, TAG_OBJECT, TAG_OPERATION
 
 
@@ -52,7 +53,7 @@ def embed_distinct(
     keyed = rows.where(F.length(text) > 0).withColumn("__key", F.md5(F.lower(text)))
     distinct = keyed.groupBy("__key").agg(F.first(F.lower(text)).alias("__text"))
     vectors = embed_texts(distinct, "__text", encoder, out, dim).select("__key", out)
-    return keyed.join(vectors, "__key", "inner").drop("__key")
+    return salted_join(keyed, vectors, ["__key"], [c for c in rows.columns]).drop("__key")
 
 
 def with_attributes(vectors: DataFrame, all_elements: DataFrame) -> DataFrame:

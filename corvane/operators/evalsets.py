@@ -59,8 +59,9 @@ def single_object_commands(commands: DataFrame, utt: DataFrame) -> DataFrame:
 
 
 def eval_single_object(censored: DataFrame, order: str = "source") -> DataFrame:
-    """First censored description of each command."""
-    first = censored.groupBy("command").agg(F.min_by("description_censored", order).alias("utterances"))
+    """First censored description of each command that is there; null only where all are."""
+    filled = F.when(F.col("description_censored").isNotNull(), F.col(order))
+    first = censored.groupBy("command").agg(F.min_by("description_censored", filled).alias("utterances"))
     return first.select("utterances", F.col("command").alias("commands"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.sampling import key_digest
 from corvane.functions.text import command_part, rstrip_chars
-from corvane.operators.skew import first_row, number_rows
+from corvane.operators.skew import first_row, number_rows, salted_join
 
 
 def group_list(df: DataFrame, by: Sequence[str], col: str, order: Sequence[str]) -> DataFrame:
@@ -111,7 +111,7 @@ def ambiguity_report(named: DataFrame, app: str, lemma: str) -> DataFrame:
     """Commands behind each ambiguous lemma with their operation, one row per command."""
     found = ambiguous_objects(named, app, lemma)
     rows = named.select(lemma, app, "command").distinct()
-    joined = rows.join(found, lemma, "inner")
+    joined = salted_join(rows, found, [lemma], [app, "command"])
     return joined.select(lemma, "n_apps", app, "command", command_part(F.col("command"), -1).alias("method"))
 
 
@@ -126,7 +126,7 @@ def description_index(descriptions: DataFrame, text: str, element: str) -> DataF
     lowered = descriptions.where(F.length(text) > 0).select(F.lower(text).alias("text"), element)
     keyed = lowered.withColumn("text_key", F.md5("text"))
     # The text itself never enters the shuffle of the element count, only its digest does.
-    counts = keyed.groupBy("text_key").agg(F.min(element).alias("first_element"), F.count(F.lit(1)).alias("n_elements"))
+    counts = keyed.groupBy("text_key").agg(F.min(element).alias("first_element"), F.count_distinct(element).alias("n_elements"))
     return counts
 
 

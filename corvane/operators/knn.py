@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corvane.functions.vectors import unit_rows
+from corvane.operators.skew import salted_join
 
 TILE = 4096
-FEW_QUERIES = 2048
 DIGITS = 9  # distances are rounded before ranking, so that the order does not hang on the order of additions
 _BLOCK = 2_000_000  # cells of a distance block
 
@@ -116,7 +116,7 @@ def tiled_topk(
 
     if keys:
         grid = _blocks(queries, keys, "__qn", tile).join(_blocks(corpus, keys, "__cn", tile), keys, "inner")
-        q, c = queries.join(grid, keys, "inner"), corpus.join(grid, keys, "inner")
+        q, c = salted_join(queries, grid, keys, ["query_id"]), salted_join(corpus, grid, keys, ["item_id"])
     else:
         # One group: its two sizes are scalars, nothing is joined.
         sizes = {"__qn": _blocks(queries, [], "__qn", tile).scalar(), "__cn": _blocks(corpus, [], "__cn", tile).scalar()}
@@ -134,22 +134,6 @@ def tiled_topk(
     return q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(work, schema)
 
 
-def streamed_topk(queries: pd.DataFrame, corpus: DataFrame, k: int, schema: StructType, carry: Sequence[str] = ()) -> DataFrame:
-    """The same for a small local query table: every task keeps the best ``k`` of its part of the corpus."""
-    names = list(carry)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in frames:
-            found = _tile_top(queries, frame, k, names)
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            best = best.sort_values(["query_id", "distance", "item_id"]).groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return corpus.mapInPandas(work, schema)
-
-
 def rank_hits(hits: DataFrame, k: int, by: Sequence[str] = ("query_id",), order: Sequence[str] = ("distance", "item_id")) -> DataFrame:
     """The ``k`` best hits per query with their rank; each task keeps only its own best ``k`` before the shuffle."""
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
@@ -181,19 +165,14 @@ def knn(
     k: int,
     keys: Sequence[str] = (),
     tile: int = TILE,
-    few: int = FEW_QUERIES,
 ) -> DataFrame:
     """``(query_id, item_id, distance, rank)``: the ``k`` items nearest to each query by cosine distance.
 
     ``queries`` holds ``query_id, query_vec`` and ``corpus`` holds ``item_id, item_vec``; with ``keys`` only rows that
-    agree on them meet. ``few = 0`` always tiles.
+    agree on them meet.
     """
     q = queries.select(*keys, "query_id", "query_vec")
     c = corpus.select(*keys, "item_id", "item_vec")
-    if not keys and few > 0:
-        local = q.limit(few + 1).toPandas()
-        if len(local) <= few:
-            return rank_hits(streamed_topk(local, c, k, _schema(q, c, ())), k)
     return rank_hits(tiled_topk(q, c, k, keys, tile=tile), k)
 
 

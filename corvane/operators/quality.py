@@ -17,18 +17,18 @@ def _warnings(*conditions: tuple[Column, Column | str]) -> Column:
 
 def missing(keys: Sequence[str]) -> list[tuple[Column, str]]:
     """Warnings for columns that are null."""
-    return [(F.col(k).isNull(), f"missing {k}") for k in keys]
+    return [(F.col(k).isNull(), f"no {k}") for k in keys]
 
 
 def app_warnings(name: str = "app", record: str = "record", dialect: str = "dialect") -> Column:
     own = vget(record, "name")
     nested = F.col(dialect) == "nested"
     return _warnings(
-        (F.col(name) != own, F.concat(F.lit("name ("), F.col(name), F.lit(") and name ("), own, F.lit(") differ"))),
-        (~has_key(record, "name"), "missing name"),
-        (~nested & ~has_key(record, "display_name"), "missing display_name"),
-        (nested & ~has_key(record, "displayName"), "missing displayName"),
-        (~has_key(record, "description"), "missing description"),
+        (F.col(name) != own, F.concat(F.lit("name-conflict: "), F.col(name), F.lit(" | "), own)),
+        (~has_key(record, "name"), "no name"),
+        (~nested & ~has_key(record, "display_name"), "no display_name"),
+        (nested & ~has_key(record, "displayName"), "no displayName"),
+        (~has_key(record, "description"), "no description"),
     )
 
 
@@ -39,36 +39,35 @@ def object_warnings(
     own = vget(summary, "name")
     nested = F.col(dialect) == "nested"
     shown, inner = vget(summary, "displayName"), vget(summary, "display.name")
-    lacks = F.lit("missing displayName")
+    lacks = F.lit("no displayName")
     if patch:
-        lacks = F.when(inner.isNotNull(), F.lit("missing displayName (patched)")).otherwise(lacks)
+        lacks = F.when(inner.isNotNull(), F.lit("no displayName, display.name used")).otherwise(lacks)
     differ = F.concat(
-        F.lit("displayName ("),
-        F.coalesce(shown, F.lit("None")),
-        F.lit(") and display/name ("),
-        F.coalesce(inner, F.lit("None")),
-        F.lit(") differ"),
+        F.lit("label-conflict: "),
+        F.coalesce(shown, F.lit("-")),
+        F.lit(" | "),
+        F.coalesce(inner, F.lit("-")),
     )
     return _warnings(
-        (F.col(name) != own, F.concat(F.lit("name ("), F.col(name), F.lit(") and name ("), own, F.lit(") differ"))),
+        (F.col(name) != own, F.concat(F.lit("name-conflict: "), F.col(name), F.lit(" | "), own)),
         (nested & ~shown.eqNullSafe(inner), differ),
-        (~has_value(summary, "name"), "missing name"),
-        (~nested & ~has_value(summary, "display_name"), "missing display_name"),
+        (~has_value(summary, "name"), "no name"),
+        (~nested & ~has_value(summary, "display_name"), "no display_name"),
         (nested & ~has_value(summary, "displayName"), lacks),
-        (~has_value(summary, "description"), "missing description"),
-        (nested & ~has_value(summary, "display.description"), "missing display/description"),
-        (nested & ~has_value(summary, "display.name"), "missing display/name"),
+        (~has_value(summary, "description"), "no description"),
+        (nested & ~has_value(summary, "display.description"), "no display.description"),
+        (nested & ~has_value(summary, "display.name"), "no display.name"),
     )
 
 
 def operation_warnings(summary: str = "op_summary", details: str = "op_details", dialect: str = "dialect") -> Column:
     nested = F.col(dialect) == "nested"
     return _warnings(
-        (~nested & ~has_value(summary, "description"), "missing description"),
-        (~nested & ~has_value(summary, "display_name"), "missing display_name"),
-        (nested & ~has_value(summary, "display.description"), "missing display/description"),
-        (nested & ~has_value(summary, "display.name"), "missing display/name"),
-        (nested & F.col(details).isNotNull(), "unexpected detailed metadata"),
+        (~nested & ~has_value(summary, "description"), "no description"),
+        (~nested & ~has_value(summary, "display_name"), "no display_name"),
+        (nested & ~has_value(summary, "display.description"), "no display.description"),
+        (nested & ~has_value(summary, "display.name"), "no display.name"),
+        (nested & F.col(details).isNotNull(), "surplus op_details"),
     )
 
 

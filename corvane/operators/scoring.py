@@ -14,7 +14,6 @@ from corvane.functions.fuzzy import position_masks
 from corvane.functions.text import clean_generation, normalise_label, program_tokens
 from corvane.vocab import CLARIFICATION, DOCUMENT_SEPARATOR, PROMPT_LAYOUTS
 
-EXACT = 1e-4
 RETRIEVED = 5  # candidates retrieved per utterance
 
 
@@ -120,16 +119,13 @@ def token_distance(a: Column, b: Column) -> Column:
 def exact_match(test: DataFrame, distance: bool = False, brackets: bool = True) -> DataFrame:
     """Cleaned generation against the label: ``exact``, and with ``distance`` the normalised token distance.
 
-    The distance is within the threshold of an exact match only when the token arrays are equal (a single edit costs
-    1 / length), except for programs of over 10,000 tokens; the flag alone therefore stays on the JVM.
+    ``exact`` is equality of the token arrays, with and without the distance, for programs of any length.
     """
     cleaned = normalise_label(clean_generation(F.col("generations"), brackets))
     rows = test.withColumns({"response": cleaned, "label": normalise_label(F.col("commands"))})
     left, right = program_tokens(F.col("response")), program_tokens(F.col("label"))
-    if not distance:
-        return rows.withColumn("exact", F.coalesce(left == right, F.lit(False)))
-    scored = rows.withColumn("distance", token_distance(left, right))
-    return scored.withColumn("exact", F.coalesce(F.col("distance") <= EXACT, F.lit(False)))
+    rows = rows.withColumn("exact", F.coalesce(left == right, F.lit(False)))
+    return rows.withColumn("distance", token_distance(left, right)) if distance else rows
 
 
 def report(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 
 
+SALTS = 16  # tasks that share the rows of one key in a join with an aggregate by that key
 PREFIX = 4  # hex digits of a digest that name a slice of a group: up to 65,536 slices
 
 
@@ -65,7 +67,7 @@ def number_rows(
 ) -> DataFrame:
     """Zero-based number of each row in its group, ordered by ``digest`` and then ``ties``.
 
-    Group columns must not be null. The leading ``prefix`` hex digits of the digest cut a group into up to
+    The rows of a null group are one group. The leading ``prefix`` hex digits of the digest cut a group into up to
     ``16**prefix`` slices, which are numbered on their own. Only the slice sizes meet in one window, and they are
     bounded by ``16**prefix`` per group. Rows and slice sizes come from the same shuffle.
     """
@@ -82,7 +84,10 @@ def number_rows(
     offsets = slices.withColumn("__before", F.sum("__n").over(running) - F.col("__n"))
     if total:
         offsets = offsets.withColumn(total, F.sum("__n").over(scope))
-    joined = ranked.drop("__n").join(offsets.drop("__n"), keys, "inner")
+    # Null-safe, so that rows of a null group are numbered as well.
+    offsets = offsets.select(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)], *[c for c in offsets.columns if c not in [*keys, "__n"]])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__o{i}")) for i, k in enumerate(keys)])
+    joined = ranked.drop("__n").join(offsets, same, "inner").drop(*[f"__o{i}" for i in range(len(keys))])
     return joined.withColumn(out, (F.col("__before") + F.col("__rank") - 1).cast("bigint")).drop(
         "__digest", "__slice", "__before", "__rank"
     )
@@ -122,6 +127,17 @@ def rows_at(
     return ranked.join(placed, ["__slice", "__rank"], "inner").drop("__slice", "__rank", "__digest")
 
 
+def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], row_key: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Inner join with a table of one row a key: the rows of a key are spread over ``salts`` tasks.
+
+    An aggregate by the join key is no shuffle of its own that adaptive execution could split, so the hot keys of the
+    large side are split here, and the (far smaller) other side is copied once for each salt.
+    """
+    own = F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return df.withColumn("__salt", own).join(small.withColumn("__salt", copies), [*keys, "__salt"], "inner").drop("__salt")
+
+
 def tiled_pairs(
     df: DataFrame, key: str, row_key: Sequence[str], residual, tile: int = 2000, suffixes=("_a", "_b")
 ) -> DataFrame:
@@ -136,7 +152,7 @@ def tiled_pairs(
         .where(F.col("__n") > 1)
         .select(key, F.ceil(F.col("__n") / F.lit(tile)).cast("int").alias("__blocks"))
     )
-    sized = df.join(sizes, key, "inner")
+    sized = salted_join(df, sizes, [key], row_key)
     block = F.pmod(F.xxhash64(*row_key), F.col("__blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("__blocks") - 1)
     value_cols = [c for c in df.columns if c != key]

@@ -28,7 +28,7 @@ def digest(seed: str, *keys: str) -> str:
 
 
 def u(seed: str, *keys: str) -> str:
-    return f"((('0x' || substr({digest(seed, *keys)}, 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return f"((('0x' || substr({digest(seed, *keys)}, 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def idx(n: str, seed: str, *keys: str) -> str:
@@ -456,16 +456,16 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'schema', app, count(DISTINCT object) FROM jn WHERE NOT nested AND object = 'plate' AND op <> 'DELETED' GROUP BY app"
     )
     sql["json_orphans"] = _with(cat, JSON) + "SELECT DISTINCT app, object FROM jl WHERE length(app) <> 7"
-    sql["quality_warnings"] = _with(cat, JSON) + """SELECT app AS name, 'missing description' warnings FROM japp WHERE description IS NULL
+    sql["quality_warnings"] = _with(cat, JSON) + """SELECT app AS name, 'no description' warnings FROM japp WHERE description IS NULL
   UNION ALL SELECT app || '/' || object, concat_ws(', ',
-    CASE WHEN coalesce(own_display, '?') <> inner_display THEN 'displayName (' || coalesce(own_display, 'None') || ') and display/name (' || inner_display || ') differ' END,
-    CASE WHEN own_display IS NULL THEN 'missing displayName (patched)' END,
-    CASE WHEN description IS NULL THEN 'missing description' END) FROM jobj
+    CASE WHEN coalesce(own_display, '?') <> inner_display THEN 'label-conflict: ' || coalesce(own_display, '-') || ' | ' || inner_display END,
+    CASE WHEN own_display IS NULL THEN 'no displayName, display.name used' END,
+    CASE WHEN description IS NULL THEN 'no description' END) FROM jobj
   WHERE nested AND (coalesce(own_display, '?') <> inner_display OR description IS NULL)"""
     sql["json_interaction_diff"] = _with(cat, JSON) + (
         "SELECT DISTINCT l.app, l.object, l.op, 'summary only' side FROM jl l JOIN jschema USING (app, object) WHERE l.op = 'DELETED'"
     )
-    sql["missing_labels"] = "SELECT doc_id, 'missing quality, missing toxic' warnings FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+    sql["missing_labels"] = "SELECT doc_id, 'no quality, no toxic' warnings FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
     sql["complete_rows"] = "SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)"
     sql["interaction_diff"] = (
         "SELECT doc_id, 'summary only' side FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) "
@@ -515,7 +515,7 @@ JOIN o ON o.i = {idx('o.n', SEED + '/left', 'd.draw')} JOIN pn ON pn.i = {idx('p
         "SELECT a.bo, a.app app_a, b.app app_b FROM p a JOIN p b ON a.bo = b.bo AND a.app <> b.app"
     )
     # groups
-    sql["distinct_text_index"] = "SELECT md5(lower(text)) text_key, min(doc_id) first_element, count(*) n_elements FROM documents WHERE length(text) > 0 GROUP BY 1"
+    sql["distinct_text_index"] = "SELECT md5(lower(text)) text_key, min(doc_id) first_element, count(DISTINCT doc_id) n_elements FROM documents WHERE length(text) > 0 GROUP BY 1"
     sql["text_postings"] = "SELECT DISTINCT md5(lower(text)) text_key, doc_id FROM documents WHERE length(text) > 0"
     sql["distinct_objects"] = _with(wide, utt()) + "SELECT DISTINCT app || '.' || object objects, app, object FROM utt"
     sql["object_names"] = _with(wide, utt(), OBJECTS) + "SELECT * FROM objs"

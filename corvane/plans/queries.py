@@ -633,13 +633,13 @@ def _hits(df):
 @query
 def knn_exact(spark, d):
     q, c = _search(spark, d)
-    return _hits(knn.knn(q, c, 5, few=0))
+    return _hits(knn.knn(q, c, 5))
 
 
 @query
 def knn_streamed(spark, d):
     q, c = _search(spark, d)
-    return _hits(knn.knn(q, c, 5, few=1_000_000))
+    return _hits(knn.knn(q, c, 5, tile=512))
 
 
 @query
@@ -648,7 +648,7 @@ def knn_filtered(spark, d):
     q = tree.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     wanted = knn.filter_corpus(tree, typename=["bo", "op"], kind="triggers", product="cloud")
     c = wanted.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec"))
-    return _hits(knn.knn(q, c, 5, few=0))
+    return _hits(knn.knn(q, c, 5))
 
 
 @query
@@ -728,7 +728,7 @@ def corpus_rows(spark, d):
 
 def _neighbours(spark, d):
     q, c = _search(spark, d)
-    others = knn.knn(q, c, 6, few=0).where(F.col("query_id") != F.col("item_id"))
+    others = knn.knn(q, c, 6).where(F.col("query_id") != F.col("item_id"))
     return knn.rank_hits(others.drop("rank"), 5)
 
 

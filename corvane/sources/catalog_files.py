@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from corvane.operators.catalog import explode_apps, explode_objects, quarantine_listings, quarantine_schemas
 
-GLOB_APPS = 200  # a filter of up to this many names becomes part of the path, so other files are never listed
-
 
 def _path_part(from_end: int) -> Column:
     """Part of the file path counted from its end, unescaped and without the suffix."""
@@ -19,12 +17,6 @@ def _path_part(from_end: int) -> Column:
     return F.regexp_replace(F.url_decode(raw), r"\.json$", "")
 
 
-def _glob(apps: Sequence[str] | None) -> str:
-    if apps is None or len(apps) > GLOB_APPS or any(set(a) & set("{},*?[]\\/") for a in apps):
-        return "*"
-    return "{" + ",".join(sorted(apps)) + "}"
-
-
 def read_apps(spark: SparkSession, path: str, apps: Sequence[str] | None = None) -> DataFrame:
     """``(app, pos, record)`` of an application map or list."""
     docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
@@ -33,7 +25,7 @@ def read_apps(spark: SparkSession, path: str, apps: Sequence[str] | None = None)
 
 def read_listings(spark: SparkSession, directory: str, apps: Sequence[str] | None = None) -> DataFrame:
     """Raw object listings ``(app, doc)``, one file per application."""
-    files = spark.read.text(f"{directory}/{_glob(apps)}.json", wholetext=True)
+    files = spark.read.option("pathGlobFilter", "*.json").text(directory, wholetext=True)
     docs = files.select(_path_part(1).alias("app"), F.try_parse_json("value").alias("doc"))
     return docs.where(F.col("app").isin(list(apps))) if apps is not None else docs
 
@@ -46,7 +38,8 @@ def read_objects(spark: SparkSession, directory: str, apps: Sequence[str] | None
 
 def read_schemas(spark: SparkSession, directory: str, apps: Sequence[str] | None = None) -> DataFrame:
     """Good object schemas ``(app, object, doc)``, one file per object in a directory per application."""
-    files = spark.read.text(f"{directory}/{_glob(apps)}/*.json", wholetext=True)
+    found = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true")
+    files = found.text(directory, wholetext=True)
     docs = files.select(
         _path_part(2).alias("app"), _path_part(1).alias("object"), F.try_parse_json("value").alias("doc")
     )

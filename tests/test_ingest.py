@@ -146,20 +146,20 @@ def test_skipped_and_orphans(spark, catalog_dir):
 
 def test_warnings(catalog):
     apps = {r.app: r.warnings for r in quality.with_warnings(catalog.apps, quality.app_warnings()).collect()}
-    assert apps == {"box": ["missing description"], "legacy": ["missing displayName", "missing description"]}
+    assert apps == {"box": ["no description"], "legacy": ["no displayName", "no description"]}
     objects = {r.object: r.warnings for r in quality.with_warnings(catalog.objects, quality.object_warnings()).collect()}
-    assert objects["file"] == ["displayName (None) and display/name (File) differ", "missing displayName (patched)"]
-    assert objects["label"] == ["missing description"]
+    assert objects["file"] == ["label-conflict: - | File", "no displayName, display.name used"]
+    assert objects["label"] == ["no description"]
     assert objects["row"] == [
-        "displayName (Row) and display/name (None) differ", "missing description", "missing display/description", "missing display/name",
+        "label-conflict: Row | -", "no description", "no display.description", "no display.name",
     ]
 
 
 def test_operation_warnings(catalog):
     rows_ = quality.with_warnings(catalog.operations, quality.operation_warnings()).collect()
     assert {(r.object, r.op): r.warnings for r in rows_} == {
-        ("mail", "DELETEALL"): ["missing description", "missing display_name"],
-        ("label", "UPDATE"): ["missing description", "missing display_name"],
+        ("mail", "DELETEALL"): ["no description", "no display_name"],
+        ("label", "UPDATE"): ["no description", "no display_name"],
     }
 
 
@@ -275,3 +275,46 @@ def test_load_or_build(spark, tmp_path):
         tables.load_or_build(spark, path, build, "other")
     tables.load_or_build(spark, path, build, "other", reload=True)
     assert len(built) == 2
+
+
+def test_filter_keeps_objects_without_schema(spark, tmp_path):
+    from corvane.sources.catalog_files import read_listings, read_schemas
+
+    for folder in ("objects", "schemas/b"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "objects/a.json").write_text("[]")
+    (tmp_path / "objects/b.json").write_text("[]")
+    (tmp_path / "schemas/b/o.json").write_text("{}")
+    many = ["a", *(f"x{i}" for i in range(300))]
+    for apps in (["a"], many):
+        assert [r.app for r in read_listings(spark, str(tmp_path / "objects"), apps).collect()] == ["a"]
+        assert read_schemas(spark, str(tmp_path / "schemas"), apps).count() == 0
+
+
+def test_product_names_that_differ_by_case_are_one_app(spark):
+    from corvane.operators.catalog import build_apps
+
+    records = spark.sql("SELECT 'gmail' app, 0L pos, parse_json('{\"name\":\"gmail\"}') record")
+    products = spark.createDataFrame([("GMail", ["b", "a"]), ("gmail", ["a", "c"])], "app string, products array<string>")
+    rows = build_apps(records, products).collect()
+    assert len(rows) == 1 and sorted(rows[0].products) == ["a", "b", "c"]
+
+
+def test_index_counts_elements_once_and_first_filled_value_wins(spark):
+    from corvane.operators.evalsets import eval_single_object
+    from corvane.operators.grouping import description_index
+
+    texts = spark.createDataFrame([("Mail", 1), ("mail", 1), ("mail", 2)], "text string, element int")
+    assert [r.n_elements for r in description_index(texts, "text", "element").collect()] == [2]
+    rows = spark.createDataFrame([("c", 1, None), ("c", 2, "x"), ("d", 1, None)], "command string, source int, description_censored string")
+    assert {r.commands: r.utterances for r in eval_single_object(rows).collect()} == {"c": "x", "d": None}
+
+
+def test_rows_of_a_null_group_are_numbered(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.operators.skew import number_rows
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("g", 3)], "k string, v int")
+    got = number_rows(rows, ["k"], F.md5(F.col("v").cast("string")), ["v"]).collect()
+    assert sorted((r.k or "", r.idx) for r in got) == [("", 0), ("", 1), ("g", 0)]
