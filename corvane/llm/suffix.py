@@ -5,9 +5,10 @@ difference cover at which both texts are sampled. So only sampled positions (9 %
 corpus: the samples of equal strings get one rank (a hash of the bytes that every window leaves behind the offset), and
 ranks that one text alone has, once, are dropped. A suffix whose first ``LENGTH`` bytes hold no sample with a shared rank
 ties with no other, so it is never sorted. The others go to suffix buckets by their smallest 8-gram hash, which equal
-suffixes share and neighbours mostly do; each bucket is sorted by itself, with 96-bit hashes of the first ``LENGTH``
-bytes in place of the bytes, and its ties are returned as runs of positions. Only ties matter, so ranks need no
-alphabetical order. Memory is bounded by a task's share of rows, not by a text collection.
+suffixes share and neighbours mostly do, so that neighbours travel as one piece of text; each bucket is sorted by
+itself, with 128-bit hashes of the first ``LENGTH`` bytes in place of the bytes, and its ties are returned as runs of
+positions. Only ties matter, so ranks need no alphabetical order. A bucket beyond ``BUCKET_BYTES`` is spread over the
+cluster suffix by suffix instead, so memory is bounded whatever the texts share.
 
 Equal texts are one class: one stands for all, and all their bytes repeat if they are long enough.
 
@@ -33,6 +34,7 @@ PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 GRAM = 8
 BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 23  # what a task sorts of one bucket at a time
 
 
 class Roller:
@@ -163,16 +165,17 @@ def _shared(samples: DataFrame) -> DataFrame:
     return samples.repartition("rank").sortWithinPartitions("rank", "class").mapInArrow(run, "class bigint, rank bigint")
 
 
-def _suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(bucket, h, class, at) of every suffix that holds a shared sample in its first ``length`` bytes.
+def _segments(texts: DataFrame, length: int) -> DataFrame:
+    """(bucket, class, low, data): the suffixes that hold a shared sample in their first ``length`` bytes.
 
-    ``at`` has the position in its upper 32 bits and more hash bits below. A class's texts go through one task each.
+    Neighbouring suffixes of one bucket travel as one segment: ``data`` starts at byte ``low`` of the text and holds the
+    first bytes of all of them, so that a suffix costs about three bytes.
     """
     reach = length - PERIOD + 1
-    rollers = (11,), (12,)
 
     def run(batches):
-        first, second = Roller(*rollers[0]), Roller(*rollers[1])
+        first, second = Roller(11), Roller(12)
+        rows, held = [], 0
         for batch in batches:
             for body, c, live in zip(*(x.to_pylist() for x in batch.columns)):
                 data = np.frombuffer(body, np.uint8)
@@ -190,56 +193,105 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
                     continue
                 second.load(data)
                 grams = second.at(np.arange(len(data) - GRAM + 1), GRAM)
-                bucket = sliding_min(grams, length - GRAM + 1)[starts]
-                more = second.at(starts, length) >> np.uint64(32)
-                at = (starts.astype(np.int64) << 32) | more.astype(np.int64)
-                for k in range(0, len(starts), 1 << 18):
-                    part = slice(k, k + (1 << 18))
-                    values = bucket[part].view(np.int64), first.at(starts[part], length).view(np.int64), np.full(len(at[part]), c), at[part]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=["bucket", "h", "class", "at"])
-
-    return texts.mapInArrow(run, "bucket bigint, h bigint, class bigint, at bigint")
-
+                bucket = sliding_min(grams, length - GRAM + 1)[starts].view(np.int64)
+                begin = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (starts[1:] != starts[:-1] + 1)))
+                end = np.append(begin[1:], len(starts)) - 1
+                for k, low, high in zip(bucket[begin].tolist(), starts[begin].tolist(), starts[end].tolist()):
+                    rows.append((k, c, low, body[low : high + length]))
+                    held += high - low + length
+                if held > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["bucket", "class", "low", "data"])
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["bucket", "class", "low", "data"])
+
+    return texts.mapInArrow(run, "bucket bigint, class bigint, low bigint, data binary")
+
+
+def _tied(h, more, owner, at):
+    """Runs (class, low, high) of the positions whose hashes another position has as well."""
+    order = np.lexsort((at, owner, more, h))
+    h, more, owner, at = h[order], more[order], owner[order], at[order]
+    fresh = _runs_of_equal(h, more, owner, at)  # a class may have gone through two tasks
+    h, more, owner, at = h[fresh], more[fresh], owner[fresh], at[fresh]
+    new = _runs_of_equal(h, more)
+    tied = ~(new & np.append(new[1:], True))
+    owner, at = owner[tied], at[tied]
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+    begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(at)) - 1 if len(at) else begin
+    return owner[begin], at[begin], at[end]
+
+
+def _sorted_buckets(segments: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
+    """(class, low, high, h, more): runs of tied positions, bucket by bucket.
+
+    A bucket of more than ``bucket_bytes`` (a passage of very many texts) is not sorted here: its suffixes are returned
+    one by one with their hashes, for a shuffle that spreads them.
+    """
+    columns = ("class", "low", "high", "h", "more")
 
-def _ties(suffixes: DataFrame) -> DataFrame:
-    """(class, low, high): runs of positions whose suffixes tie with another over the first bytes."""
+    def table(*values):
+        filled = [pa.nulls(len(values[0]), pa.int64()) if v is None else pa.array(v.astype(np.int64)) for v in values]
+        return pa.RecordBatch.from_arrays(filled, names=columns)
 
     def run(batches):
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def told():
-            if found:
-                owner, at = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((at, owner))
-                owner, at = owner[order], at[order]
-                begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
-                end = np.append(begin[1:], len(at)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(owner[begin]), pa.array(at[begin]), pa.array(at[end])], names=["class", "low", "high"])
-                found.clear()
-
-        def handle(h, owner, at):
-            nonlocal held
-            if not len(h):
-                return
-            order = np.lexsort((at >> 32, owner, at & 0xFFFFFFFF, h))
-            h, owner, at = h[order], owner[order], at[order]
-            fresh = _runs_of_equal(h, owner, at)  # a class may have gone through two tasks
-            h, owner, at = h[fresh], owner[fresh], at[fresh]
-            low = at & 0xFFFFFFFF
-            new = _runs_of_equal(h, low)
-            alone = new & np.append(new[1:], True)
-            found.append((owner[~alone], at[~alone] >> 32))
-            held += int((~alone).sum())
-            if held > 1 << 21:
-                held = 0
-                yield from told()
-
-        yield from _by_group(batches, 3, handle)
-        yield from told()
-
-    rows = suffixes.repartition("bucket").select("h", "class", "at").sortWithinPartitions("h")
-    return rows.mapInArrow(run, "class bigint, low bigint, high bigint")
+        first, second = Roller(11), Roller(12)
+
+        def hashed(rows):
+            data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+            sizes = np.array([len(r[3]) for r in rows], np.int64)
+            counts = sizes - length + 1
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = place + np.repeat(np.cumsum(sizes) - sizes, counts)
+            first.load(data)
+            second.load(data)
+            owner = np.repeat(np.array([r[1] for r in rows], np.int64), counts)
+            at = place + np.repeat(np.array([r[2] for r in rows], np.int64), counts)
+            return first.at(starts, length).view(np.int64), second.at(starts, length).view(np.int64), owner, at
+
+        def opened(rows):
+            h, more, owner, at = hashed(rows)
+            return table(owner, at, None, h, more)
+
+        whole, held, open_, size, wide, last = [], 0, [], 0, False, None
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                if row[0] != last:
+                    if wide and open_:
+                        yield opened(open_)
+                    elif not wide:
+                        whole += open_
+                        held += size
+                    open_, size, wide, last = [], 0, False, row[0]
+                    if held > 1 << 20:
+                        yield table(*_tied(*hashed(whole)), None, None)
+                        whole, held = [], 0
+                open_.append(row)
+                size += len(row[3])
+                if size > (1 << 20 if wide else bucket_bytes):
+                    yield opened(open_)
+                    open_, size, wide = [], 0, True
+        if wide and open_:
+            yield opened(open_)
+        elif not wide:
+            whole += open_
+        if whole:
+            yield table(*_tied(*hashed(whole)), None, None)
+
+    rows = segments.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
+
+
+def _ties(segments: DataFrame, length: int, folder: str, bucket_bytes: int) -> DataFrame:
+    """(class, low, high): runs of positions whose suffixes tie with another over the first bytes."""
+    found = stored(_sorted_buckets(segments, length, bucket_bytes), f"{folder}/buckets")
+    wide = found.where("h IS NOT NULL").select("h", "more", "class", F.col("low").alias("at")).distinct()
+    shared = wide.groupBy("h", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(shared.select("h", "more"), f"{folder}/wide")
+    tied = wide.join(shared, ["h", "more"]).select("class", F.col("at").alias("low"), F.col("at").alias("high"))
+    return found.where("h IS NULL").select("class", "low", "high").unionByName(tied)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -247,7 +299,9 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def repeats(df: DataFrame, text: str, length: int = LENGTH, keep: Column | None = None) -> DataFrame:
+def repeats(
+    df: DataFrame, text: str, length: int = LENGTH, keep: Column | None = None, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """``row``, ``n_bytes``, and ``spans``: the maximal runs of bytes covered by strings of ``length`` bytes that start
     anywhere else as well, as (start, end)."""
     if length < PERIOD + GRAM:
@@ -264,7 +318,7 @@ def repeats(df: DataFrame, text: str, length: int = LENGTH, keep: Column | None
     live = stored(live.join(classes, "class").select("class", "rid", "live"), f"{folder}/live")
     named = long_ones.select(row.alias("rid"), body.alias("body"))
     chosen = named.join(_few(live.select("rid")), "rid", "left_semi").join(live, "rid").select("body", "class", "live")
-    ties = stored(_ties(_suffixes(chosen, length)), f"{folder}/ties")
+    ties = _ties(_segments(chosen, length), length, folder, bucket_bytes)
     spans = ties.groupBy("class").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     found = classes.where("n > 1").select("class", "n").join(spans, "class", "full")
     found = stored(found.select("class", (F.col("n") > 1).alias("copied"), "runs"), f"{folder}/found")

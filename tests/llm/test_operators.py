@@ -157,7 +157,8 @@ def test_allocation_reaches_the_weight():
             assert weight > jaccard.most_different(x, jaccard.largest_partner(x, scheme, 75), 75)
 
 
-def test_suffixes(docs, none):
+@pytest.mark.parametrize("bucket_bytes", [suffix.BUCKET_BYTES, 500])
+def test_suffixes(docs, none, bucket_bytes):
     rows = docs.collect()
     bodies = [(r.text or "").encode() for r in rows]
     counts = collections.Counter(b[i : i + 200] for b in bodies for i in range(len(b) - 199))
@@ -170,7 +171,7 @@ def test_suffixes(docs, none):
         runs = int((np.diff(np.append(0, gone.astype(int))) > 0).sum())
         kept = bytes(x for x, g in zip(b, gone) if not g)
         expected.append(repr((r.doc_id, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())))
-    found = suffix.remaining(suffix.repeats(docs, "text", keep=F.struct("doc_id")))
+    found = suffix.remaining(suffix.repeats(docs, "text", keep=F.struct("doc_id"), bucket_bytes=bucket_bytes))
     got = [repr((r["row"]["doc_id"], r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in found.collect()]
     assert sorted(got) == sorted(expected)
     assert len({(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER}) == suffix.PERIOD
