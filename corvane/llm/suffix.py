@@ -32,7 +32,7 @@ LENGTH = 200
 #: Every residue modulo 133 is a difference of two of these (a perfect difference set).
 PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 GRAM = 8
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000  # row keys of 8 bytes
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 1 << 23  # what a task sorts of one bucket at a time
 
@@ -323,7 +323,7 @@ def repeats(
     found = classes.where("n > 1").select("class", "n").join(spans, "class", "full")
     found = stored(found.select("class", (F.col("n") > 1).alias("copied"), "runs"), f"{folder}/found")
     shaped = df.select((F.struct("*") if keep is None else keep).alias("row"), body.alias("body"), group.alias("class"))
-    joined = shaped.join(_few(found), "class", "left")
+    joined = shaped.join(found, "class", "left")
 
     def run(batch):
         out = {"n_bytes": [], "spans": []}
