@@ -74,7 +74,7 @@ def map_rows(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(out)
-        for batch in batches:
+        for batch in parts_of(batches):
             values = fn({n: batch.column(i + 1).to_pylist() for i, n in enumerate(names)})
             arrays = [pa.array(values[f.name], type=f.type) for f in target]
             row = batch.column(0)
@@ -83,6 +83,13 @@ def map_rows(
     return shaped.mapInArrow(run, schema)
 
 
+def parts_of(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that a worker holds the Python objects of one part at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def runs_of(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Slices of a list of texts of about ``limit`` characters each; a longer text is a slice of its own."""
     start, size = 0, 0

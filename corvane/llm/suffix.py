@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import map_rows, stored, work_folder
+from corvane.llm.common import map_rows, parts_of, stored, work_folder
 from corvane.llm.jaccard import mix
 
 LENGTH = 200
@@ -97,7 +97,7 @@ def _samples(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         roll, seen = Roller(*roller), set()
-        for batch in batches:
+        for batch in parts_of(batches):
             texts, classes = [], []
             for body, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if c not in seen:
@@ -176,7 +176,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         first, second = Roller(11), Roller(12)
         rows, held = [], 0
-        for batch in batches:
+        for batch in parts_of(batches, 100):
             for body, c, live in zip(*(x.to_pylist() for x in batch.columns)):
                 data = np.frombuffer(body, np.uint8)
                 windows = len(data) - length + 1
@@ -199,7 +199,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
                 for k, low, high in zip(bucket[begin].tolist(), starts[begin].tolist(), starts[end].tolist()):
                     rows.append((k, c, low, body[low : high + length]))
                     held += high - low + length
-                if held > 1 << 22:
+                if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["bucket", "class", "low", "data"])
                     rows, held = [], 0
         if rows:
@@ -256,7 +256,7 @@ def _sorted_buckets(segments: DataFrame, length: int, bucket_bytes: int) -> Data
             return table(owner, at, None, h, more)
 
         whole, held, open_, size, wide, last = [], 0, [], 0, False, None
-        for batch in batches:
+        for batch in parts_of(batches, 2000):
             for row in zip(*(x.to_pylist() for x in batch.columns)):
                 if row[0] != last:
                     if wide and open_:
