@@ -23,7 +23,7 @@ from corvane.llm.common import map_rows
 
 WINDOW = 10
 BLOCK_CHARS = 1 << 24
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in texts as they are, before A-Z are lower-cased
 _BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).translate(
     bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 )

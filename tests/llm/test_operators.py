@@ -19,7 +19,7 @@ LONG = "alpha beta gamma delta " * 3000
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 TEXTS = [
     None, "", " \n\t ", "one", "One two three four five six", "one two three four five six", LONG, LONG,
-    PASSAGE + " tail one", "head two " + PASSAGE, "Größe ñandú 日本語 text!\nshared line\n\nShared Line ",
+    PASSAGE + " tail one", "HEAD two " + PASSAGE.upper(), "Größe ñandú 日本語 text!\nshared line\n\nShared Line ",
     *[f"own {i}\nshared line\nlast {i}" for i in range(12)], "<|endoftext|> x<|endoftext|>", "a  b\t\tc \n d ", "ab" * 400,
 ]
 
