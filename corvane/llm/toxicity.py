@@ -25,6 +25,7 @@ from corvane.llm.langid import count_ngrams
 BITS = 18
 ORDERS = (3, 4, 5)
 SAMPLE = 1000
+INFORMATIVE = 0.2  # buckets with a smaller log-count ratio have the ratio 0 and are no feature
 PSEUDO = 100.0
 FLOOR = 60  # a shorter text counts as of so many n-grams, so that one n-gram alone decides nothing
 TOXIC_SHARE = 0.25
@@ -41,8 +42,10 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(known, "id")
 
 
-def _sample(rows: DataFrame, orders: Sequence[int], bits: int, sample: int) -> list:
-    """Sparse counts of the sampled texts, of both classes, on the driver."""
+def _sample(rows: DataFrame, orders: Sequence[int], features: np.ndarray, sample: int) -> list:
+    """Sparse counts of the features in the sampled texts, of both classes, on the driver."""
+    bits = len(features).bit_length() - 1
+    shared = rows.sparkSession.sparkContext.broadcast(features)
     digest = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
     chosen = rows.select(digest.alias("digest"), "id", "label")
     picked = [chosen.where(F.col("label") == k).orderBy("digest", "id").limit(sample) for k in (0, 1)]
@@ -54,7 +57,7 @@ def _sample(rows: DataFrame, orders: Sequence[int], bits: int, sample: int) -> l
         for t in batch["text"]:
             points, offsets = code_points([t.lower()])
             h = np.concatenate([ngram_buckets(points, o, bits) for o in orders])
-            u, c = np.unique(h, return_counts=True)
+            u, c = np.unique(h[shared.value[h]], return_counts=True)
             out["buckets"].append(u.astype(np.int32).tobytes())
             out["counts"].append(c.astype(np.int32).tobytes())
             out["n"].append(len(h))
@@ -86,26 +89,26 @@ def _logistic(starts, buckets, values, y, size: int, rounds: int = 120, rate: fl
 
 def fit(rows: DataFrame, orders: Sequence[int] = ORDERS, bits: int = BITS, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
     """Weight of each bucket (ratio times classifier weight) and bias, from ``labelled`` rows; None without two classes."""
-    counts = count_ngrams(rows, F.col("text"), F.col("label"), orders, bits)
-    grouped = counts.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).collect()
-    by_label = {r.label: np.array(r.cells, np.int64).reshape(-1, 2) for r in grouped if r.label in ("0", "1")}
-    if len(by_label) < 2:
+    counts = count_ngrams(rows, F.col("text"), F.col("label"), orders, bits).toArrow()
+    label, bucket, n = (counts.column(c).to_numpy(zero_copy_only=False) for c in ("label", "bucket", "n"))
+    if not {"0", "1"} <= set(label):
         return None
     tables = []
-    for label in ("1", "0"):
+    for k in ("1", "0"):
         table = np.zeros(1 << bits)
-        table[by_label[label][:, 0]] = by_label[label][:, 1]
+        table[bucket[label == k]] = n[label == k]
         tables.append(table)
     # Pseudo-counts at the pooled rate: a bucket that says little has a ratio near 0.
     toxic, clean = (t + PSEUDO * t.sum() / (tables[0].sum() + tables[1].sum()) for t in tables)
     ratio = np.log(toxic / clean) - np.log(tables[0].sum() / tables[1].sum())
-    picked = _sample(rows, orders, bits, sample)
+    ratio[np.abs(ratio) < INFORMATIVE] = 0.0
+    picked = _sample(rows, orders, ratio != 0, sample)
     buckets = np.concatenate([np.frombuffer(r.buckets, np.int32) for r in picked])
     sizes = np.array([len(r.buckets) // 4 for r in picked])
-    shares = np.concatenate([np.frombuffer(r.counts, np.int32) / max(FLOOR, r.n) for r in picked])
+    shares = np.concatenate([np.frombuffer(r.counts, np.int32) / np.float32(max(FLOOR, r.n)) for r in picked])
     y = np.array([r["row"]["label"] for r in picked])
     scale = 100.0
-    weights, bias = _logistic(np.append(0, np.cumsum(sizes)), buckets, shares * ratio[buckets] * scale, y, 1 << bits)
+    weights, bias = _logistic(np.append(0, np.cumsum(sizes)), buckets, shares * (ratio[buckets] * scale).astype(np.float32), y, 1 << bits)
     return (weights * ratio * scale).astype(np.float32), bias
 
 
