@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    scored = toxicity.score(docs, F.col("text"), toxicity.fit(rows))
+    scored = toxicity.score(docs, "text", toxicity.fit(rows))
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
@@ -52,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.scan(docs, F.col("text"), table(spark, sf_dir, "benchmark"), size=10)
+    found = decontam.scan(docs, "text", table(spark, sf_dir, "benchmark"), size=10)
     return found.where("n_hit = 0").select("row.*")
 
 

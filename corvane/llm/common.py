@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1 << 20  # characters that one numpy step handles; a single longer text is handled whole
+CHUNK_CHARS = 1 << 18  # characters that one numpy step handles; a single longer text is handled whole
 
 #: White space of the word contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -54,17 +54,21 @@ def sha256_text(c: Column) -> Column:
 def map_rows(
     df: DataFrame,
     fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],
-    inputs: dict[str, Column],
+    inputs: dict[str, Column | str],
     outputs: str,
     keep: Column | None = None,
 ) -> DataFrame:
     """Columns of ``fn`` beside each row; ``fn`` gets and gives one dict of lists a batch, row for row.
 
     ``inputs`` are the only columns that Python unpacks; ``keep`` (default: the whole row as a struct, so that no
-    column name can clash) passes through untouched as ``row``.
+    column name can clash) passes through untouched as ``row``. An input given by its name is taken from the whole row
+    that passes anyway, so that its text crosses to Python once.
     """
     names = list(inputs)
-    shaped = df.select((F.struct("*") if keep is None else keep).alias("row"), *[c.alias(n) for n, c in inputs.items()])
+    held = {n: df.columns.index(c) for n, c in inputs.items() if keep is None and isinstance(c, str) and c in df.columns}
+    sent = {n: F.col(c) if isinstance(c, str) else c for n, c in inputs.items() if n not in held}
+    shaped = df.select((F.struct("*") if keep is None else keep).alias("row"), *[c.alias(n) for n, c in sent.items()])
+    place = {n: i + 1 for i, n in enumerate(sent)}
     out = df.sparkSession.createDataFrame([], outputs).schema
     schema = shaped.select("row").schema
     for field in out:
@@ -75,10 +79,13 @@ def map_rows(
 
         target = to_arrow_schema(out)
         for batch in parts_of(batches):
-            values = fn({n: batch.column(i + 1).to_pylist() for i, n in enumerate(names)})
-            arrays = [pa.array(values[f.name], type=f.type) for f in target]
             row = batch.column(0)
+            whole = row.flatten() if held else []
+            values = fn({n: (whole[held[n]] if n in held else batch.column(place[n])).to_pylist() for n in names})
+            arrays = [pa.array(values[f.name], type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays([row, *arrays], names=["row", *target.names])
+            del row, whole, values, arrays
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return shaped.mapInArrow(run, schema)
 

@@ -82,7 +82,7 @@ def blocks(patterns: DataFrame, block_chars: int) -> list[list[tuple[str, list[s
 
 def scan(
     df: DataFrame,
-    text: Column,
+    text: Column | str,
     benchmark: DataFrame,
     item: str = "item_id",
     item_text: str = "text",

@@ -41,7 +41,7 @@ def count_ngrams(df: DataFrame, text: Column, label: Column, orders: Sequence[in
                 by_label.setdefault(c, []).append(t.lower())
             for c, texts in by_label.items():
                 total = counts.setdefault(c, np.zeros(1 << bits, np.int64))
-                for a, b in runs_of(texts):
+                for a, b in runs_of(texts, 1 << 20):  # each slice adds whole tables
                     points, offsets = code_points(texts[a:b])
                     for order in orders:
                         h = ngram_buckets(points, order, bits)

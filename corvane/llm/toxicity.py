@@ -113,7 +113,7 @@ def fit(rows: DataFrame, orders: Sequence[int] = ORDERS, bits: int = BITS, sampl
 
 
 def score(
-    df: DataFrame, text: Column, model: tuple[np.ndarray, float] | None, orders: Sequence[int] = ORDERS, keep: Column | None = None
+    df: DataFrame, text: Column | str, model: tuple[np.ndarray, float] | None, orders: Sequence[int] = ORDERS, keep: Column | None = None
 ) -> DataFrame:
     """``row`` and ``score`` from 0 to 1, higher where the label 1 is likelier."""
     bits = 0 if model is None else len(model[0]).bit_length() - 1
