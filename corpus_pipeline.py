@@ -16,7 +16,7 @@ from corvane.llm import bpe, decontam, jaccard, linededup, toxicity
 from corvane.llm.common import stored, table, work_folder
 from corvane.llm.queries import vocabulary_path
 
-#: A learned classifier and an iterative join are no SQL; tests hold run() against a brute-force version.
+#: A learned classifier and an iterative join are no SQL; tests hold run() against a brute-force version of all but the fit.
 ORACLE_SQL = None
 
 
@@ -38,9 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of equal rows of the chosen document one stays; documents without words all stay."""
     folder = work_folder(spark, "near")
     linked = stored(jaccard.link(docs, "doc_id", "text", words=5, percent=75), f"{folder}/linked")
-    group = F.when(F.col("component").isNull(), F.col("class_key")).alias("unnamed")
     order = F.struct(F.col("id").isNull(), "id", "rid")
-    best = linked.where("n_shingles > 0").groupBy("component", group).agg(F.min(order).alias("best")).select("best.rid")
+    best = linked.where("n_shingles > 0").groupBy("group_key").agg(F.min(order).alias("best")).select("best.rid")
     stay = best.unionByName(linked.where("n_shingles = 0").select("rid")).distinct()
     repeated = linked.where("n_shingles > 0").groupBy("rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid")
     stay = stored(stay.join(repeated.withColumn("again", F.lit(True)), "rid", "left"), f"{folder}/stay")

@@ -281,7 +281,7 @@ def _tile_links(group, percent: int):
 
 
 def link(df: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """One row a document: ``id``, ``rid`` (a hash of id and text), ``n_shingles``, ``class_key`` and ``component``.
+    """One row a document: ``id``, ``rid`` (a hash of id and text), ``n_shingles``, ``class_key``, ``component``, ``group_key``.
 
     ``component`` is the smallest id that links of similarity of at least ``percent`` / 100 reach, the own one included.
     """
@@ -370,7 +370,7 @@ def link(df: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int
     named = ids.join(groups.select(F.col("node").alias("key"), "label"), "key", "left")
     named = stored(named.select("key", "id", F.coalesce("label", "key").alias("label")), f"{folder}/named")
     least = stored(named.groupBy("label").agg(F.min("id").alias("component")), f"{folder}/least")
-    final = stored(named.join(least, "label").select("key", "component"), f"{folder}/final")
+    final = stored(named.join(least, "label").select("key", "component", "label"), f"{folder}/final")
     out = docs.join(final, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select("id", "rid", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), component.alias("component"))
+    return out.select("id", "rid", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), component.alias("component"), F.col("label").alias("group_key"))
