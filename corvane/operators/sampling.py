@@ -190,6 +190,8 @@ def sampled_pairs(
 def capped_combinations(n_groups: Column, cap: int, seed: str, key: Column) -> Column:
     """Array of up to ``cap`` distinct numbers drawn uniformly without replacement from 0 .. n_groups**2 - 1.
 
+    No sampler uses it: the draw changes with the size, and ``ranked_combinations`` has one rule for all sizes.
+
     Up to 4 * cap numbers are ranked outright. Beyond that, 4 * cap independent draws are made and the first
     ``cap`` distinct ones kept, which has the same law; fewer than ``cap`` distinct values among them has a
     probability below (e / 64) ** cap.
@@ -216,6 +218,27 @@ def capped_combinations(n_groups: Column, cap: int, seed: str, key: Column) -> C
     return F.slice(F.when(space <= 4 * cap, ranked).otherwise(drawn), 1, cap)
 
 
+RANKED_AT_ONCE = 16384  # numbers that one row ranks; a larger space is cut into so many rows
+
+
+def ranked_combinations(counted: DataFrame, key: str, cap: int, seed: str) -> DataFrame:
+    """``counted`` with a row for each of the ``cap`` numbers ``__p`` of 0 .. __n**2 - 1 with the smallest digests.
+
+    The rule is the same at every size, and there are exactly min(cap, __n**2) numbers a key. All numbers are digested:
+    blocks of bounded size keep their own first ``cap``, which are ranked together.
+    """
+    space, size = F.col("__n") * F.col("__n"), F.lit(RANKED_AT_ONCE).cast("bigint")
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), space - 1, size))
+    # The blocks come from few rows; a fixed number of partitions is not coalesced into few tasks.
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = counted.withColumn("__start", start).repartition(tasks, key, "__start")
+    numbers = F.sequence(F.col("__start"), F.least(F.col("__start") + size, space) - 1)
+    digested = F.transform(numbers, lambda p: F.struct(key_digest(seed, key, p).alias("d"), p.alias("p")))
+    first = blocks.withColumn("__c", F.explode(F.slice(F.array_sort(digested), 1, cap)))
+    rank = F.row_number().over(W.partitionBy(key).orderBy("__c.d", "__c.p"))
+    return first.withColumn("__r", rank).where(F.col("__r") <= cap).withColumn("__p", F.col("__c.p")).drop("__start", "__c", "__r")
+
+
 def sampled_triples(
     numbered: DataFrame,
     groups: DataFrame,
@@ -238,7 +261,7 @@ def sampled_triples(
     third = _groups(groups, group, streams[1], roles[1], "b")
     # Every command appears in every stream, so the right and the third side have the same groups.
     count = right.select("groups_a").limit(1).scalar()
-    counted = left.withColumn("__n", count).withColumn("__p", F.explode(capped_combinations(F.col("__n"), cap, seed + "/cap", F.col(a))))
+    counted = ranked_combinations(left.withColumn("__n", count), a, cap, seed + "/cap")
     located = counted.withColumns({"g_a": F.floor(F.col("__p") / F.col("__n")).cast("bigint"), "g_b": F.col("__p") % F.col("__n")})
     keys = located.join(right, "g_a", "inner").join(third, "g_b", "inner").select(
         a,

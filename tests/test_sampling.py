@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,30 @@ def test_lemmatiser(spark):
     assert [r.l for r in lemmatise_last(df, "n", "l", nouns).collect()] == ["big box", "entry", "datum", "unknowns", "file"]
     table = spark.createDataFrame([("widget",)], "w string")
     assert Lemmatiser(spark, table, NOUN_RULES).add(df.limit(1), F.lit("widgets"), "l").first().l == "widget"
+
+
+@pytest.mark.parametrize("groups,cap", [(3, 20), (32, 250), (85, 250), (200, 250)])
+def test_ranked_combinations_have_one_rule(spark, groups, cap):
+    """The rule of the registered SQL, also above 31 groups, where draws once took its place."""
+    keys = spark.range(4).select(F.col("id").cast("string").alias("k"), F.lit(groups).cast("bigint").alias("__n"))
+    got = {}
+    for r in sampling.ranked_combinations(keys, "k", cap, "s").collect():
+        got.setdefault(r.k, []).append(r["__p"])
+    for k in "0123":
+        ranked = sorted(range(groups**2), key=lambda p: (md5(f"s|{k}|{p}".encode()).hexdigest(), p))
+        assert sorted(got[k]) == sorted(ranked[:cap])
+
+
+def test_triples_of_more_than_31_groups_are_the_ranked_ones(spark):
+    apps = [f"app{i}" for i in range(33)]
+    rows = [(s, role, a, f"{a}/{role}", 0) for s in ("x", "y") for role in ("trigger", "action") for a in apps]
+    draws = spark.createDataFrame(rows, "stream string, role string, app string, command string, source int")
+    numbered = sampling.number_draws(draws, "app")
+    groups = sampling.group_table(numbered, "app")
+    got = sampling.sampled_triples(numbered, groups, "app", ("x", "y"), ("trigger", "action"), "s", 250, ["command"])
+    order = sorted(apps, key=lambda a: (md5(a.encode()).hexdigest(), a))
+    expected = []
+    for a in apps:
+        ranked = sorted(range(33**2), key=lambda p: (md5(f"s/cap|{a}|{p}".encode()).hexdigest(), p))[:250]
+        expected += [(a, order[p // 33], order[p % 33]) for p in ranked]
+    assert sorted((r.app_t, r.app_a, r.app_b) for r in got.collect()) == sorted(expected)
