@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -176,25 +177,40 @@ def knn(
     return rank_hits(tiled_topk(q, c, k, keys, tile=tile), k)
 
 
+FAR_SIDES = 0.36  # share of hyperplanes between a query and a far neighbour: an angle of 65 degrees
+FOUND = 0.95
+
+
+def _tables(bits: int, probes: int) -> int:
+    """Tables that find a neighbour at ``FAR_SIDES`` with probability ``FOUND``, 8 at least."""
+    one = sum(math.comb(bits, k) * FAR_SIDES**k * (1 - FAR_SIDES) ** (bits - k) for k in range(min(probes, bits) + 1))
+    return max(8, math.ceil(math.log(1 - FOUND) / math.log(1 - one))) if one < 1 else 8
+
+
 def knn_lsh(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
-    tables: int = 8,
+    tables: int | None = None,
     bits: int | None = None,
-    probes: int = 1,
+    probes: int | None = None,
     seed: int = 17,
     tile: int = TILE,
 ) -> DataFrame:
     """Approximate neighbours: only rows that share a bucket meet, and those are ranked exactly.
 
     A bucket of a table is a pattern of ``bits`` sides of random hyperplanes. By default there are as many bits as make
-    an average bucket one tile, so the work per query stays the same when the corpus grows. With ``probes = 1`` a query
-    also visits the buckets that differ in one side. A full bucket is tiled like any other group, so no candidate is
-    cut. More tables raise the recall (see ``recall``).
+    an average bucket one tile. A query also visits the buckets that differ in up to ``probes`` sides. By default a
+    quarter of the bits may differ, and there are as many tables (8 at least) as find a neighbour at ``FAR_SIDES`` with
+    a probability of ``FOUND``, so the recall does not fall as the bits grow (see ``recall``). A full bucket is tiled
+    like any other group, so no candidate is cut.
     """
     if bits is None:
         bits = max(1, math.ceil(math.log2(max(2, corpus.count()) / tile)))
+    if probes is None:
+        probes = max(1, bits // 4)
+    if tables is None:
+        tables = _tables(bits, probes)
     # A bucket length above the norm of a unit vector leaves two buckets per projection: its sign.
     lsh = BucketedRandomProjectionLSH(
         inputCol="__unit", outputCol="__hash", numHashTables=tables * bits, bucketLength=2.0, seed=seed
@@ -208,15 +224,14 @@ def knn_lsh(
     model = lsh.fit(right)
     sides = F.transform("__hash", lambda h: F.when(F.get(vector_to_array(h), F.lit(0)) < 0, F.lit(0)).otherwise(F.lit(1)))
 
+    flips = [sum(1 << i for i in c) for n in range(min(probes, bits) + 1) for c in combinations(range(bits), n)]
+
     def pattern(row: Column) -> Column:
-        return F.array_join(row.cast("array<string>"), "")
+        return F.aggregate(row, F.lit(0).cast("bigint"), lambda code, side: code * 2 + side)
 
     def probed(row: Column) -> Column:
-        flips = F.transform(
-            F.sequence(F.lit(0), F.lit(bits - 1)),
-            lambda i: pattern(F.transform(row, lambda side, j: F.when(i == j, 1 - side).otherwise(side))),
-        )
-        return F.concat(F.array(pattern(row)), flips) if probes else F.array(pattern(row))
+        code = pattern(row)
+        return F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), lambda flip: code.bitwiseXOR(flip))
 
     def bucketed(df: DataFrame, columns: Sequence[str], patterns) -> DataFrame:
         hashed = model.transform(df).withColumn("__sides", sides)

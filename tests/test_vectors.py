@@ -82,6 +82,21 @@ def test_recall_on_the_embeddings(spark):
     assert knn.recall(found, exact).first().recall > 0.95
 
 
+@pytest.mark.parametrize("bits", [4, 8, 12])
+def test_recall_stays_as_the_bits_grow(spark, bits):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    c = rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec")).cache()
+    q = c.where("item_id % 16 = 0").limit(60).select(F.col("item_id").alias("query_id"), F.col("item_vec").alias("query_vec"))
+    share = knn.recall(knn.knn_lsh(q, c, 5, bits=bits), knn.knn(q, c, 5)).first().recall
+    print("bits", bits, "rows", c.count(), "recall@5", share)
+    assert share >= 0.9
+
+
+def test_default_bits_keep_the_recall(spark, points):
+    q, c = sides(points[2])
+    assert knn.recall(knn.knn_lsh(q, c, 5, tile=5), knn.knn(q, c, 5)).first().recall >= 0.9
+
+
 def test_hash_encoder(spark):
     texts = ["Create a file", "create  A file!", "", "été déjà vu", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
