@@ -471,6 +471,10 @@ def oracle_sql() -> dict[str, str]:
         "SELECT doc_id, 'summary only' side FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) "
         "UNION ALL SELECT doc_id, 'schema only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')"
     )
+    sql["interaction_diff_all"] = (
+        "SELECT doc_id, 'summary only' side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) "
+        "UNION ALL SELECT doc_id, 'schema only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"
+    )
     sql["flatten_nested"] = _with(cat) + "SELECT command path, description, app_display_name FROM cmds"
     sql["event_props_path"] = """SELECT event_id, p.path, CASE p.path WHEN 'outer.inner.k' THEN (props->>'$.k') WHEN 'flat.k' THEN (props->>'$.k')
     WHEN 'flat' THEN '{"type":' || replace(props, ' ', '') || '}' END AS value
@@ -554,6 +558,11 @@ win AS (SELECT text, app, s a, substr(l, unnest(range(1, length(l) + 1)), length
         ", best AS (SELECT text, app, floor(max(200.0::DOUBLE * l / (length(a) + length(b))) + 0.5)::INT r FROM win JOIN lcs USING (a, b) GROUP BY text, app) "
         "SELECT command, source, r app_score, r > 80 mentions FROM src JOIN best USING (text, app)"
     )
+    every_window = mention_windows.replace("utt WHERE source IN (2, 3)", "utt")
+    sql["mentions_app_all"] = _with(cat, utt(), every_window, lcs("win")) + (
+        ", best AS (SELECT text, app, floor(max(200.0::DOUBLE * l / (length(a) + length(b))) + 0.5)::INT r FROM win JOIN lcs USING (a, b) GROUP BY text, app) "
+        "SELECT command, source, r app_score, r > 80 mentions FROM src JOIN best USING (text, app)"
+    )
     sql["first_sentences"] = "SELECT doc_id, split_part(text, '.', 1) || '.' sentence FROM documents"
     sql["alias_eval"] = _with(cat, utt(None), ALIAS_EVAL) + "SELECT utterances, command commands FROM al"
     sql["templated_aliases"] = _with(cat, utt(None), ALIASES, TEMPLATED) + (
@@ -606,6 +615,11 @@ h1 AS (SELECT request_id, vec_id app_id FROM (SELECT request_id, c.vec_id,
     row_number() OVER (PARTITION BY request_id ORDER BY {dist('r.v', 'c.v')}, c.vec_id) k FROM req r, tree c WHERE typename = 'app') WHERE k <= 5)""") + (
         "SELECT request_id query_id, count(*) n, min(vec_id) AS first FROM h1 JOIN tree ON parent_id = app_id AND typename = 'bo' GROUP BY request_id"
     )
+    sql["candidate_rows_of_hits"] = _with(TREE, f"""
+h1 AS (SELECT request_id, vec_id app_id FROM (SELECT request_id, c.vec_id,
+    row_number() OVER (PARTITION BY request_id ORDER BY {dist('r.v', 'c.v')}, c.vec_id) k FROM req r, tree c WHERE typename = 'app') WHERE k <= 5)""") + (
+        "SELECT request_id query_id, parent_id, vec_id candidate FROM h1 JOIN tree ON parent_id = app_id AND typename = 'bo'"
+    )
     sql["match_hierarchy"] = match("true")
     sql["match_product"] = match("list_contains(products, 'cloud')")
     sql["request_rewrite"] = """WITH r AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'slack' ELSE 'box' END app, CASE WHEN event_type = 'click' THEN 'slash command' ELSE event_type END object,
@@ -633,6 +647,7 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 6) sim
     sql["token_counts"] = "SELECT doc_id, len(regexp_extract_all(text, '(\\w+|[^\\w ])', 1)) n_tokens FROM documents"
     lines = "coalesce((SELECT string_agg('    ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
     sql["prompt_rows"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('options', lines)} prompt FROM test WHERE turn = 0"
+    sql["prompt_rows_all"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('options', lines)} prompt FROM test"
     both = "coalesce((SELECT string_agg('    ' || text || ': ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
     sql["prompt_rows_pairs"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('pairs_and_apps', both, 'alpha, beta')} prompt FROM test"
     sql["prompt_rows_apps"] = _with(TEST) + f"SELECT conv_id, turn, {prompt('apps', '', 'alpha, beta')} prompt FROM test"

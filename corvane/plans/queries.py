@@ -232,6 +232,11 @@ def interaction_diff(spark, d):
     return quality.diff_interactions(english, s.table(spark, d, "labels"), ["doc_id"])
 
 
+@query
+def interaction_diff_all(spark, d):
+    return quality.diff_interactions(s.table(spark, d, "documents").select("doc_id"), s.table(spark, d, "labels"), ["doc_id"])
+
+
 @query
 def json_interaction_diff(spark, d):
     objects = _json_catalog(spark, d).objects
@@ -372,6 +377,11 @@ def mentions_app(spark, d):
     return rows.select("command", "source", "app_score", "mentions")
 
 
+@query
+def mentions_app_all(spark, d):
+    return generation.mentions_app(_utt(spark, d)).select("command", "source", "app_score", "mentions")
+
+
 # --- Groups -------------------------------------------------------------------------------------------------
 
 
@@ -667,6 +677,14 @@ def candidates_of_hits(spark, d):
     return knn.restrict(objects, hits, "parent_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("first"))
 
 
+@query
+def candidate_rows_of_hits(spark, d):
+    tree = s.element_tree(spark, d)
+    hits = match.match_apps(s.match_requests(spark, d), tree).select("query_id", F.col("element_id").alias("parent_id"))
+    objects = tree.where("typename = 'bo'").select("parent_id", F.col("element_id").alias("candidate"))
+    return knn.restrict(objects, hits, "parent_id").select("query_id", "parent_id", "candidate")
+
+
 @query
 def knn_lsh(spark, d):
     q, c = _search(spark, d)
@@ -785,6 +803,12 @@ def prompt_rows(spark, d):
     return rows.select("conv_id", "turn", "prompt")
 
 
+@query
+def prompt_rows_all(spark, d):
+    rows = scoring.prompts(s.test_frame(spark, d), _reply_hits(spark, d), "conv_id", "options")
+    return rows.select("conv_id", "turn", "prompt")
+
+
 @query
 def prompt_rows_pairs(spark, d):
     rows = scoring.prompts(s.test_frame(spark, d), _reply_hits(spark, d), "conv_id", "pairs_and_apps", apps="alpha, beta")
