@@ -68,5 +68,52 @@ SELECT page_id, payload_bytes::BIGINT payload_bytes, payload_digest, CASE WHEN o
   CASE WHEN origin <> page_id THEN origin END refers_to FROM t"""
 
 
+def _divergence() -> str:
+    terms = rf"regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+    share = "1 + (1000000000::HUGEINT * ({} + 2)) // ({} + 2 * v)"
+    far = "(({0} - {1}) * ({0} - {1})) // ({0} + {1})"
+    return rf"""WITH d AS (SELECT row_number() OVER () rid, coalesce(lang, '') lang, coalesce(source, '') source, {terms} ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT rid, lang, source, unnest(ws) term FROM d),
+k AS (SELECT lang, term, count(*) total FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) v, sum(total) lang_n FROM k GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) n, k.total FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) group_n FROM a GROUP BY ALL),
+p AS (SELECT lang, source, term, n, {share.format("n", "group_n")} p, {share.format("total", "lang_n")} q
+  FROM a JOIN s USING (lang, source) JOIN v USING (lang)),
+m AS (SELECT x.lang, x.source, y.source item, sum({far.format("x.p", "y.p")}) value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' part, y.source item, coalesce(value, 0)::BIGINT value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN m ON m.lang = x.lang AND m.source = x.source AND m.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ({far.format("p", "q")})::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT "rank" FROM r
+QUALIFY part = 'pair' OR "rank" <= 10"""
+
+
+def _search() -> str:
+    def words(c: str) -> str:
+        return rf"regexp_extract_all({_lower(f"coalesce({c}, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+    return rf"""WITH d AS (SELECT * FROM (SELECT row_number() OVER () rid, doc_id, {words("text")} ws FROM documents) WHERE len(ws) > 0),
+s AS (SELECT count(*) docs, sum(len(ws))::BIGINT total FROM d),
+q AS (SELECT DISTINCT item_id, unnest({words("text")}) term FROM benchmark),
+t AS (SELECT rid, term, count(*) tf FROM (SELECT rid, unnest(ws) term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT weight FROM t, s GROUP BY term, docs),
+m AS (SELECT rid, doc_id, 10 + (90 * len(ws) * docs) // total factor FROM d, s),
+r AS (SELECT item_id, rid, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * factor)))::BIGINT score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL HAVING score > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT "rank", doc_id, score
+FROM r JOIN m USING (rid) QUALIFY "rank" <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _archive(), "op4_line_dedup": _lines(), "op5_decontam": _passages(), "op7_url_filter": _urls()}
+    return {
+        "op1_warc": _archive(),
+        "op4_line_dedup": _lines(),
+        "op5_decontam": _passages(),
+        "op7_url_filter": _urls(),
+        "op11_divergence": _divergence(),
+        "op13_ranked": _search(),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, jaccard, langid, linededup, quality, suffix, toxicity, urls, warc
+from corvane.llm import bpe, decontam, divergence, jaccard, langid, linededup, quality, ranked, secrets, suffix, toxicity, urls, warc
 from corvane.llm.common import held_out, sha256_text, table, work_folder
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,21 @@ def op6_jaccard(spark, d):
 def op8_suffix(spark, d):
     found = suffix.repeats(table(spark, d, "documents").select("doc_id", "text"), "text", length=200, keep=F.struct("doc_id"))
     return suffix.remaining(found).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_divergence(spark, d):
+    return divergence.audit(table(spark, d, "documents"), "text", "lang", "source", min_docs=10, top=10)
+
+
+@query
+def op12_secrets(spark, d):
+    found = secrets.scan(table(spark, d, "documents"), F.col("text"), keep=F.struct("doc_id"))
+    counts = [F.size(secrets.of_kinds(F.col("spans"), (k,))).cast("bigint").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    base = sha256_text(secrets.listed(secrets.of_kinds(F.col("spans"), secrets.BASE_KINDS))).alias("base_sha256")
+    return found.select("row.doc_id", *counts, base, secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op13_ranked(spark, d):
+    return ranked.search(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), top=10)
