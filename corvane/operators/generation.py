@@ -202,7 +202,7 @@ def samples_type2(draws: Draws) -> DataFrame:
     )
 
 
-def _triples(draws: Draws, number: int, cap: int) -> DataFrame:
+def _triples(draws: Draws, number: int, cap: int | None) -> DataFrame:
     streams = (f"{number}/pair", f"{number}/third")
     columns = ["command", "description", "verb_text"]
     return sampled_triples(
@@ -210,7 +210,7 @@ def _triples(draws: Draws, number: int, cap: int) -> DataFrame:
     )
 
 
-def samples_type3(draws: Draws, cap: int = PER_TRIGGER_APP) -> DataFrame:
+def samples_type3(draws: Draws, cap: int | None = PER_TRIGGER_APP) -> DataFrame:
     """Trigger, then two actions; at most ``cap`` per trigger application."""
     return _triples(draws, 3, cap).select(
         F.concat(rstrip_chars(_opening(), "."), F.lit(" and "), F.col("verb_text_b")).alias("utterances"),
@@ -237,7 +237,7 @@ def if_else_text(u: Column, condition: str) -> Column:
     return choice(u, [if_last, action_first, if_first], [1 / 3, 2 / 3])
 
 
-def samples_type4(draws: Draws, condition: str = "CONDITION", cap: int = PER_TRIGGER_APP) -> DataFrame:
+def samples_type4(draws: Draws, condition: str = "CONDITION", cap: int | None = PER_TRIGGER_APP) -> DataFrame:
     """Trigger, then one action or another."""
     u = unit(f"{draws.seed}/4/text", "command_t", "command_a", "command_b")
     program = F.concat(
@@ -339,18 +339,27 @@ def samples_type8(objects: DataFrame) -> DataFrame:
 
 
 def sample_corpus(
-    commands: DataFrame, verbs: Lemmatiser, nouns: Lemmatiser, seed: str = "0", types: Sequence[int] = tuple(range(1, 9))
+    commands: DataFrame,
+    verbs: Lemmatiser,
+    nouns: Lemmatiser,
+    seed: str = "0",
+    types: Sequence[int] = tuple(range(1, 9)),
+    cap: int | None = PER_TRIGGER_APP,
+    words: int = 2,
 ) -> DataFrame:
-    """All requested sample types in one frame ``(utterances, commands, app_list, type)``."""
-    packed = packed_utterances(commands, f"{seed}/caps")
+    """All requested sample types in one frame ``(utterances, commands, app_list, type)``.
+
+    ``cap`` bounds the triples of a trigger application (None: all of them), ``words`` is the least length of a text.
+    """
+    packed = packed_utterances(commands, f"{seed}/caps", words)
     parts = []
     if any(t <= 6 for t in types):
         draws = draw(packed, verbs, seed, types)
         builders = {
             1: samples_type1,
             2: samples_type2,
-            3: samples_type3,
-            4: samples_type4,
+            3: lambda d: samples_type3(d, cap),
+            4: lambda d: samples_type4(d, cap=cap),
             5: lambda d: samples_type5(d, nouns),
             6: samples_type6,
         }

@@ -187,56 +187,34 @@ def sampled_pairs(
     return out.join(_member(numbered, group, stream, roles[1], "a", columns), [b, "i_a"], "inner").drop("i_t", "i_a")
 
 
-def capped_combinations(n_groups: Column, cap: int, seed: str, key: Column) -> Column:
-    """Array of up to ``cap`` distinct numbers drawn uniformly without replacement from 0 .. n_groups**2 - 1.
+ROUNDS = 6
 
-    No sampler uses it: the draw changes with the size, and ``ranked_combinations`` has one rule for all sizes.
 
-    Up to 4 * cap numbers are ranked outright. Beyond that, 4 * cap independent draws are made and the first
-    ``cap`` distinct ones kept, which has the same law; fewer than ``cap`` distinct values among them has a
-    probability below (e / 64) ** cap.
-    """
-    space = n_groups * n_groups
-    ranked = F.transform(
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.least(space, F.lit(4 * cap)) - 1),
-                lambda p: F.struct(key_digest(seed, key, p).alias("d"), p.alias("p")),
-            )
-        ),
-        lambda s: s["p"],
-    )
-    fine = F.lit(1048576.0)  # a second draw refines the first one, so that large spaces are covered evenly
-    drawn = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(4 * cap - 1).cast("bigint")),
-            lambda k: F.floor(
-                (F.floor(unit(seed + "/coarse", key, k) * fine) + unit(seed + "/fine", key, k)) / fine * space
-            ).cast("bigint"),
-        )
-    )
-    return F.slice(F.when(space <= 4 * cap, ranked).otherwise(drawn), 1, cap)
+def permuted(df: DataFrame, n: str, seed: str, key: str, names: tuple[str, str]) -> DataFrame:
+    """``names`` (a pair of numbers below the column ``n``) replaced by its image under a permutation of all pairs.
 
-
-RANKED_AT_ONCE = 16384  # numbers that one row ranks; a larger space is cut into so many rows
+    Every value of ``key`` has a permutation of its own: rounds in which one number of the pair is shifted by a draw
+    that the other one keys. A round can be undone, so distinct pairs stay distinct at every ``n``.
+    """
+    for k in range(ROUNDS):
+        moved, fixed = (names, names[::-1])[k % 2]
+        shift = uniform_index(n, f"{seed}/{k}", key, fixed)
+        df = df.withColumn(moved, (F.col(moved) + shift) % F.col(n))
+    return df
 
 
-def ranked_combinations(counted: DataFrame, key: str, cap: int, seed: str) -> DataFrame:
-    """``counted`` with a row for each of the ``cap`` numbers ``__p`` of 0 .. __n**2 - 1 with the smallest digests.
+def permuted_combinations(counted: DataFrame, key: str, cap: int | None, seed: str, out: tuple[str, str]) -> DataFrame:
+    """``counted`` with a row for each of min(cap, __n**2) distinct pairs of numbers below ``__n``, uniform for each key.
 
-    The rule is the same at every size, and there are exactly min(cap, __n**2) numbers a key. All numbers are digested:
-    blocks of bounded size keep their own first ``cap``, which are ranked together.
+    The first ``cap`` positions of a keyed permutation of all pairs: the work of a key is its rows, whatever the space.
+    Without a cap all pairs are listed.
     """
-    space, size = F.col("__n") * F.col("__n"), F.lit(RANKED_AT_ONCE).cast("bigint")
-    start = F.explode(F.sequence(F.lit(0).cast("bigint"), space - 1, size))
-    # The blocks come from few rows; a fixed number of partitions is not coalesced into few tasks.
-    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = counted.withColumn("__start", start).repartition(tasks, key, "__start")
-    numbers = F.sequence(F.col("__start"), F.least(F.col("__start") + size, space) - 1)
-    digested = F.transform(numbers, lambda p: F.struct(key_digest(seed, key, p).alias("d"), p.alias("p")))
-    first = blocks.withColumn("__c", F.explode(F.slice(F.array_sort(digested), 1, cap)))
-    rank = F.row_number().over(W.partitionBy(key).orderBy("__c.d", "__c.p"))
-    return first.withColumn("__r", rank).where(F.col("__r") <= cap).withColumn("__p", F.col("__c.p")).drop("__start", "__c", "__r")
+    first, second = out
+    space = F.col("__n") * F.col("__n")
+    last = (space if cap is None else F.least(space, F.lit(cap).cast("bigint"))) - 1
+    rows = counted.where("__n > 0").withColumn("__at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    rows = rows.withColumns({first: F.expr("__at div __n"), second: F.col("__at") % F.col("__n")}).drop("__at")
+    return permuted(rows, "__n", seed, key, out)
 
 
 def sampled_triples(
@@ -246,14 +224,14 @@ def sampled_triples(
     streams: tuple[str, str],
     roles: tuple[str, str],
     seed: str,
-    cap: int,
+    cap: int | None,
     columns: Sequence[str],
 ) -> DataFrame:
     """One uniform row per (left, right, third) group triple, at most ``cap`` triples per left group.
 
     The pair comes from the first stream, the third row from the second stream in the role of the right one. The
-    capped set of (right, third) groups is drawn first, so that text is only joined to surviving triples. The
-    (left, right) draw does not depend on the third group.
+    capped set of (right, third) groups is read off a permutation of all of them, so that neither other sets nor their
+    texts are formed. The (left, right) draw does not depend on the third group.
     """
     a, b, c = f"{group}_t", f"{group}_a", f"{group}_b"
     left = _groups(groups, group, streams[0], roles[0], "t")
@@ -261,8 +239,7 @@ def sampled_triples(
     third = _groups(groups, group, streams[1], roles[1], "b")
     # Every command appears in every stream, so the right and the third side have the same groups.
     count = right.select("groups_a").limit(1).scalar()
-    counted = ranked_combinations(left.withColumn("__n", count), a, cap, seed + "/cap")
-    located = counted.withColumns({"g_a": F.floor(F.col("__p") / F.col("__n")).cast("bigint"), "g_b": F.col("__p") % F.col("__n")})
+    located = permuted_combinations(left.withColumn("__n", count), a, cap, seed + "/cap", ("g_a", "g_b"))
     keys = located.join(right, "g_a", "inner").join(third, "g_b", "inner").select(
         a,
         b,

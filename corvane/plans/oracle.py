@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from corvane.operators.sampling import ROUNDS
 from corvane.plans.surrogates import OPS, text_sql
-from corvane.vocab import ACTIONS, PARAPHRASED_TYPES, PROMPT_LAYOUTS, TEMPLATES, TRIGGERS
+from corvane.vocab import ACTIONS, PARAPHRASED_TYPES, PER_TRIGGER_APP, PROMPT_LAYOUTS, TEMPLATES, TRIGGERS
 
 SEED = "7"
 
@@ -70,12 +71,13 @@ def verb_first(x: str) -> str:
 # --- Common table expressions ------------------------------------------------------------------------
 
 
-def catalog(wide: bool = False) -> str:
+def catalog(wide: bool = False, many: bool = False) -> str:
     obj = "replace(p_name, ' ', '') || p_size" if wide else "string_split(p_name, ' ')[2]"
+    app, shown = ("|| 'x' || p_size", "|| ' ' || p_size") if many else ("", "")
     template = " ".join(f"WHEN '{o}' THEN {_lit(t)}" for o, t in TEMPLATES.items())
     return f"""
-trip AS (SELECT DISTINCT replace(lower(p_brand), '#', '') app, {obj} object,
-    ({OPS_SQL})[(p_partkey % 13) + 1] op, replace(p_brand, '#', ' ') app_display_name FROM part),
+trip AS (SELECT DISTINCT replace(lower(p_brand), '#', '') {app} app, {obj} object,
+    ({OPS_SQL})[(p_partkey % 13) + 1] op, replace(p_brand, '#', ' ') {shown} app_display_name FROM part),
 cmds AS (SELECT app || '.' || object || '.' || op command, app, object, op, {KIND} kind,
     {text_sql(0)} description, app_display_name,
     upper(substr(object, 1, 1)) || substr(object, 2) || 's' object_display_name,
@@ -139,16 +141,26 @@ def pairs(name: str, left: str, right: str, seed: str) -> str:
   FROM {name}_k k JOIN {left} t ON t.app = k.app_t AND t.i = k.i_t JOIN {right} a ON a.app = k.app_a AND a.i = k.i_a)"""
 
 
+def permuted(source: str, seed: str, key: str, n: str) -> str:
+    """The rounds of ``sampling.permuted`` over the columns ``x0`` and ``y0`` of a table; the result is in ``x`` and ``y``."""
+    x, y, parts = "x0", "y0", []
+    for k in range(ROUNDS):
+        moved, fixed = (x, y) if k % 2 == 0 else (y, x)
+        new = f"{moved[0]}{k + 1}"
+        source = f"(SELECT *, ({moved} + {idx(n, f'{seed}/{k}', key, fixed)}) % {n} {new} FROM {source})"
+        x, y = (new, y) if k % 2 == 0 else (x, new)
+    return f"(SELECT *, {x} x, {y} y FROM {source})"
+
+
 def triples(number: int) -> str:
     seed = f"{SEED}/{number}"
     return f"""{drawn('dp', f'{number}/pair')}, {drawn('dt', f'{number}/third')},
 {member('tt', 'dp', IS_TRIGGER)}, {member('aa', 'dp', f'NOT {IS_TRIGGER}')}, {member('bb', 'dt', f'NOT {IS_TRIGGER}')},
-combos AS (SELECT t.app app_t, t.n n_t, p.p p, (SELECT max(m) FROM aa_apps) m,
-    row_number() OVER (PARTITION BY t.app ORDER BY {digest(seed + '/cap', 't.app', 'p.p')}, p.p) r
-  FROM tt_apps t, (SELECT unnest(range((SELECT max(m) * max(m) FROM aa_apps))) p) p),
+places AS (SELECT t.app app_t, t.n n_t, s.m, pos // s.m x0, pos % s.m y0
+  FROM tt_apps t, (SELECT m, unnest(range(least({PER_TRIGGER_APP}, m * m))) pos FROM (SELECT max(m) m FROM aa_apps)) s),
 keys AS (SELECT c.app_t, a.app app_a, b.app app_b, {idx('c.n_t', seed + '/left', 'c.app_t', 'a.app')} i_t,
     {idx('a.n', seed + '/right', 'c.app_t', 'a.app')} i_a, {idx('b.n', seed + '/third', 'c.app_t', 'a.app', 'b.app')} i_b
-  FROM combos c JOIN aa_apps a ON a.g = c.p // c.m JOIN bb_apps b ON b.g = c.p % c.m WHERE c.r <= 250),
+  FROM {permuted('places', seed + '/cap', 'app_t', 'm')} c JOIN aa_apps a ON a.g = c.x JOIN bb_apps b ON b.g = c.y),
 tri AS (SELECT k.*, t.command command_t, t.description description_t, a.command command_a, a.description description_a,
     b.command command_b, b.description description_b
   FROM keys k JOIN tt t ON t.app = k.app_t AND t.i = k.i_t JOIN aa a ON a.app = k.app_a AND a.i = k.i_a
@@ -221,9 +233,9 @@ def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ", ".join(ctes) + " "
 
 
-def _sample(t: int, wide: bool = False) -> str:
+def _sample(t: int, wide: bool = False, many: bool = False) -> str:
     ctes, final = sample_type(t)
-    return _with(catalog(wide), utt(), ctes) + final
+    return _with(catalog(wide, many), utt(), ctes) + final
 
 
 def _corpus() -> str:
@@ -512,6 +524,7 @@ SELECT d.draw, o.o_orderkey, pn.c_custkey FROM draws d
 JOIN o ON o.i = {idx('o.n', SEED + '/left', 'd.draw')} JOIN pn ON pn.i = {idx('pn.n', SEED + '/right', 'd.draw')}"""
     for t in range(1, 9):
         sql[f"samples_type{t}"] = _sample(t)
+    sql["samples_type3_many"], sql["samples_type4_many"] = (_sample(t, many=True) for t in (3, 4))
     sql["sample_corpus"] = _corpus()
     sql["pair_sampler_wide"] = _sample(2, wide=True)
     sql["same_object_pairs"] = (

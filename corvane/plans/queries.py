@@ -355,6 +355,17 @@ for _type in range(1, 9):
     query(_samples(_type))
 
 
+@query
+def samples_type3_many(spark, d):
+    """Over about a thousand applications."""
+    return _joined(corpus_of(s.commands(spark, d, many=True), SEED, [3]), "app_list")
+
+
+@query
+def samples_type4_many(spark, d):
+    return _joined(corpus_of(s.commands(spark, d, many=True), SEED, [4]), "app_list")
+
+
 @query
 def sample_corpus(spark, d):
     return _joined(corpus_of(s.commands(spark, d), SEED), "app_list")

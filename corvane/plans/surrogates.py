@@ -45,25 +45,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def triplets(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
-    """Distinct ``(app, object, op, app_display_name)`` of the parts."""
+def triplets(spark: SparkSession, sf_dir: str, wide: bool = False, many: bool = False) -> DataFrame:
+    """Distinct ``(app, object, op, app_display_name)`` of the parts; with ``many`` a brand is an application per size."""
     ops = "array(" + ", ".join(f"'{o}'" for o in OPS) + ")"
     obj = "replace(p_name, ' ', '') || p_size" if wide else "split(p_name, ' ')[1]"
     return (
         table(spark, sf_dir, "part")
         .select(
-            F.expr("replace(lower(p_brand), '#', '')").alias("app"),
+            F.expr("replace(lower(p_brand), '#', '')" + " || 'x' || p_size" * many).alias("app"),
             F.expr(obj).alias("object"),
             F.expr(f"{ops}[cast(p_partkey % 13 as int)]").alias("op"),
-            F.expr("replace(p_brand, '#', ' ')").alias("app_display_name"),
+            F.expr("replace(p_brand, '#', ' ')" + " || ' ' || p_size" * many).alias("app_display_name"),
         )
         .distinct()
     )
 
 
-def commands(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+def commands(spark: SparkSession, sf_dir: str, wide: bool = False, many: bool = False) -> DataFrame:
     """Catalog view of the parts: one row per operation with its texts."""
-    return triplets(spark, sf_dir, wide).select(
+    return triplets(spark, sf_dir, wide, many).select(
         F.concat_ws(".", "app", "object", "op").alias("command"),
         "app",
         "object",

@@ -107,16 +107,43 @@ def test_index_pairs_have_the_law_of_the_cross_product(spark):
         assert len(got) == 1 and (got[0].command_t, got[0].command_a) in product
 
 
-@pytest.mark.parametrize("groups,cap", [(3, 20), (31, 250), (40, 250), (100000, 250), (2, 1)])
-def test_capped_combinations(spark, groups, cap):
-    keys = spark.range(20).select(F.col("id").cast("string").alias("k"), F.lit(groups).cast("bigint").alias("n"))
-    rows = keys.select(sampling.capped_combinations(F.col("n"), cap, "s", F.col("k")).alias("p")).collect()
-    for r in rows:
-        assert len(r.p) == len(set(r.p)) == min(cap, groups * groups)
-        assert min(r.p) >= 0 and max(r.p) < groups * groups
+def permuted(n, seed, key, x, y):
+    """The rounds of the sampler in Python."""
+    pair = [x, y]
+    for k in range(sampling.ROUNDS):
+        digest = md5(f"{seed}/{k}|{key}|{pair[(k + 1) % 2]}".encode()).hexdigest()
+        pair[k % 2] = (pair[k % 2] + int((int(digest[:13], 16) + 0.5) / 2**52 * n)) % n
+    return tuple(pair)
+
+
+@pytest.mark.parametrize("groups,cap", [(1, 5), (2, 3), (3, 20), (31, 250), (85, 250), (100000, 250), (40, None), (0, 7)])
+def test_permuted_combinations(spark, groups, cap):
+    """Exactly min(cap, n * n) distinct pairs a key, by the same rule at every size."""
+    keys = spark.range(20).select(F.col("id").cast("string").alias("k"), F.lit(groups).cast("bigint").alias("__n"))
+    got = {}
+    for r in sampling.permuted_combinations(keys, "k", cap, "s", ("a", "b")).collect():
+        got.setdefault(r.k, []).append((r.a, r.b))
+    size = min(cap, groups**2) if cap is not None else groups**2
+    assert len(got) == (20 if groups else 0)
+    for k, pairs in got.items():
+        assert len(set(pairs)) == len(pairs) == size
+        assert set(pairs) == {permuted(groups, "s", k, p // groups, p % groups) for p in range(size)}
     if groups == 100000:
-        mean = sum(sum(r.p) for r in rows) / (20 * cap) / groups**2
-        assert abs(mean - 0.5) < 0.02
+        for side in (0, 1):
+            mean = sum(p[side] for pairs in got.values() for p in pairs) / (20 * cap) / groups
+            assert abs(mean - 0.5) < 0.02
+
+
+def test_permutation_is_even():
+    """Over many keys every pair is drawn about equally often, and so is every pair of drawn pairs."""
+    n, keys, cap = 4, 4000, 3
+    ones, twos = Counter(), Counter()
+    for k in range(keys):
+        drawn = [permuted(n, "s", k, p // n, p % n) for p in range(cap)]
+        ones.update(drawn)
+        twos.update(frozenset(x) for x in ((drawn[0], drawn[1]), (drawn[0], drawn[2]), (drawn[1], drawn[2])))
+    assert len(ones) == 16 and chi2(ones.values(), [keys * cap / 16] * 16) < 44  # p about 1e-4, 15 df
+    assert len(twos) == 120 and chi2(twos.values(), [keys * 3 / 120] * 120) < 190  # p about 1e-5, 119 df
 
 
 def test_packed_draw_equals_the_draw_over_rows(spark):
@@ -184,19 +211,7 @@ def test_lemmatiser(spark):
     assert Lemmatiser(spark, table, NOUN_RULES).add(df.limit(1), F.lit("widgets"), "l").first().l == "widget"
 
 
-@pytest.mark.parametrize("groups,cap", [(3, 20), (32, 250), (85, 250), (200, 250)])
-def test_ranked_combinations_have_one_rule(spark, groups, cap):
-    """The rule of the registered SQL, also above 31 groups, where draws once took its place."""
-    keys = spark.range(4).select(F.col("id").cast("string").alias("k"), F.lit(groups).cast("bigint").alias("__n"))
-    got = {}
-    for r in sampling.ranked_combinations(keys, "k", cap, "s").collect():
-        got.setdefault(r.k, []).append(r["__p"])
-    for k in "0123":
-        ranked = sorted(range(groups**2), key=lambda p: (md5(f"s|{k}|{p}".encode()).hexdigest(), p))
-        assert sorted(got[k]) == sorted(ranked[:cap])
-
-
-def test_triples_of_more_than_31_groups_are_the_ranked_ones(spark):
+def test_triples_of_more_than_31_groups_are_the_permuted_ones(spark):
     apps = [f"app{i}" for i in range(33)]
     rows = [(s, role, a, f"{a}/{role}", 0) for s in ("x", "y") for role in ("trigger", "action") for a in apps]
     draws = spark.createDataFrame(rows, "stream string, role string, app string, command string, source int")
@@ -206,6 +221,6 @@ def test_triples_of_more_than_31_groups_are_the_ranked_ones(spark):
     order = sorted(apps, key=lambda a: (md5(a.encode()).hexdigest(), a))
     expected = []
     for a in apps:
-        ranked = sorted(range(33**2), key=lambda p: (md5(f"s/cap|{a}|{p}".encode()).hexdigest(), p))[:250]
-        expected += [(a, order[p // 33], order[p % 33]) for p in ranked]
+        drawn = [permuted(33, "s/cap", a, p // 33, p % 33) for p in range(250)]
+        expected += [(a, order[x], order[y]) for x, y in drawn]
     assert sorted((r.app_t, r.app_a, r.app_b) for r in got.collect()) == sorted(expected)
