@@ -199,6 +199,29 @@ def test_archives(spark):
     assert warc.read_archive(spark, f"{folder}/none-out").count() == 0
 
 
+def test_archives_that_hold_the_same_records(spark, monkeypatch):
+    """Record ids repeat: no record is lost or doubled, one response a payload, and every other refers to it."""
+    pages = spark.createDataFrame([(i, f"u{i}", t, "x") for i, t in enumerate(["aa", "bb", "bb" * 200_000])], "page_id bigint, url string, html string, record string").coalesce(1)
+    folder = work_folder(spark, "warc-twice")
+    for k in (1, 2):
+        warc.write_archive(pages, f"{folder}/raw/part={k}")
+    once = [r.record_id for r in warc.read_archive(spark, f"{folder}/raw").collect()]
+    assert len(once) == 6 and len(set(once)) == 3
+    for name, most in (("broadcast", 1_000_000), ("shuffle", -1)):
+        monkeypatch.setattr(warc, "BROADCAST_DECISIONS", most)
+        monkeypatch.setattr(warc, "FILE_BYTES", 1 << 19 if most < 0 else 1 << 26)
+        warc.deduplicate(spark, f"{folder}/raw", f"{folder}/{name}", f"{folder}/work-{name}")
+        rows = warc.read_archive(spark, f"{folder}/{name}", payload=True).collect()
+        kept = {r.page_id: r.record_id for r in rows if r.record_type == "response"}
+        assert len(rows) == 6 and set(kept) == {0, 1, 2}
+        assert {(r.page_id, r.refers_to, r.refers_to_id) for r in rows if r.record_type == "revisit"} == {(i, i, kept[i]) for i in range(3)}
+        assert len({r.record_id for r in rows}) == 6 and max(len(r.payload or b"") for r in rows) == 400_000
+        # An archive that was resolved already stays as it is.
+        warc.deduplicate(spark, f"{folder}/{name}", f"{folder}/{name}-again", f"{folder}/again-{name}")
+        again = warc.read_archive(spark, f"{folder}/{name}-again").drop("file", "at").collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, warc.read_archive(spark, f"{folder}/{name}").drop("file", "at").collect()))
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "plain": ("", "", None, "allow"), "http://X.Example.org/es/a?b": ("x.example.org", "/es/a", "example.org/es/", "block"),
