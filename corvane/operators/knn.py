@@ -2,7 +2,7 @@
 
 Exact search cuts both sides into tiles of bounded size. A tile is one matrix product, and only the best ``k`` rows of
 each query leave it; a last ranking joins the tiles of a query. Groups (a tag, a parent element, a hash bucket) are
-join keys, and a group of any size becomes as many tiles as it needs. Few queries against a large corpus take the
+join keys; a large group becomes as many tiles as it needs, and many small groups share one, with a product each. Few queries against a large corpus take the
 streaming path instead: they are sent to every task after their number has been checked, and the corpus is not moved.
 """
 
@@ -52,29 +52,49 @@ def _top_rows(
         yield rows[keep] + start, cols[keep], dist[keep]
 
 
+def _groups(queries: pd.DataFrame, corpus: pd.DataFrame, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the groups of both frames' rows."""
+    if not keys:
+        return np.zeros(len(queries), np.int64), np.zeros(len(corpus), np.int64)
+    both = pd.concat([queries[list(keys)], corpus[list(keys)]], ignore_index=True)
+    number = both.groupby(list(keys), sort=False).ngroup().to_numpy()
+    return number[: len(queries)], number[len(queries) :]
+
+
 def _tile_top(
-    queries: pd.DataFrame, corpus: pd.DataFrame, k: int, carry: Sequence[str], collapse: bool = False
+    queries: pd.DataFrame, corpus: pd.DataFrame, keys: Sequence[str], k: int, carry: Sequence[str], collapse: bool = False
 ) -> pd.DataFrame:
+    """The best ``k`` of each query within its own group; a tile may hold many small groups."""
     names = ["query_id", "item_id", "distance", *carry]
     if queries.empty or corpus.empty:
         return pd.DataFrame(columns=names)
-    runs = None
-    if collapse:
-        corpus = corpus.sort_values("item_id", kind="stable", ignore_index=True)
-        runs = np.flatnonzero(~corpus["item_id"].duplicated().to_numpy())
+    of_query, of_item = _groups(queries, corpus, keys)
+    order = np.argsort(of_query, kind="stable")
+    queries, of_query = queries.iloc[order], of_query[order]
+    order = np.lexsort((corpus["item_id"].to_numpy(), of_item)) if collapse else np.argsort(of_item, kind="stable")
+    corpus, of_item = corpus.iloc[order], of_item[order]
     q = unit_rows(np.stack(queries["query_vec"].to_numpy()))
     c = unit_rows(np.stack(corpus["item_vec"].to_numpy()))
-    if runs is not None:
-        corpus = corpus.iloc[runs]
-    qid, cid = queries["query_id"].to_numpy(), corpus["item_id"].to_numpy()
-    out = []
-    for rows, cols, dist in _top_rows(q, c, cid, k, runs):
-        part = {"query_id": qid[rows], "item_id": cid[cols], "distance": dist}
-        for name in carry:
-            side, index = (queries, rows) if name in queries.columns else (corpus, cols)
-            part[name] = side[name].to_numpy()[index]
-        out.append(pd.DataFrame(part))
-    return pd.concat(out, ignore_index=True)[names]
+    ids = corpus["item_id"].to_numpy()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    shared = np.intersect1d(of_query, of_item)
+    edges = [np.searchsorted(x, shared, side) for x in (of_query, of_item) for side in ("left", "right")]
+    for a, b, u, v in zip(*edges):
+        rows_of = np.arange(u, v)
+        runs = None
+        if collapse:
+            runs = np.flatnonzero(np.append(True, ids[u + 1 : v] != ids[u : v - 1]))
+            rows_of = rows_of[runs]
+        for rows, cols, dist in _top_rows(q[a:b], c[u:v], ids[rows_of], k, runs):
+            found.append((rows + a, rows_of[cols], dist))
+    if not found:
+        return pd.DataFrame(columns=names)
+    rows, cols, dist = (np.concatenate(x) for x in zip(*found))
+    part = {"query_id": queries["query_id"].to_numpy()[rows], "item_id": ids[cols], "distance": dist}
+    for name in carry:
+        side, index = (queries, rows) if name in queries.columns else (corpus, cols)
+        part[name] = side[name].to_numpy()[index]
+    return pd.DataFrame(part)[names]
 
 
 def _schema(queries: DataFrame, corpus: DataFrame, carry: Sequence[str]) -> StructType:
@@ -86,9 +106,8 @@ def _schema(queries: DataFrame, corpus: DataFrame, carry: Sequence[str]) -> Stru
     return schema
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], name: str, tile: int) -> DataFrame:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return sizes.select(*keys, F.ceil(F.col("__n") / F.lit(tile)).cast("int").alias(name))
+def _sizes(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
 def tiled_topk(
@@ -115,22 +134,32 @@ def tiled_topk(
     def all_blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
+    def blocks(rows: str) -> Column:
+        return F.ceil(F.col(rows) / F.lit(tile)).cast("int")
+
     if keys:
-        grid = _blocks(queries, keys, "__qn", tile).join(_blocks(corpus, keys, "__cn", tile), keys, "inner")
+        grid = _sizes(queries, keys, "__qr").join(_sizes(corpus, keys, "__cr"), keys, "inner")
+        grid = grid.select(*keys, (F.col("__qr") + F.col("__cr")).alias("__rows"), blocks("__qr").alias("__qn"), blocks("__cr").alias("__cn"))
+        # Groups of one tile share tiles: as many as their rows fill. Larger groups have tiles of their own.
+        one = F.greatest("__qn", "__cn") == 1
+        tiles = grid.where(one).agg(F.ceil(F.sum("__rows") / F.lit(tile)).alias("n")).scalar()
+        spread = F.xxhash64(*keys)
+        own = F.when(one, F.pmod(spread, F.greatest(tiles, F.lit(1)))).otherwise(-1 - F.shiftrightunsigned(spread, 1))
+        grid = grid.withColumn("__pack", own).drop("__rows")
         q, c = salted_join(queries, grid, keys, ["query_id"]), salted_join(corpus, grid, keys, ["item_id"])
     else:
         # One group: its two sizes are scalars, nothing is joined.
-        sizes = {"__qn": _blocks(queries, [], "__qn", tile).scalar(), "__cn": _blocks(corpus, [], "__cn", tile).scalar()}
-        q, c = queries.withColumns(sizes), corpus.withColumns(sizes)
+        sizes = {"__qn": _sizes(queries, [], "n").select(blocks("n")).scalar(), "__cn": _sizes(corpus, [], "n").select(blocks("n")).scalar()}
+        q, c = (df.withColumns({**sizes, "__pack": F.lit(0).cast("bigint")}) for df in (queries, corpus))
     q = q.withColumn("__qb", own_block("query_id", "__qn")).withColumn("__cb", all_blocks("__cn"))
     c = c.withColumn("__cb", own_block("item_id", "__cn")).withColumn("__qb", all_blocks("__qn"))
-    q, c = q.drop("__qn", "__cn"), c.drop("__qn", "__cn")
-    cell = [*keys, "__qb", "__cb"]
+    q, c = q.drop("__qn", "__cn"), c.drop("__qn", "__cn").withColumn("__pack", F.col("__pack").alias("__pack"))
+    cell = ["__pack", "__qb", "__cb"]
     names = list(carry)
     schema = _schema(queries, corpus, names)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _tile_top(left, right, k, names, collapse)
+        return _tile_top(left, right, keys, k, names, collapse)
 
     return q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(work, schema)
 

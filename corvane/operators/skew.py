@@ -16,9 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-
-SALTS = 16  # tasks that share the rows of one key in a join with an aggregate by that key
+SALT_ROWS = 1 << 20  # rows of one key that one task of a join with an aggregate by that key takes
 PREFIX = 4  # hex digits of a digest that name a slice of a group: up to 65,536 slices
 
 
@@ -93,49 +91,70 @@ def number_rows(
     )
 
 
+def running_starts(sizes: DataFrame, name: str, n: str, head: int) -> DataFrame:
+    """``sizes`` (one row a hex name) with ``__start``, the sum of the sizes of all smaller names.
+
+    Names that share their first ``head`` digits are summed in one task; only the sums of these meet in a single one.
+    """
+    group = F.substring(name, 1, head)
+    before = lambda w, c: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(c)
+    inner = sizes.withColumn("__head", group).withColumn("__in", before(W.partitionBy("__head").orderBy(name), n))
+    heads = sizes.groupBy(group.alias("__head")).agg(F.sum(n).alias("__sum"))
+    heads = heads.select("__head", before(W.partitionBy(F.lit(0)).orderBy("__head"), "__sum").alias("__base"))
+    joined = inner.join(F.broadcast(heads), "__head")
+    return joined.withColumn("__start", (F.col("__in") + F.col("__base")).cast("bigint")).drop("__head", "__in", "__base")
+
+
 def rows_at(
     df: DataFrame, draws: DataFrame, digest: Column, ties: Sequence[str], index: Column, out: str, prefix: int = PREFIX
 ) -> DataFrame:
     """Rows of the whole table at the drawn positions of the order of ``number_rows``.
 
-    ``index`` is computed over the columns of ``draws`` and ``__total``, the number of rows. ``draws`` is a short
-    table with the number ``out``. Only the slices that a position falls into are moved and numbered.
+    ``index`` is computed over the columns of ``draws`` and ``__total``, the number of rows. ``draws`` is a table of any
+    size with the number ``out``. Only the slices that a position falls into are moved and numbered.
     """
     cut = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, prefix))
     sizes = cut.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    # At most 16**prefix sizes and the draws meet in one task: each draw takes the last slice that starts before it.
-    scope = W.partitionBy(F.lit(0)).orderBy("__slice")
-    before = F.sum("__n").over(scope.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
-    starts = sizes.select("__slice", before.alias("__start"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    wanted = draws.withColumn("__total", total).select(out, index.alias("__start"))
-    none = F.lit(None)
-    line = starts.select(none.cast("bigint").alias(out), "__start", "__slice", F.col("__start").alias("__before"))
-    both = line.unionByName(
-        wanted.select(F.col(out).cast("bigint").alias(out), "__start", none.cast("string").alias("__slice"), none.cast("bigint").alias("__before"))
-    )
-    order = W.partitionBy(F.lit(0)).orderBy("__start", F.col("__slice").isNull())
-    seen = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = both.select(
-        out,
-        F.last("__slice", ignorenulls=True).over(seen).alias("__slice"),
-        (F.col("__start") - F.last("__before", ignorenulls=True).over(seen) + 1).alias("__rank"),
-    ).where(F.col(out).isNotNull())
+    # A slice covers a range of positions. Ranges and positions meet by bins of equal width, about as many as slices, so
+    # that the bins of all ranges are at most 2 * 16**prefix rows, however many positions are drawn.
+    width = F.greatest(F.ceil(F.col("__total") / F.lit(float(16**prefix))).cast("bigint"), F.lit(1))
+    binned = lambda c: F.floor(c / F.col("__width")).cast("bigint")
+    ranges = running_starts(sizes, "__slice", "__n", prefix // 2).withColumn("__total", total).withColumn("__width", width)
+    covered = F.sequence(binned(F.col("__start")), binned(F.col("__start") + F.col("__n") - 1))
+    bins = ranges.select("__slice", "__start", "__n", F.explode(covered).alias("__bin"))
+    wanted = draws.withColumn("__total", total).select(F.col(out).cast("bigint").alias(out), index.alias("__at"), width.alias("__width"))
+    found = wanted.withColumn("__bin", binned(F.col("__at"))).join(F.broadcast(bins), "__bin")
+    inside = (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__start") + F.col("__n"))
+    placed = found.where(inside).select(out, "__slice", (F.col("__at") - F.col("__start") + 1).alias("__rank"))
     hit = cut.join(placed.select("__slice").distinct(), "__slice", "left_semi")
     inner = W.partitionBy("__slice").orderBy("__digest", *ties)
     ranked = hit.withColumn("__rank", F.row_number().over(inner).cast("bigint"))
     return ranked.join(placed, ["__slice", "__rank"], "inner").drop("__slice", "__rank", "__digest")
 
 
-def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], row_key: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Inner join with a table of one row a key: the rows of a key are spread over ``salts`` tasks.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = SALT_ROWS) -> DataFrame:
+    """``(keys..., __salts)`` of the keys with more than ``rows`` rows, one salt for each ``rows`` of them.
+
+    The counts combine on the map side. There are fewer than one such key for ``rows`` rows of the table.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.where(F.col("__n") > rows).select(*keys, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias("__salts"))
+
+
+def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], row_key: Sequence[str], rows: int = SALT_ROWS) -> DataFrame:
+    """Inner join with a table of one row a key: the rows of a hot key are spread over as many tasks as its count asks for.
 
-    An aggregate by the join key is no shuffle of its own that adaptive execution could split, so the hot keys of the
-    large side are split here, and the (far smaller) other side is copied once for each salt.
+    An aggregate by the join key is no shuffle of its own that adaptive execution could split, so hot keys of the large
+    side are split here, and their row of the other side is copied once for each salt. Cold keys are joined as they are.
     """
-    own = F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return df.withColumn("__salt", own).join(small.withColumn("__salt", copies), [*keys, "__salt"], "inner").drop("__salt")
+    hot = F.broadcast(hot_keys(df, keys, rows))
+    salts = F.coalesce("__salts", F.lit(1))
+    own = F.pmod(F.xxhash64(*row_key), salts).cast("int")
+    left = df.join(hot, list(keys), "left").withColumn("__salt", own).drop("__salts")
+    copies = F.explode(F.sequence(F.lit(0), salts - 1))
+    right = small.join(hot, list(keys), "left").withColumn("__salt", copies).drop("__salts")
+    return left.join(right, [*keys, "__salt"], "inner").drop("__salt")
 
 
 def tiled_pairs(

@@ -307,7 +307,9 @@ h2 AS (SELECT request_id, app_id, vec_id object_id, score + 0.6::DOUBLE * greate
 h3 AS (SELECT request_id, app_id, object_id, vec_id op_id, score + 0.4::DOUBLE * greatest(d, 0) score FROM (SELECT r.request_id, h2.app_id, h2.object_id, c.vec_id, h2.score, {dist('r.v', 'c.v')} d,
     row_number() OVER (PARTITION BY r.request_id ORDER BY {dist('r.v', 'c.v')}, c.vec_id) k
   FROM req r JOIN h2 USING (request_id) JOIN cand c ON c.parent_id = h2.object_id AND c.typename = 'op' AND (r.kind IS NULL OR list_contains(c.op_types, r.kind))) WHERE k <= 100)""") + """
-SELECT request_id, rank, app_id, object_id, op_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, op_id) rank FROM h3) WHERE rank <= 5"""
+SELECT request_id, rank, app_id, object_id, op_id, 'app' || app_id app, 'app' || object_id % 25 || '/bo' || object_id object,
+  'app' || (25 + op_id % 200) % 25 || '/bo' || (25 + op_id % 200) || '/op' || op_id op, tree.op_types[1] kind, round(score, 6) score
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score, op_id) rank FROM h3) JOIN tree ON tree.vec_id = op_id WHERE rank <= 5"""
 
 
 def knn(where_item: str = "true", k: int = 5) -> str:
@@ -620,7 +622,7 @@ FROM base b JOIN tn ON tn.i = {idx('tn.n', SEED + '/trigger', 'b.commands', 'b.u
     sql["indel_pairs"] = _with(src, lcs("src")) + f"SELECT a, b, ({dd})::INT distance, round(1 - ({dd})::DOUBLE / (length(a) + length(b)), 6) similarity FROM lcs"
     sql["indel_pairs_native"] = _with(src, lcs("src")) + f"SELECT a, b, ({dd})::INT distance FROM lcs"
     # vectors
-    sql["knn_exact"] = sql["knn_streamed"] = knn()
+    sql["knn_exact"] = sql["knn_streamed"] = sql["knn_cells_exact"] = knn()
     sql["knn_filtered"] = knn("c.typename IN ('bo', 'op') AND list_contains(c.op_types, 'triggers') AND list_contains(c.products, 'cloud')")
     sql["knn_within_parent"] = knn("q.parent_id = c.parent_id", 3)
     sql["candidates_of_hits"] = _with(TREE, f"""

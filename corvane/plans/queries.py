@@ -11,6 +11,7 @@ from corvane.functions import fuzzy, vectors
 from corvane.functions.text import first_sentence, program_tokens
 from corvane.functions.variant import explode_variant, resolve_path
 from corvane.operators import catalog as cat
+from corvane.operators import cells
 from corvane.operators import embed, evalsets, generation, grouping, knn, match, paraphrase, quality, sampling, scoring
 from corvane.operators.lemma import lemmatise_last, noun_lemmatiser, verb_lemmatiser
 from corvane.operators.skew import configure, cut_lineage
@@ -702,16 +703,32 @@ def knn_lsh(spark, d):
     return _hits(knn.knn_lsh(q, c, 5, bits=4))
 
 
+@query
+def knn_cells(spark, d):
+    q, c = _search(spark, d)
+    return _hits(cells.search_cells(cells.build_cells(c), q, 5))
+
+
+@query
+def knn_cells_exact(spark, d):
+    q, c = _search(spark, d)
+    return _hits(cells.search_cells(cells.build_cells(c), q, 5, exact=True))
+
+
+def _matched(rows):
+    ids = ["app_id", "object_id", "op_id", "app", "object", "op", "kind"]
+    return rows.select("request_id", F.col("rank").cast("bigint").alias("rank"), *ids, F.round("score", 6).alias("score"))
+
+
 @query
 def match_hierarchy(spark, d):
-    rows = match.match_records(s.match_requests(spark, d), s.element_tree(spark, d))
-    return rows.select("request_id", F.col("rank").cast("bigint").alias("rank"), "app_id", "object_id", "op_id", F.round("score", 6).alias("score"))
+    return _matched(match.match_records(s.match_requests(spark, d), s.element_tree(spark, d), s.element_names(spark, d)))
 
 
 @query
 def match_product(spark, d):
-    rows = match.match_records(s.match_requests(spark, d), s.element_tree(spark, d), product="cloud", dedupe_first=True)
-    return rows.select("request_id", F.col("rank").cast("bigint").alias("rank"), "app_id", "object_id", "op_id", F.round("score", 6).alias("score"))
+    tree, names = s.element_tree(spark, d), s.element_names(spark, d)
+    return _matched(match.match_records(s.match_requests(spark, d), tree, names, product="cloud", dedupe_first=True))
 
 
 @query

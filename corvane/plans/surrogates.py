@@ -235,6 +235,15 @@ def element_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def element_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(element_id, full_name, op_types)`` of the tree: the names of the elements above, then the own one."""
+    name = (
+        "case when vec_id < 25 then 'app' || vec_id when vec_id < 225 then 'app' || vec_id % 25 || '/bo' || vec_id "
+        "else 'app' || (25 + vec_id % 200) % 25 || '/bo' || (25 + vec_id % 200) || '/op' || vec_id end"
+    )
+    return element_tree(spark, sf_dir).select("element_id", F.expr(name).alias("full_name"), "op_types")
+
+
 def match_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding as a request; every third label asks for a kind."""
     kind = "case label when 1 then 'actions' when 4 then 'triggers' when 7 then 'actions' end"
