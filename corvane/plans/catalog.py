@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from corvane.operators import catalog as c
 from corvane.operators import embed, evalsets, generation
-from corvane.operators.lemma import noun_lemmatiser, verb_lemmatiser
+from corvane.operators.lemma import Entries, noun_lemmatiser, verb_lemmatiser
 from corvane.operators.skew import configure, cut_lineage
 from corvane.sources import catalog_files as files
 from corvane.sources.tables import read_products
+from corvane.vocab import PER_TRIGGER_APP
 
 
 @dataclass(frozen=True)
@@ -103,8 +104,8 @@ class Catalog:
     def utterances(self, seed: str | None = "caps") -> DataFrame:
         return generation.utterances(self.commands, seed)
 
-    def sample_corpus(self, seed: str = "0", types: Sequence[int] = tuple(range(1, 9))) -> DataFrame:
-        return sample_corpus(self.commands, seed, types)
+    def sample_corpus(self, seed: str = "0", types: Sequence[int] = tuple(range(1, 9)), **options) -> DataFrame:
+        return sample_corpus(self.commands, seed, types, **options)
 
     def eval_sets(
         self,
@@ -128,7 +129,19 @@ class Catalog:
         return evalsets.eval_sets(parts)
 
 
-def sample_corpus(commands: DataFrame, seed: str = "0", types: Sequence[int] = tuple(range(1, 9))) -> DataFrame:
-    """Corpus of the chosen sample types for a table of commands."""
+def sample_corpus(
+    commands: DataFrame,
+    seed: str = "0",
+    types: Sequence[int] = tuple(range(1, 9)),
+    verbs: Entries | None = None,
+    nouns: Entries | None = None,
+    cap: int | None = PER_TRIGGER_APP,
+    words: int = 2,
+) -> DataFrame:
+    """Corpus of the chosen sample types for a table of commands.
+
+    ``verbs`` and ``nouns`` are tables of dictionary words (by default short lists), ``cap`` bounds the triples of a
+    trigger application (None: all), ``words`` is the least number of words of a text.
+    """
     spark = commands.sparkSession
-    return generation.sample_corpus(commands, verb_lemmatiser(spark), noun_lemmatiser(spark), seed, types)
+    return generation.sample_corpus(commands, verb_lemmatiser(spark, verbs), noun_lemmatiser(spark, nouns), seed, types, cap, words)

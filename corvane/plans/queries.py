@@ -442,13 +442,13 @@ def single_object_apps(spark, d):
 
 @query
 def ambiguous_objects(spark, d):
-    named = lemmatise_last(_utt(spark, d), "object_display_name", "lemma", noun_lemmatiser(spark))
+    named = lemmatise_last(_utt(spark, d), "object_display_name", "lemma", noun_lemmatiser(spark, s.nouns(spark, d)))
     return grouping.ambiguous_objects(named, "app_display_name", "lemma")
 
 
 @query
 def ambiguity_report(spark, d):
-    named = lemmatise_last(_utt(spark, d), "object_display_name", "lemma", noun_lemmatiser(spark))
+    named = lemmatise_last(_utt(spark, d), "object_display_name", "lemma", noun_lemmatiser(spark, s.nouns(spark, d)))
     return grouping.ambiguity_report(named, "app_display_name", "lemma")
 
 

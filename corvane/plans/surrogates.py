@@ -76,6 +76,11 @@ def commands(spark: SparkSession, sf_dir: str, wide: bool = False, many: bool =
     )
 
 
+def nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary of the nouns that name the parts."""
+    return table(spark, sf_dir, "part").select(F.expr("split(p_name, ' ')[1]").alias("lemma")).distinct()
+
+
 def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(app, label, targets, pos)`` of all brands and of the suppliers, which the catalog does not have."""
     number = "cast(substring(p_brand, 7) as int)"

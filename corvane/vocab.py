@@ -125,7 +125,7 @@ PROMPT_LAYOUTS = {
 }
 CLARIFICATION = "{u}, I mean for {app}. Output just triplet(s)."
 
-# --- Fixed values: small verb and noun dictionary of the default lemmatiser ---------------------
+# --- Small dictionary of usual words, for a lemmatiser that is given no table -------------------
 VERBS = [
     "add", "archive", "assign", "call", "cancel", "change", "close", "copy", "create", "delete",
     "download", "find", "get", "insert", "invoke", "list", "merge", "modify", "move", "open",
@@ -134,11 +134,10 @@ VERBS = [
     "trigger", "update", "upload", "upsert", "view", "write",
 ]
 NOUNS = [
-    "account", "anvil", "attachment", "attendee", "bolt", "bucket", "campaign", "case", "channel", "comment",
-    "company", "contact", "customer", "deal", "document", "email", "employee", "event", "file", "folder",
-    "gear", "gizmo", "group", "invoice", "issue", "item", "lead", "list", "member", "message",
-    "note", "opportunity", "order", "payment", "plate", "product", "project", "record", "ring", "rod",
-    "row", "tag", "task", "ticket", "user", "widget", "worksheet",
+    "account", "attachment", "attendee", "bucket", "campaign", "case", "channel", "comment", "company", "contact",
+    "customer", "deal", "document", "email", "employee", "event", "file", "folder", "group", "invoice",
+    "issue", "item", "lead", "list", "member", "message", "note", "opportunity", "order", "payment",
+    "product", "project", "record", "row", "tag", "task", "ticket", "user", "worksheet",
 ]
 # Inflection rules: (suffix of the surface form, suffix of the dictionary form).
 VERB_RULES = [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")]

@@ -14,7 +14,8 @@ from corvane.operators import generation, sampling
 from corvane.operators.lemma import Lemmatiser, lemmatise_last, noun_lemmatiser, verb_lemmatiser
 from corvane.operators.skew import first_row, number_rows, rows_at, tiled_pairs
 from corvane.plans import surrogates
-from corvane.vocab import NOUN_RULES
+from corvane.plans.catalog import sample_corpus as corpus_of
+from corvane.vocab import NOUN_RULES, VERB_RULES
 
 
 def chi2(observed, expected):
@@ -211,6 +212,34 @@ def test_lemmatiser(spark):
     assert Lemmatiser(spark, table, NOUN_RULES).add(df.limit(1), F.lit("widgets"), "l").first().l == "widget"
 
 
+def test_lemmas_by_lookup_equal_lemmas_by_forms(spark):
+    """Both ways over a dictionary table and a table of exceptions, with words outside the built-in lists."""
+    dictionary = spark.createDataFrame([(w,) for w in ["gizmo", "Anvil", "fly", "axe", "ax", "die", "box", "carry", "use", "", "us", "be"]], "w string")
+    special = spark.createDataFrame([("mice", "mouse"), ("axes", "axis"), ("boxes", "boxen")], "s string, l string")
+    words = ["gizmos", "anvils", "flies", "axes", "axed", "dies", "boxes", "mice", "carries", "carrying", "uses", "us", "being", "unknowns", "", None] * 40
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, w string")
+    for rules in (NOUN_RULES, VERB_RULES):
+        ways = [Lemmatiser(spark, dictionary, rules, special, most) for most in (1000, 0)]
+        assert ways[0].forms is not None and ways[1].forms is None
+        got = [sorted(((r.id, r.l) for r in way.add(df, F.col("w"), "l").collect())) for way in ways]
+        assert got[0] == got[1] and len(got[0]) == len(words)
+        first = dict(zip(words[:16], [l for _, l in got[0]]))
+        assert (first["anvils"], first["flies"], first["mice"], first["axes"], first["boxes"], first["unknowns"], first[None]) == ("anvil", "fly", "mouse", "axis", "boxen", "unknowns", None)
+
+
+def test_corpus_with_tables_of_words_and_without_caps(spark):
+    commands = surrogates.commands(spark, SF).where("app IN ('brand1', 'brand2', 'brand3', 'brand4')")
+    verbs = spark.createDataFrame([("retrieve",)], "v string")
+    plain = {r.utterances for r in corpus_of(commands, "5", [1]).collect()}
+    short = {r.utterances for r in corpus_of(commands, "5", [1], words=6).collect()}
+    assert short and all(len(t.split()) >= 6 for t in short) and any(len(t.split()) < 6 for t in plain)
+    texts = [r.utterances for r in corpus_of(commands, "5", [2], verbs=verbs).collect()]
+    assert any(", creates " in t for t in texts) and not any(", retrieves " in t for t in texts)
+    capped = Counter(r.app_list[0] for r in corpus_of(commands, "5", [3], cap=3).collect())
+    whole = Counter(r.app_list[0] for r in corpus_of(commands, "5", [3], cap=None).collect())
+    assert set(capped.values()) == {3} and set(whole.values()) == {16}
+
+
 def test_triples_of_more_than_31_groups_are_the_permuted_ones(spark):
     apps = [f"app{i}" for i in range(33)]
     rows = [(s, role, a, f"{a}/{role}", 0) for s in ("x", "y") for role in ("trigger", "action") for a in apps]
