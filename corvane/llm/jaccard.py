@@ -182,7 +182,8 @@ def _grouped(signed: DataFrame, hot: int) -> DataFrame:
     """What the groups of equal signatures say, as (kind, a, b, c, d, key).
 
     ``class`` rows as they came; ``pair``: classes a < b share c signatures of scheme d within small groups, counted by
-    task; ``hot``: class a has the signature b of scheme d, which more than ``hot`` classes share.
+    task; ``hot``: class b has c signatures of scheme d that more than ``hot`` classes share, a being the smallest of
+    them. Near copies share nearly all their smallest classes, so these rows are few for each class of a large group.
     """
     rows = signed.repartition("sig").sortWithinPartitions("sig", "key")
     target = pa.schema([("kind", pa.string())] + [(n, pa.int64()) for n in ("a", "b", "c", "d", "key")])
@@ -193,32 +194,38 @@ def _grouped(signed: DataFrame, hot: int) -> DataFrame:
 
     def run(batches):
         tail = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        known = None  # signature and smallest class of an open group whose first rows are out already
         pairs: list[np.ndarray] = []
+        stars: list[np.ndarray] = []
 
         def close(sig, key):
-            """Pairs and hot rows of whole groups."""
+            """Pairs and hot rows of whole groups, and of the rest of a group that is known."""
             if not len(sig):
                 return
             fresh = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))  # a class may sign from several tasks
             sig, key = sig[fresh], key[fresh]
             starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             sizes = np.diff(np.append(starts, len(sig)))
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= hot)]):
-                at = starts[sizes == size]
+            least, large = key[starts], sizes > hot
+            if known is not None and sig[0] == known[0]:
+                least[0], large[0] = known[1], True
+            for size in np.unique(sizes[(sizes > 1) & ~large]):
+                at = starts[(sizes == size) & ~large]
                 for i in range(size):
                     for j in range(i):
                         pairs.append(np.stack([key[at + j], key[at + i], sig[at] & 31]))
-            many = np.repeat(sizes > hot, sizes)
+            many = np.repeat(large, sizes)
             if many.any():
-                yield made("hot", key[many], sig[many], np.zeros(many.sum(), np.int64), sig[many] & 31)
-            if sum(p.shape[1] for p in pairs) > 1 << 20:
-                yield from told()
+                stars.append(np.stack([np.repeat(least, sizes)[many], key[many], sig[many] & 31]))
+            for kind, held in (("pair", pairs), ("hot", stars)):
+                if sum(p.shape[1] for p in held) > 1 << 20:
+                    yield from told(kind, held)
 
-        def told():
-            if pairs:
-                both, n = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
-                pairs.clear()
-                yield made("pair", both[0], both[1], n, both[2])
+        def told(kind, held):
+            if held:
+                both, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
+                held.clear()
+                yield made(kind, both[0], both[1], n, both[2])
 
         for batch in batches:
             table = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
@@ -229,12 +236,18 @@ def _grouped(signed: DataFrame, hot: int) -> DataFrame:
                 yield made("class", part.column(2), part.column(3), part.column(4), part.column(5), part.column(1))
             sig = np.concatenate([tail[0], table[0][~about]])
             key = np.concatenate([tail[1], table[1][~about]])
-            # The last group may go on in the next batch.
+            # The last group may go on in the next batch; of a group that is surely hot no row has to wait.
             cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
             yield from close(sig[:cut], key[:cut])
             tail = (sig[cut:], key[cut:])
+            if len(np.unique(tail[1])) > hot:
+                if known is None or known[0] != tail[0][0]:
+                    known = (tail[0][0], tail[1][0])
+                yield from close(*tail)
+                tail = (tail[0][:0], tail[1][:0])
         yield from close(*tail)
-        yield from told()
+        yield from told("pair", pairs)
+        yield from told("hot", stars)
 
     return rows.mapInArrow(run, "kind string, a bigint, b bigint, c bigint, d bigint, key bigint")
 
@@ -299,8 +312,9 @@ def link(df: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int
     weights = weights.select("key", "n", "s.scheme", "s.w").where("w > 0")
     plans = [allocation(k, percent) for k in range(CLASS_ROW)]
     deleting = F.col("scheme").isin([k for k, (_, deletions) in enumerate(plans) if deletions])
-    hots = found.where("kind = 'hot'").select(F.col("a").alias("key"), F.col("d").alias("scheme"), F.col("b").alias("sig"))
-    lost = hots.groupBy("key", "scheme").agg(F.count(F.lit(1)).alias("lost"))
+    hots = found.where("kind = 'hot'").groupBy("a", F.col("b").alias("key"), F.col("d").alias("scheme")).agg(F.sum("c").alias("n"))
+    hots = stored(hots, f"{folder}/hot")
+    lost = hots.groupBy("key", "scheme").agg(F.sum("n").alias("lost"))
     top = F.expr("shiftleft(2L, cast(scheme AS int))") - 1
     partner = F.when(F.col("n") <= top, F.floor(100 * F.col("n") / percent)).otherwise(top)
     need = F.floor((100 - percent) * (F.col("n") + partner) / (100 + percent)) + 1
@@ -317,9 +331,7 @@ def link(df: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int
     light = pairs.where(fits & enough).select("a", "b")
 
     heavy = weights.where("w < need")
-    stars = hots.join(heavy.select("key", "scheme"), ["key", "scheme"], "left_semi")
-    centres = stored(stars.groupBy("sig").agg(F.min("key").alias("a")), f"{folder}/centres")
-    stars = stars.join(centres, "sig").select("a", F.col("key").alias("b"))
+    stars = hots.join(heavy.select("key", "scheme"), ["key", "scheme"], "left_semi").select("a", F.col("key").alias("b"))
     # A class whose segments carry too little weight from the start meets the others of its scheme.
     short = heavy.where(F.col("all") < F.col("need"))
     firsts = short.groupBy("scheme").agg(F.min("key").alias("a"))
