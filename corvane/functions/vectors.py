@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +35,29 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+def hash_tokens(text: Column) -> Column:
+    """Lower-cased words (letters and digits) and word pairs of a text; none for null."""
+    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, pairs)
+
+
 def hash_encode(df: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:
-    """Hashed counts of lower-cased words and word pairs, scaled to length one. Map-only, on the JVM."""
-    words = RegexTokenizer(inputCol=text, outputCol="__uni", pattern=r"[^\p{L}\p{N}]+").transform(df)
-    pairs = NGram(n=2, inputCol="__uni", outputCol="__bi").transform(words)
-    tokens = pairs.withColumn("__tok", F.concat("__uni", "__bi"))
-    counted = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=dim).transform(tokens)
-    scaled = Normalizer(inputCol="__tf", outputCol="__unit").transform(counted)
-    return scaled.withColumn(out, vector_to_array("__unit", "float32")).drop("__uni", "__bi", "__tok", "__tf", "__unit")
+    """Signed hashed counts of words and word pairs, scaled to length one. Map-only, on the JVM.
+
+    The last 8 hex digits of a token's md5, modulo 2 * dim, are its place, and from ``dim`` on its sign is minus.
+    """
+    code = lambda t: (F.conv(F.substring(F.md5(t), 25, 8), 16, 10).cast("bigint") % (2 * dim)).cast("string")
+    coded = df.withColumn("__codes", F.transform(hash_tokens(F.col(text)), code))
+    # A fixed vocabulary of all codes counts them in one pass over the tokens.
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * dim)], inputCol="__codes", outputCol="__counts")
+    # The row number only keeps the optimiser from counting again in each place where the counts are used.
+    once = F.when(F.monotonically_increasing_id() >= 0, vector_to_array("__counts"))
+    counts = counter.transform(coded).withColumn("__n", once)
+    signed = F.zip_with(F.slice("__n", 1, dim), F.slice("__n", dim + 1, dim), lambda plus, minus: plus - minus)
+    unit = Normalizer(inputCol="__v", outputCol="__unit").transform(counts.withColumn("__v", array_to_vector(signed)))
+    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__codes", "__counts", "__n", "__v", "__unit")
 
 
 def batch_encode(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.variant import vget
-from corvane.functions.vectors import batch_encode, hash_encode
+from corvane.functions.vectors import batch_encode, dot, hash_encode, norm
 from corvane.operators.skew import salted_join
 from corvane.vocab import DOCUMENT_SEPARATOR, TAG_APP, TAG_OBJECT, TAG_OPERATION
 
@@ -56,6 +56,15 @@ def embed_distinct(
     return salted_join(keyed, vectors, ["__key"], [c for c in rows.columns]).drop("__key")
 
 
+def text_cosine(
+    df: DataFrame, a: str, b: str, encoder: str | Callable = "hash", out: str = "similarity", dim: int = 256
+) -> DataFrame:
+    """Cosine similarity of the texts in two columns, each encoded on its own; 0 where a text has no vector."""
+    both = embed_texts(embed_texts(df, a, encoder, "__a", dim), b, encoder, "__b", dim)
+    lengths = norm(F.col("__a")) * norm(F.col("__b"))
+    return both.withColumn(out, F.when(lengths > 0, dot(F.col("__a"), F.col("__b")) / lengths).otherwise(F.lit(0.0))).drop("__a", "__b")
+
+
 def with_attributes(vectors: DataFrame, all_elements: DataFrame) -> DataFrame:
     """Vectors of descriptions with element id, parent id, kinds and products; ids of rows by digest."""
     attributes = all_elements.select("full_name", "element_id", "parent_id", "op_types", "products")

@@ -76,6 +76,7 @@ def _tile_top(
     q = unit_rows(np.stack(queries["query_vec"].to_numpy()))
     c = unit_rows(np.stack(corpus["item_vec"].to_numpy()))
     ids = corpus["item_id"].to_numpy()
+    ranks = ids if ids.dtype != object else np.unique(ids, return_inverse=True)[1]  # texts by their order
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     shared = np.intersect1d(of_query, of_item)
     edges = [np.searchsorted(x, shared, side) for x in (of_query, of_item) for side in ("left", "right")]
@@ -85,7 +86,7 @@ def _tile_top(
         if collapse:
             runs = np.flatnonzero(np.append(True, ids[u + 1 : v] != ids[u : v - 1]))
             rows_of = rows_of[runs]
-        for rows, cols, dist in _top_rows(q[a:b], c[u:v], ids[rows_of], k, runs):
+        for rows, cols, dist in _top_rows(q[a:b], c[u:v], ranks[rows_of], k, runs):
             found.append((rows + a, rows_of[cols], dist))
     if not found:
         return pd.DataFrame(columns=names)

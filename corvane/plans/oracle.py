@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corvane.operators.sampling import ROUNDS
 from corvane.plans.surrogates import OPS, text_sql
-from corvane.vocab import ACTIONS, PARAPHRASED_TYPES, PER_TRIGGER_APP, PROMPT_LAYOUTS, TEMPLATES, TRIGGERS
+from corvane.vocab import ACTIONS, DOCUMENT_SEPARATOR, PARAPHRASED_TYPES, PER_TRIGGER_APP, PROMPT_LAYOUTS, TEMPLATES, TRIGGERS
 
 SEED = "7"
 
@@ -71,6 +71,16 @@ def verb_first(x: str) -> str:
 # --- Common table expressions ------------------------------------------------------------------------
 
 
+def encoded(name: str, source: str, dim: int) -> list[str]:
+    """CTEs of the hashed vectors of a table (id, text): ``name`` has their entries (id, position, value)."""
+    return [rf"""
+{name}_w AS (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w FROM {source}),
+{name}_t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) t FROM {name}_w),
+{name}_n AS (SELECT id, code % {dim} AS position, sum(CASE WHEN code < {dim} THEN 1 ELSE -1 END) n
+  FROM (SELECT id, ('0x' || substr(md5(t), 25, 8))::BIGINT % {2 * dim} code FROM {name}_t) GROUP BY ALL),
+{name} AS (SELECT id, position, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS value FROM {name}_n WHERE n <> 0)"""]
+
+
 def catalog(wide: bool = False, many: bool = False) -> str:
     obj = "replace(p_name, ' ', '') || p_size" if wide else "string_split(p_name, ' ')[2]"
     app, shown = ("|| 'x' || p_size", "|| ' ' || p_size") if many else ("", "")
@@ -648,7 +658,29 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 6) sim
   UNION ALL SELECT app || '/' || object, 'bo', unnest([object, coalesce(own_display, inner_display), description, CASE WHEN nested THEN inner_display END,
     CASE WHEN nested THEN 'All about ' || shown END]) FROM jobj
   UNION ALL SELECT app || '/' || object || '/' || op, 'op', unnest([op, operation_display_name, description]) FROM jop) WHERE description IS NOT NULL AND description <> ''"""
-    sql["corpus_rows"] = _with(cat) + "SELECT command path, description, app_display_name, 1.0::DOUBLE AS length FROM cmds"
+    sql["embed_hash"] = _with(*encoded("e", "(SELECT DISTINCT doc_id id, text FROM documents)", 64)) + (
+        "SELECT doc_id, position, round(value, 6) AS value FROM e JOIN documents ON doc_id = id WHERE length(text) > 0"
+    )
+    document = f"command || {_lit(DOCUMENT_SEPARATOR)} || coalesce(description, '')"
+    sql["corpus_rows"] = _with(cat, *encoded("e", f"(SELECT command id, {document} AS text FROM cmds)", 32)) + (
+        "SELECT command path, description, app_display_name, position, round(value, 6) AS value FROM e JOIN cmds ON command = id"
+    )
+    pair = "(SELECT conv_id || '/' || turn id, {} AS text FROM test)"
+    sql["cosine_texts"] = _with(TEST, *encoded("a", pair.format("utterances"), 64), *encoded("b", pair.format("commands"), 64)) + """
+SELECT conv_id, turn, round(coalesce((SELECT sum(a.value * b.value) FROM a JOIN b USING (id, position) WHERE id = conv_id || '/' || turn)
+  / (SELECT sqrt(sum(value * value)) FROM a WHERE id = conv_id || '/' || turn) / (SELECT sqrt(sum(value * value)) FROM b WHERE id = conv_id || '/' || turn), 0), 6) similarity FROM test"""
+    found = _with(cat, TEST, *encoded("c", f"(SELECT command id, {document} AS text FROM cmds)", 64),
+        *encoded("q", "(SELECT DISTINCT utterances id, utterances AS text FROM test WHERE length(utterances) > 0)", 64), f"""
+qn AS (SELECT id, sqrt(sum(value * value)) n FROM q GROUP BY id), cn AS (SELECT id, sqrt(sum(value * value)) n FROM c GROUP BY id),
+dots AS (SELECT q.id asked, c.id path, sum(q.value * c.value) s FROM q JOIN c USING (position) GROUP BY ALL),
+near AS (SELECT asked, path, round(1 - coalesce(s / qn.n / cn.n, 0), 9) distance FROM (SELECT DISTINCT utterances asked FROM test WHERE length(utterances) > 0)
+  CROSS JOIN (SELECT command path FROM cmds) LEFT JOIN dots USING (asked, path) LEFT JOIN qn ON qn.id = asked LEFT JOIN cn ON cn.id = path),
+best AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, path) rank FROM near QUALIFY rank <= 5)""")
+    sql["retrieved_documents"] = found + f"""SELECT conv_id, turn, rank, path, {document} document, round(distance, 6) distance
+FROM test JOIN best ON asked = utterances JOIN cmds ON command = path"""
+    sql["retrieved_hits"] = found + r""", r AS (SELECT conv_id, turn, commands, path, rank FROM test JOIN best ON asked = utterances),
+l AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN path ELSE commands END commands FROM r WHERE rank = 3)
+SELECT conv_id, turn, bool_or(list_contains(regexp_extract_all(l.commands, '([\w.\-]+)', 1), r.path)) hit FROM l JOIN r USING (conv_id, turn) GROUP BY ALL"""
     # scores
     sql["hit_at_5"] = f"""WITH n AS (SELECT q.vec_id query_id, q.label ql, c.label cl, row_number() OVER (PARTITION BY q.vec_id ORDER BY {dist('q.embedding::DOUBLE[]', 'c.embedding::DOUBLE[]')}, c.vec_id) k
   FROM embeddings q, embeddings c WHERE q.vec_id <> c.vec_id) SELECT query_id, bool_or(ql = cl) hit FROM n WHERE k <= 5 GROUP BY query_id"""

@@ -12,7 +12,7 @@ from corvane.functions.text import first_sentence, program_tokens
 from corvane.functions.variant import explode_variant, resolve_path
 from corvane.operators import catalog as cat
 from corvane.operators import cells
-from corvane.operators import embed, evalsets, generation, grouping, knn, match, paraphrase, quality, sampling, scoring
+from corvane.operators import embed, evalsets, generation, grouping, knn, match, paraphrase, quality, retrieval, sampling, scoring
 from corvane.operators.lemma import lemmatise_last, noun_lemmatiser, verb_lemmatiser
 from corvane.operators.skew import configure, cut_lineage
 from corvane.plans import surrogates as s
@@ -754,7 +754,39 @@ def cosine_pairs(spark, d):
 @query
 def embed_hash(spark, d):
     rows = embed.embed_distinct(s.table(spark, d, "documents").select("doc_id", "text"), "text", dim=64)
-    return rows.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 5)).cast("array<string>"), ",").alias("embedding"))
+    return _entries(rows, "doc_id")
+
+
+def _entries(rows, *keys):
+    """The entries of the vectors that are not zero."""
+    each = rows.select(*keys, F.posexplode("embedding").alias("position", "value")).where("value <> 0")
+    return each.withColumns({"position": F.col("position").cast("bigint"), "value": F.round(F.col("value").cast("double"), 6)})
+
+
+@query
+def cosine_texts(spark, d):
+    rows = embed.text_cosine(s.test_frame(spark, d), "utterances", "commands", dim=64)
+    return rows.select("conv_id", "turn", F.round("similarity", 6).alias("similarity"))
+
+
+def _retrieved(spark, d):
+    corpus = embed.corpus(s.commands(spark, d), dim=64)
+    return retrieval.retrieve(s.test_frame(spark, d), corpus, 5, dim=64)
+
+
+@query
+def retrieved_documents(spark, d):
+    """Every user turn with its five nearest commands."""
+    rows = _retrieved(spark, d)
+    return rows.select("conv_id", "turn", F.col("rank").cast("bigint").alias("rank"), "path", "document", F.round("distance", 6).alias("distance"))
+
+
+@query
+def retrieved_hits(spark, d):
+    """The whole way from text to score; every other label is the third command found, the rest are as they were."""
+    rows = _retrieved(spark, d).withColumn("row", F.concat_ws("/", "conv_id", "turn"))
+    test = rows.where("rank = 3").withColumn("commands", F.when(F.col("conv_id") % 2 == 0, F.col("path")).otherwise(F.col("commands")))
+    return scoring.hit_at_k(test.drop("path"), rows.select("row", "path"), "row").select("conv_id", "turn", "hit")
 
 
 @query
@@ -766,7 +798,7 @@ def catalog_descriptions(spark, d):
 @query
 def corpus_rows(spark, d):
     rows = embed.corpus(s.commands(spark, d), dim=32)
-    return rows.select("path", "description", "app_display_name", F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
+    return _entries(rows, "path", "description", "app_display_name")
 
 
 # --- Scores -----------------------------------------------------------------------------------------------------------

@@ -1,10 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
 from corvane.functions import vectors
-from corvane.operators import embed, knn, match
+from corvane.operators import embed, knn, match, retrieval
 from corvane.plans.catalog import Catalog
 from corvane.plans.queries import REGISTRY
 
@@ -177,3 +179,52 @@ def test_rows_cut_before_elements(spark):
     req = spark.createDataFrame([(9, [1.0, 0.0])], "request_id bigint, app_vec array<float>")
     assert {r.element_id for r in match.match_apps(req, stored, 2).collect()} == {0}
     assert {r.element_id for r in match.match_apps(req, stored, 2, dedupe_first=True).collect()} == {0, 1}
+
+
+def test_hash_encoder_by_hand(spark):
+    from hashlib import md5
+
+    texts = ["Alpha beta alpha", "ñandú 日本 42", "", None, "x " * 5000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in vectors.hash_encode(df, "t", dim=16).collect():
+        words = re.findall(r"[^\W_]+", (r.t or "").lower())
+        expected = np.zeros(16)
+        for token in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            code = int(md5(token.encode()).hexdigest()[24:], 16) % 32
+            expected[code % 16] += 1 if code < 16 else -1
+        length = np.linalg.norm(expected)
+        assert np.allclose(r.embedding, expected / length if length else expected, atol=1e-6)
+
+
+def test_text_cosine(spark):
+    df = spark.createDataFrame([(0, "a b c", "A, b; c"), (1, "a", "z"), (2, None, "a"), (3, "", "")], "i int, a string, b string")
+    got = {r.i: r.similarity for r in embed.text_cosine(df, "a", "b", dim=1 << 12).collect()}
+    assert abs(got[0] - 1) < 1e-6 and got[1] == got[2] == got[3] == 0
+    own = embed.text_cosine(df.where("i < 2"), "a", "b", lambda batch: np.array([[len(t), 1.0] for t in batch]))
+    assert all(0.7 < r.similarity <= 1 + 1e-9 for r in own.collect())
+
+
+def test_retrieve_from_text_to_documents(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encoder(batch):
+        calls.add(len(batch))
+        return np.array([[t.count("a") + 1.0, t.count("b"), t.count("c")] for t in batch])
+
+    commands = spark.createDataFrame([("p.a.X", "aaa", "P"), ("p.b.X", "bbb", "P"), ("p.c.X", None, "P"), ("p.b.Y", "bbb", "Q")], "command string, description string, app_display_name string")
+    corpus = embed.corpus(commands, encoder).cache()
+    assert corpus.count() == 4
+    calls.value = 0
+    texts = ["bb", "bb", "ccc", None, "", "a"] + ["bbb"] * 300
+    test = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, utterances string, rank string").drop("rank")
+    for search in ("exact", "cells"):
+        got = {}
+        for r in retrieval.retrieve(test, corpus, 2, encoder=encoder, search=search).collect():
+            got.setdefault(r.i, []).append((r["rank"], r.path, r.document))
+        assert set(got) == {i for i, t in enumerate(texts) if t}
+        assert sorted(got[0]) == sorted(got[1]) == [(1, "p.b.X", "p.b.X Flow description: bbb"), (2, "p.b.Y", "p.b.Y Flow description: bbb")]
+        assert sorted(got[5])[0][1] == "p.a.X" and all(len(v) == 2 for v in got.values())
+    assert calls.value <= 2 * 3 * 4  # each distinct text once a job that reads it, not once a row
+    assert retrieval.retrieve(test.where("1 = 0"), corpus, 2, encoder=encoder).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.retrieve(test, corpus, search="unknown")
