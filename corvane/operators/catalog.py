@@ -235,6 +235,11 @@ def first_account(accounts: DataFrame, order: str) -> DataFrame:
     return accounts.groupBy("app").agg(F.min_by("account", order).alias("account"), F.count(F.lit(1)).alias("n_accounts"))
 
 
+def accounts_of(accounts: DataFrame, apps: DataFrame | None = None) -> DataFrame:
+    """All accounts with the application that they connect, of the given applications only if there are any given."""
+    return accounts if apps is None else accounts.join(apps.select("app").distinct(), "app", "left_semi")
+
+
 def account_gaps(apps: DataFrame, accounts: DataFrame) -> DataFrame:
     """``(app, gap)``: applications without an account and accounts without an application."""
     missing = apps.select("app").distinct().join(accounts.select("app").distinct(), "app", "left_anti")

@@ -452,14 +452,15 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL SELECT 'edge:' || edge, count(*) FROM ({edges}) GROUP BY edge"
     )
     sql["catalog_audit"] = _with(cat, PRODUCTS) + (
-        "SELECT DISTINCT 'no product' problem, app AS name FROM cmds WHERE app NOT IN (SELECT app FROM products WHERE product <> 'demo') "
+        "SELECT DISTINCT 'no product' problem, app AS name FROM (SELECT app FROM cmds UNION ALL SELECT lower(n_name) FROM nation) WHERE app NOT IN (SELECT app FROM products) "
         "UNION ALL SELECT DISTINCT 'no kind', app || '/' || object || '/' || op FROM cmds WHERE op LIKE '%POLLER'"
     )
     sql["first_account_per_app"] = "SELECT n_name app, arg_min(c_name, c_custkey) account, count(*) n_accounts FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
     sql["account_gaps"] = (
-        "WITH a AS (SELECT DISTINCT c_nationkey app FROM customer WHERE c_acctbal > 9900), b AS (SELECT DISTINCT s_nationkey app FROM supplier) "
+        "WITH a AS (SELECT DISTINCT c_custkey app FROM customer), b AS (SELECT o_custkey app FROM orders UNION SELECT -p_partkey FROM part) "
         "SELECT app, 'no account' gap FROM a WHERE app NOT IN (SELECT app FROM b) UNION ALL SELECT app, 'no application' FROM b WHERE app NOT IN (SELECT app FROM a)"
     )
+    sql["accounts_by_app"] = "SELECT c_nationkey app, c_name account FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 3"
     # JSON
     sql["json_apps"] = _with(cat, PRODUCTS, JSON) + "SELECT app, CASE WHEN nested THEN 'nested' ELSE 'flat' END dialect, display_name, description, products FROM japp LEFT JOIN plist USING (app)"
     sql["json_objects"] = _with(cat, JSON) + (
@@ -474,12 +475,15 @@ def oracle_sql() -> dict[str, str]:
     sql["json_properties"] = _with(cat, JSON, JPROPS) + """SELECT app, object, op, direction, p.prop_path, p."type" FROM jdir
   JOIN (VALUES (true, 'id', 'string'), (true, 'owner.name', 'string'), (true, 'tags.label', 'string'),
     (false, 'owner', '{"age":{"type":"int"},"name":{"type":"string"}}'), (false, 'tags', '[{"label":{"type":"string"}}]')) p(inc, prop_path, "type") ON p.inc = included"""
-    sql["json_object_properties"] = _with(cat, JSON) + "SELECT app, object, unnest(['id', 'owner', 'tags']) prop, true is_object FROM jobj WHERE has_schema"
+    sql["json_object_properties"] = _with(cat, JSON) + (
+        "SELECT app, object, unnest(['id', 'owner', 'tags']) prop, unnest(['string', '{\"age\":{\"type\":\"int\"},\"name\":{\"type\":\"string\"}}', "
+        "'[{\"label\":{\"type\":\"string\"}}]']) AS \"type\" FROM jobj WHERE has_schema"
+    )
     sql["json_quarantine"] = _with(cat, JSON) + (
         "SELECT 'listing' document, app, count(DISTINCT object) n FROM jn WHERE broken GROUP BY app "
         "UNION ALL SELECT 'schema', app, count(DISTINCT object) FROM jn WHERE NOT nested AND object = 'plate' AND op <> 'DELETED' GROUP BY app"
     )
-    sql["json_orphans"] = _with(cat, JSON) + "SELECT DISTINCT app, object FROM jl WHERE length(app) <> 7"
+    sql["json_orphans"] = _with(cat, JSON) + "SELECT DISTINCT app || '-old' app, object FROM jl"
     sql["quality_warnings"] = _with(cat, JSON) + """SELECT app AS name, 'no description' warnings FROM japp WHERE description IS NULL
   UNION ALL SELECT app || '/' || object, concat_ws(', ',
     CASE WHEN coalesce(own_display, '?') <> inner_display THEN 'label-conflict: ' || coalesce(own_display, '-') || ' | ' || inner_display END,
@@ -492,8 +496,8 @@ def oracle_sql() -> dict[str, str]:
     sql["missing_labels"] = "SELECT doc_id, 'no quality, no toxic' warnings FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
     sql["complete_rows"] = "SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)"
     sql["interaction_diff"] = (
-        "SELECT doc_id, 'summary only' side FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) "
-        "UNION ALL SELECT doc_id, 'schema only' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+        "SELECT c_custkey AS key, 'summary only' side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) "
+        "UNION ALL SELECT DISTINCT user_id, 'schema only' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)"
     )
     sql["interaction_diff_all"] = (
         "SELECT doc_id, 'summary only' side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) "
@@ -504,10 +508,15 @@ def oracle_sql() -> dict[str, str]:
     WHEN 'flat' THEN '{"type":' || replace(props, ' ', '') || '}' END AS value
   FROM events, (SELECT unnest(['outer.inner.k', 'flat.k', 'flat', 'outer.k', 'none.k']) path) p"""
     sql["event_props"] = "SELECT event_id, 'k' AS key, (props->>'$.k')::BIGINT AS value FROM events"
-    sql["stale_refresh"] = """WITH now AS (SELECT max(ts) now FROM events),
+    stored = """WITH now AS (SELECT max(ts) now FROM events),
 incoming AS (SELECT user_id app, event_type object, max(ts) modified, count(*) payload FROM events GROUP BY ALL),
-cur AS (SELECT user_id app, event_type object, max(ts) modified, -count(*) payload FROM events WHERE value < 20 GROUP BY ALL),
-capps AS (SELECT app, min(modified) modified FROM cur WHERE object <> 'error' GROUP BY app),
+cur AS (SELECT user_id app, event_type object, CASE WHEN floor(sum(value)) % 2 = 0 THEN max(ts) ELSE min(ts) END modified, -count(*) payload
+  FROM events WHERE event_type <> 'error' GROUP BY ALL),
+capps AS (SELECT app, min(modified) modified FROM cur WHERE object <> 'click' GROUP BY app)"""
+    sql["app_refresh"] = stored + """, old AS (SELECT app, modified, epoch_us(now) - epoch_us(modified) <= 86400000000 * 9 fresh FROM capps, now)
+SELECT app, strftime(coalesce(CASE WHEN fresh THEN modified END, now), '%Y-%m-%d %H:%M:%S') modified, NOT coalesce(fresh, false) refreshed
+FROM (SELECT DISTINCT user_id app FROM events) LEFT JOIN old USING (app), now"""
+    sql["stale_refresh"] = stored + """,
 fresh AS (SELECT app FROM capps, now WHERE epoch_us(now) - epoch_us(modified) <= 86400000000 * 9),
 taken AS (SELECT i.app, i.object, i.payload FROM incoming i LEFT JOIN cur c ON c.app = i.app AND c.object = i.object, now
   WHERE i.app NOT IN (SELECT app FROM fresh) AND (c.modified IS NULL OR epoch_us(now) - epoch_us(c.modified) > 86400000000 * 20))
@@ -576,18 +585,13 @@ win AS (SELECT text, app, s a, substr(l, unnest(range(1, length(l) + 1)), length
         "SELECT p_partkey, string_agg(r, ',' ORDER BY k) partial_ratios FROM src JOIN best USING (text, app) GROUP BY p_partkey"
     )
     mention_windows = """
-src AS (SELECT command, source, lower(description) text, lower(app) app FROM utt WHERE source IN (2, 3)),
+src AS (SELECT command, source, description, lower(description) text, lower(app) app FROM utt),
 txt AS (SELECT DISTINCT text, app, CASE WHEN length(text) < length(app) THEN text ELSE app END s, CASE WHEN length(text) < length(app) THEN app ELSE text END l FROM src),
 win AS (SELECT text, app, s a, substr(l, unnest(range(1, length(l) + 1)), length(s)) b FROM txt)"""
-    sql["mentions_app"] = _with(cat, utt(), mention_windows, lcs("win")) + (
-        ", best AS (SELECT text, app, floor(max(200.0::DOUBLE * l / (length(a) + length(b))) + 0.5)::INT r FROM win JOIN lcs USING (a, b) GROUP BY text, app) "
-        "SELECT command, source, r app_score, r > 80 mentions FROM src JOIN best USING (text, app)"
-    )
-    every_window = mention_windows.replace("utt WHERE source IN (2, 3)", "utt")
-    sql["mentions_app_all"] = _with(cat, utt(), every_window, lcs("win")) + (
-        ", best AS (SELECT text, app, floor(max(200.0::DOUBLE * l / (length(a) + length(b))) + 0.5)::INT r FROM win JOIN lcs USING (a, b) GROUP BY text, app) "
-        "SELECT command, source, r app_score, r > 80 mentions FROM src JOIN best USING (text, app)"
-    )
+    mentions = _with(cat, utt(), mention_windows, lcs("win"), """
+best AS (SELECT text, app, floor(max(200.0::DOUBLE * l / (length(a) + length(b))) + 0.5)::INT r FROM win JOIN lcs USING (a, b) GROUP BY text, app)""")
+    sql["mentions_app_all"] = mentions + "SELECT command, source, r app_score, r > 80 mentions FROM src JOIN best USING (text, app)"
+    sql["mentions_app"] = mentions + "SELECT command, source, description, r app_score FROM src JOIN best USING (text, app) WHERE r > 80"
     sql["first_sentences"] = "SELECT doc_id, split_part(text, '.', 1) || '.' sentence FROM documents"
     sql["alias_eval"] = _with(cat, utt(None), ALIAS_EVAL) + "SELECT utterances, command commands FROM al"
     sql["templated_aliases"] = _with(cat, utt(None), ALIASES, TEMPLATED) + (
@@ -624,6 +628,7 @@ FROM base b JOIN tn ON tn.i = {idx('tn.n', SEED + '/trigger', 'b.commands', 'b.u
     )
     sql["eval_sets"] = (
         f"SELECT commands, utterances, 1 \"type\" FROM ({sql['alias_eval']}) UNION ALL SELECT commands, utterances, 2 FROM ({sql['unique_object_eval']}) "
+        f"UNION ALL SELECT commands, utterances, 3 FROM ({sql['single_object_eval']}) UNION ALL SELECT commands, utterances, 4 FROM ({sql['composed_eval']}) "
         f"UNION ALL SELECT commands, utterances, 6 FROM ({sql['text_records_eval']})"
     )
     # fuzzy
@@ -638,7 +643,7 @@ FROM base b JOIN tn ON tn.i = {idx('tn.n', SEED + '/trigger', 'b.commands', 'b.u
     sql["candidates_of_hits"] = _with(TREE, f"""
 h1 AS (SELECT request_id, vec_id app_id FROM (SELECT request_id, c.vec_id,
     row_number() OVER (PARTITION BY request_id ORDER BY {dist('r.v', 'c.v')}, c.vec_id) k FROM req r, tree c WHERE typename = 'app') WHERE k <= 5)""") + (
-        "SELECT request_id query_id, count(*) n, min(vec_id) AS first FROM h1 JOIN tree ON parent_id = app_id AND typename = 'bo' GROUP BY request_id"
+        "SELECT request_id query_id, vec_id candidate, 'app' || vec_id % 25 || '/bo' || vec_id full_name FROM h1 JOIN tree ON parent_id = app_id AND typename = 'bo'"
     )
     sql["candidate_rows_of_hits"] = _with(TREE, f"""
 h1 AS (SELECT request_id, vec_id app_id FROM (SELECT request_id, c.vec_id,
@@ -693,7 +698,8 @@ SELECT conv_id, turn, bool_or(list_contains(regexp_extract_all(l.commands, '([\w
     )
     sql["token_counts"] = "SELECT doc_id, len(regexp_extract_all(text, '(\\w+|[^\\w ])', 1)) n_tokens FROM documents"
     lines = "coalesce((SELECT string_agg('    ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
-    sql["prompt_rows"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('options', lines)} prompt FROM test WHERE turn = 0"
+    sql["prompt_rows"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('paths', lines)} prompt FROM test"
+    sql["prompt_rows_conversational"] = _with(TEST) + f"SELECT conv_id, turn, {prompt('conversational', '', 'alpha, beta')} prompt FROM test"
     sql["prompt_rows_all"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('options', lines)} prompt FROM test"
     both = "coalesce((SELECT string_agg('    ' || text || ': ' || path || chr(10), '' ORDER BY r.turn) FROM replies r WHERE r.conv_id = test.conv_id AND (r.turn + 1) // 2 <= 5), '')"
     sql["prompt_rows_pairs"] = _with(TEST, REPLIES) + f"SELECT conv_id, turn, {prompt('pairs_and_apps', both, 'alpha, beta')} prompt FROM test"

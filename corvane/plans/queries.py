@@ -121,9 +121,9 @@ def graph_counts(spark, d):
 def catalog_audit(spark, d):
     apps, _, operations = s.silver(spark, d)
     kinds = operations.withColumn("kind", F.when(~F.col("op").endswith("POLLER"), F.col("kind")))
-    no_demo = s.product_rows(spark, d).where(F.col("targets") != "demo")
-    products = tables.split_products(no_demo)
-    return cat.audit(apps.join(products, "app", "left"), kinds)
+    nations = s.table(spark, d, "nation").select(F.lower("n_name").alias("app"), F.col("n_name").alias("display_name"), F.lit(None).cast("string").alias("description"))
+    products = tables.split_products(s.product_rows(spark, d))
+    return cat.audit(apps.unionByName(nations).join(products, "app", "left"), kinds)
 
 
 @query
@@ -137,9 +137,17 @@ def first_account_per_app(spark, d):
 
 @query
 def account_gaps(spark, d):
-    apps = s.table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("app"))
-    accounts = s.table(spark, d, "supplier").select(F.col("s_nationkey").alias("app"))
-    return cat.account_gaps(apps, accounts)
+    """Customers as applications, and the orders and suppliers by their customer's or own number as accounts."""
+    apps = s.table(spark, d, "customer").select(F.col("c_custkey").alias("app"))
+    orders = s.table(spark, d, "orders").select(F.col("o_custkey").alias("app"))
+    return cat.account_gaps(apps, orders.unionByName(s.table(spark, d, "part").select((-F.col("p_partkey")).alias("app"))))
+
+
+@query
+def accounts_by_app(spark, d):
+    accounts = s.table(spark, d, "customer").select(F.col("c_nationkey").alias("app"), F.col("c_name").alias("account"))
+    regions = s.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("app"))
+    return cat.accounts_of(accounts, regions)
 
 
 # --- JSON ingest ----------------------------------------------------------------------------------------
@@ -183,7 +191,7 @@ def json_properties(spark, d):
 @query
 def json_object_properties(spark, d):
     rows = cat.object_properties(_json_catalog(spark, d).objects)
-    return rows.select("app", "object", "prop", F.schema_of_variant("spec").startswith("OBJECT").alias("is_object"))
+    return rows.select("app", "object", "prop", F.try_variant_get("spec", "$.type", "string").alias("type"))
 
 
 @query
@@ -196,8 +204,9 @@ def json_quarantine(spark, d):
 
 @query
 def json_orphans(spark, d):
-    records = cat.explode_apps(s.app_documents(spark, d)).where(F.length("app") == 7)
-    good, _ = cat.quarantine_listings(s.listing_documents(spark, d))
+    records = cat.explode_apps(s.app_documents(spark, d))
+    listings = s.listing_documents(spark, d)  # once more under names that no application has
+    good, _ = cat.quarantine_listings(listings.unionByName(listings.withColumn("app", F.concat("app", F.lit("-old")))))
     _, orphans = cat.build_objects(cat.explode_objects(good), s.schema_documents(spark, d), cat.build_apps(records))
     return orphans.select("app", "object")
 
@@ -229,8 +238,9 @@ def complete_rows(spark, d):
 
 @query
 def interaction_diff(spark, d):
-    english = s.table(spark, d, "documents").where("lang = 'en'").select("doc_id")
-    return quality.diff_interactions(english, s.table(spark, d, "labels"), ["doc_id"])
+    customers = s.table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    users = s.table(spark, d, "events").select(F.col("user_id").alias("key")).distinct()
+    return quality.diff_interactions(customers, users, ["key"])
 
 
 @query
@@ -271,15 +281,32 @@ def event_props(spark, d):
 def stale_refresh(spark, d):
     events = s.table(spark, d, "events")
     keyed = events.select(F.col("user_id").alias("app"), F.col("event_type").alias("object"), "ts", "value")
-    incoming = keyed.groupBy("app", "object").agg(F.max("ts").alias("modified"), F.count(F.lit(1)).alias("payload"))
-    stored = keyed.where("value < 20").groupBy("app", "object")
-    current = stored.agg(F.max("ts").alias("modified"), (-F.count(F.lit(1))).alias("payload"))
-    current_apps = current.where("object <> 'error'").groupBy("app").agg(F.min("modified").alias("modified"))
-    now = events.agg(F.max("ts").alias("now")).scalar()
+    incoming, current, current_apps, _, now = _stored_events(spark, d)
     rows = incremental.refresh(incoming, current, current_apps, now, app_timeout=86400 * 9, obj_timeout=86400 * 20)
     return rows.select("app", "object", "payload", "refreshed")
 
 
+def _stored_events(spark, d):
+    """What comes in is the newest state of each user and event type; stored is each type of event but errors as it was
+    first seen, or seen last if its values add up to an even number, and each user as one type of event has it."""
+    events = s.table(spark, d, "events")
+    keyed = events.select(F.col("user_id").alias("app"), F.col("event_type").alias("object"), "ts", "value")
+    incoming = keyed.groupBy("app", "object").agg(F.max("ts").alias("modified"), F.count(F.lit(1)).alias("payload"))
+    even = F.floor(F.sum("value")) % 2 == 0
+    seen = F.when(even, F.max("ts")).otherwise(F.min("ts"))
+    current = keyed.where("object <> 'error'").groupBy("app", "object").agg(seen.alias("modified"), (-F.count(F.lit(1))).alias("payload"))
+    current_apps = current.where("object <> 'click'").groupBy("app").agg(F.min("modified").alias("modified"))
+    incoming_apps = incoming.groupBy("app").agg(F.max("modified").alias("modified"))
+    return incoming, current, current_apps, incoming_apps, events.agg(F.max("ts").alias("now")).scalar()
+
+
+@query
+def app_refresh(spark, d):
+    _, _, current_apps, incoming_apps, now = _stored_events(spark, d)
+    rows = incremental.refresh_apps(incoming_apps, current_apps, now, app_timeout=86400 * 9)
+    return rows.select("app", F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "refreshed")
+
+
 # --- Utterances and samples --------------------------------------------------------------------------------
 
 
@@ -385,8 +412,8 @@ def same_object_pairs(spark, d):
 
 @query
 def mentions_app(spark, d):
-    rows = generation.mentions_app(_utt(spark, d).where("source = 2").unionByName(_utt(spark, d).where("source = 3")))
-    return rows.select("command", "source", "app_score", "mentions")
+    rows = generation.mentions_app(_utt(spark, d))
+    return rows.where("mentions").select("command", "source", "description", "app_score")
 
 
 @query
@@ -609,7 +636,8 @@ def text_records_plain(spark, d):
 def eval_sets(spark, d):
     lines = text_records.number_lines(s.turn_lines(spark, d), "conv_id", "turn", F.col("line"))
     records = text_records.split_records(text_records.group_records(lines, variations=True))
-    return evalsets.eval_sets({1: alias_eval(spark, d), 2: unique_object_eval(spark, d), 6: records.select("utterances", "commands")})
+    parts = {1: alias_eval, 2: unique_object_eval, 3: single_object_eval, 4: composed_eval}
+    return evalsets.eval_sets({**{t: fn(spark, d) for t, fn in parts.items()}, 6: records.select("utterances", "commands")})
 
 
 # --- Fuzzy matching and vectors --------------------------------------------------------------------------------------
@@ -686,7 +714,8 @@ def candidates_of_hits(spark, d):
     tree = s.element_tree(spark, d)
     hits = match.match_apps(s.match_requests(spark, d), tree).select("query_id", F.col("element_id").alias("parent_id"))
     objects = tree.where("typename = 'bo'").select("parent_id", F.col("element_id").alias("candidate"))
-    return knn.restrict(objects, hits, "parent_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("first"))
+    names = s.element_names(spark, d).select(F.col("element_id").alias("candidate"), "full_name")
+    return knn.restrict(objects, hits, "parent_id").join(names, "candidate").select("query_id", "candidate", "full_name")
 
 
 @query
@@ -859,7 +888,13 @@ def _reply_hits(spark, d):
 
 @query
 def prompt_rows(spark, d):
-    rows = scoring.prompts(s.test_frame(spark, d).where("turn = 0"), _reply_hits(spark, d), "conv_id", "options")
+    rows = scoring.prompts(s.test_frame(spark, d), _reply_hits(spark, d), "conv_id", "paths")
+    return rows.select("conv_id", "turn", "prompt")
+
+
+@query
+def prompt_rows_conversational(spark, d):
+    rows = scoring.prompts(s.test_frame(spark, d), None, "conv_id", "conversational", apps="alpha, beta")
     return rows.select("conv_id", "turn", "prompt")
 
 

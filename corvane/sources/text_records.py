@@ -6,9 +6,13 @@ lines are skipped, and ``@`` lines are alternatives to the text so far: the line
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK = 50_000
 
@@ -51,31 +55,59 @@ def group_records(lines: DataFrame, variations: bool = False, add_end: str | Non
     numbered = running_count(kept, "file", ~marked, "record").where(F.col("record") > 0)
     body = F.when(marked, F.substring("line", F.lit(2), F.length("line"))).otherwise(F.col("line"))
     alt = (mark == "@") if variations else F.lit(False)
-    piece = F.struct("chunk", "pos", alt.alias("alt"), F.concat(body, F.lit("\n")).alias("text"))
-    packed = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(piece)).alias("parts"))
-    first_alt = F.array_position(F.transform("parts", lambda p: p["alt"]), F.lit(True)).cast("int")
-
-    def joined(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda p: p["text"]), "")
-
-    n = F.size("parts")
-    head = F.when(F.col("at") == 0, F.col("parts")).otherwise(F.slice("parts", F.lit(1), F.col("at") - 1))
-    after = F.when(F.col("at") == 0, F.slice("parts", F.lit(1), F.lit(0))).otherwise(
-        F.slice("parts", F.col("at") + 1, n)
-    )
-    others = F.transform(F.filter("parts", lambda p: p["alt"]), lambda p: p["text"])
-    variants = packed.withColumn("at", first_alt).select(
-        "file",
-        "record",
-        F.explode(F.array_distinct(F.concat(F.array(joined(head)), others))).alias("head"),
-        joined(F.filter(after, lambda p: ~p["alt"])).alias("tail"),
-    )
-    sample = F.regexp_replace(F.concat("head", "tail"), r"^\s+|\s+$", "")
-    rows = variants.select("file", "record", sample.alias("sample"))
-    if add_end is not None:
-        closed = F.when(F.col("sample").endswith(add_end), F.col("sample"))
-        rows = rows.withColumn("sample", closed.otherwise(F.concat("sample", F.lit(add_end))))
-    return rows
+    pieces = numbered.select("file", "record", "chunk", "pos", alt.alias("alt"), body.alias("text"))
+    # A task meets the lines of a record one after the other and holds one record at a time.
+    ordered = pieces.repartition("file", "record").sortWithinPartitions("file", "record", "chunk", "pos")
+    kind = pieces.schema
+
+    def run(batches):
+        for rows in _sheets(_samples(batches, add_end)):
+            arrays = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["file", "record", "sample"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(kind[c].dataType) for c in ("file", "record")] + [pa.string()]
+    out = StructType([kind["file"], kind["record"]]).add("sample", "string")
+    return ordered.mapInArrow(run, out)
+
+
+_BLANKS = " \t\n\x0b\x0c\r"
+
+
+def _variants(head: list[str], others: list[str], tail: list[str], add_end: str | None) -> Iterator[str]:
+    """The texts of a record: each distinct beginning with what all have in common."""
+    rest = "".join(tail)
+    for start in dict.fromkeys(["".join(head), *others]):
+        sample = (start + rest).strip(_BLANKS)
+        yield sample if add_end is None or sample.endswith(add_end) else sample + add_end
+
+
+def _samples(batches: Iterable[pa.RecordBatch], add_end: str | None) -> Iterator[tuple]:
+    """(file, record, sample) from the lines of whole records in their order, which may go on from batch to batch."""
+    key, head, others, tail = None, [], [], []
+    for batch in batches:
+        for file, record, _, _, alt, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, record) != key:
+                if key is not None:
+                    yield from ((*key, t) for t in _variants(head, others, tail, add_end))
+                key, head, others, tail = (file, record), [], [], []
+            (others if alt else tail if others else head).append(text + "\n")
+    if key is not None:
+        yield from ((*key, t) for t in _variants(head, others, tail, add_end))
+
+
+def _sheets(rows: Iterator[tuple], limit: int = 1 << 22) -> Iterator[list[tuple]]:
+    """Rows in lists of a bounded number of characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 50
+        if size > limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def read_text_records(spark: SparkSession, path: str, variations: bool = False, add_end: str | None = None) -> DataFrame:
