@@ -262,7 +262,7 @@ def test_toxicity(spark, docs, none):
 
 def test_quality(docs, none):
     blank = re.compile(r"[ \t-\r]+")
-    for r in quality.judge(docs.drop("row"), "doc_id", "text", "lang").join(docs.select(F.col("doc_id").alias("id"), "text").distinct(), "id").collect():
+    for r in quality.judge(docs, "doc_id", "text", "lang").join(docs.select(F.col("doc_id").alias("id"), "text").distinct(), "id").collect():
         text = r.text or ""
         words = [w for w in blank.split(text) if w]
         windows = collections.Counter(zip(words, words[1:], words[2:]))
@@ -274,10 +274,71 @@ def test_quality(docs, none):
     assert quality.judge(none, "doc_id", "text", "lang").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    keys = np.concatenate([quality.gram_keys(["the cat sat on the mat", "a cat, a rat"])[0]])
-    grams, counts = np.unique(keys, return_counts=True)
-    model = quality.kneser_ney(grams, counts)
-    every = np.arange(64, dtype=np.int32)
-    for context in (grams[3] >> 6, grams[9] >> 6, np.int32(5)):
-        assert abs(np.power(10.0, model.score(np.int32(context << 6) | every)).sum() - 1) < 0.02
+def brute_model(texts, order=5):
+    """log10 probability of each padded n-gram, by dictionaries; characters are their own classes below 2,048."""
+    code = lambda c: ord(c) if ord(c) < 2048 else 2048 + ((ord(c) * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % 2048
+    coded = [[0] * (order - 1) + [code(c) for c in (t or "").lower()] for t in texts]
+    tables = {order: collections.Counter(tuple(x[i : i + order]) for x in coded for i in range(len(x) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    lower = None
+    for k in range(1, order + 1):
+        times = collections.Counter(tables[k].values())
+        d = [0, *quality.discounts(*(times[i] for i in (1, 2, 3, 4)))]
+        total, free = collections.Counter(), collections.Counter()
+        for g, n in tables[k].items():
+            total[g[:-1]] += n
+            free[g[:-1]] += d[min(n, 3)]
+        lower = {g: (max(n - d[min(n, 3)], 0) + free[g[:-1]] * (lower[g[1:]] if lower else 1 / 4096)) / total[g[:-1]] for g, n in tables[k].items()}
+    return lower, coded
+
+
+def brute_entropies(texts, order=5):
+    model, coded = brute_model(texts, order)
+    logs = {g: np.log10(max(p, 1e-12)) for g, p in model.items()}
+    return [-sum(logs[tuple(x[i : i + order])] for i in range(len(x) - order + 1)) / (len(x) - order + 1) if len(x) >= order else None for x in coded]
+
+
+@pytest.mark.parametrize("most", [4_000_000, 300, 0])
+def test_perplexity_and_bands(spark, monkeypatch, most):
+    """All n-grams broadcast, some of them, and none; against dictionaries."""
+    monkeypatch.setattr(quality, "HELD_COUNTS", 1000)
+    monkeypatch.setattr(quality, "BROADCAST_SUMS", 1_000_000 if most else 0)
+    draw = np.random.default_rng(4)
+    words = ["".join(draw.choice(list("aeinorst"), draw.integers(2, 7))) for _ in range(60)]
+    prose = [" ".join(draw.choice(words, 70)) for _ in range(60)]
+    odd = [" ".join("".join(draw.permutation(list(t))).split()) for t in prose[:2]] + ["".join(draw.choice(list("qxzvkjw#ßé"), 6)) + " " for _ in range(1)] * 1
+    texts = prose + odd + [None, "", "x", "Größe 日本語 " * 40, prose[0], prose[0]]
+    rows = [(i, t, "en" if i % 3 else None, "row", 1, 2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, row string, h1 int, gram int").repartition(3)
+    got = {r.id: r for r in quality.judge(df, "doc_id", "text", "lang", most=most).collect()}
+    expected = brute_entropies(texts)
+    for i, e in enumerate(expected):
+        assert (got[i].entropy is None) == (e is None) and (e is None or abs(got[i].entropy - e) < 1e-5)
+        assert e is None or abs(got[i].perplexity - 10**e) < 1e-3 * 10**e
+    for name in ("en", "und"):
+        mine = [r for r in got.values() if r.lang == name]
+        passing = sorted(expected[r.id] for r in mine if not r.base_failed)
+        q = [passing[int(np.ceil(x * len(passing))) - 1] for x in (0.25, 0.75)]
+        width = max(q[1] - q[0], quality.LEAST_WIDTH)
+        for r in mine:
+            assert abs(r.low - (q[0] - 3 * width)) < 1e-4 and abs(r.high - (q[1] + 3 * width)) < 1e-4
+            assert r.kept == (not r.base_failed and (r.entropy is None or r.low <= r.entropy <= r.high))
+    assert not any(got[60 + k].kept for k in range(2)) and sum(got[i].kept for i in range(60)) >= 58  # shuffled characters
+
+
+def test_probabilities_of_a_context_sum_to_one(spark):
+    texts = ["the cat sat on the mat", "a cat, a rat", "the rat sat"]
+    folder = work_folder(spark, "sum")
+    grams = quality.count_grams(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"))
+    model = {r.gram: 10**r.log for r in quality.kneser_ney(grams, folder).collect()}
+    unseen = {}
+    for g, p in model.items():
+        unseen.setdefault(g >> 12, []).append(p)
+    # What a context does not have is what its discounts leave to lower orders, less what its own n-grams take of it.
+    assert all(0 < sum(p) <= 1 + 1e-6 for p in unseen.values()) and max(sum(p) for p in unseen.values()) > 0.7
+    brute, _ = brute_model(texts)
+    assert len(brute) == len(model)
+    for g, p in brute.items():
+        assert abs(model[sum(c << 12 * (4 - i) for i, c in enumerate(g))] - p) < 1e-6
+
