@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import code_points, map_rows, runs_of, stored, work_folder
 
-ORDER = 5
+ORDER = 4
 CLASS_BITS = 12
 CLASSES = 1 << CLASS_BITS
 PLAIN = CLASSES // 2  # code points that have a class of their own
 HELD_GRAMS = 4_000_000  # n-grams of 12 bytes that are broadcast
 HELD_COUNTS = 1 << 21  # n-grams that a task sums before it lets them go
 BROADCAST_SUMS = 1_000_000  # sums of rare n-grams, one a text; more of them are joined by a shuffle
-SPREAD = 3.0
+SPREAD = 4.0
 LEAST_WIDTH = 0.01  # log10 units a character
 LEAST = 1e-12
 UNKNOWN = "und"
@@ -163,7 +163,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def measure(df: DataFrame, text: Column, held: pa.Table, keep: Column | None = None) -> DataFrame:
+def measure(df: DataFrame, text: Column, held: pa.Table, keep: Column | None = None, order: int = ORDER) -> DataFrame:
     """``row``, the base counts, ``base_failed``, the number of characters, the sum of the log probabilities of the n-grams
     that are ``held``, and ``rest``, the distinct other ones with their counts."""
     table = held.sort_by("gram")
@@ -176,7 +176,7 @@ def measure(df: DataFrame, text: Column, held: pa.Table, keep: Column | None = N
         out = {n: list(c) for n, c in zip(names, zip(*map(base_counts, texts)))} if texts else {n: [] for n in names}
         out |= {"n_chars": [], "known": [], "rest": []}
         for a, b in runs_of(texts):
-            grams, offsets = gram_keys(texts[a:b])
+            grams, offsets = gram_keys(texts[a:b], order)
             each, place = np.unique(grams, return_inverse=True)
             at = np.minimum(np.searchsorted(keys, each), max(0, len(keys) - 1))
             found = keys[at] == each if len(keys) else np.zeros(len(each), bool)
@@ -214,7 +214,9 @@ def bands(measured: DataFrame, lang: str, spread: float = SPREAD) -> DataFrame:
     return found.select(lang, (F.col("q")[0] - spread * width).alias("low"), (F.col("q")[2] + spread * width).alias("high"))
 
 
-def judge(df: DataFrame, doc_id: str, text: str, lang: str, spread: float = SPREAD, most: int = HELD_GRAMS) -> DataFrame:
+def judge(
+    df: DataFrame, doc_id: str, text: str, lang: str, spread: float = SPREAD, most: int = HELD_GRAMS, order: int = ORDER
+) -> DataFrame:
     """id, language, base counts, ``entropy`` (minus the mean log10 probability of a character), ``perplexity``, the band and
     ``kept``.
 
@@ -223,9 +225,9 @@ def judge(df: DataFrame, doc_id: str, text: str, lang: str, spread: float = SPRE
     folder = work_folder(df.sparkSession, "quality")
     keys = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
     rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"), *keys)
-    model = kneser_ney(stored(count_grams(rows, F.col("text")), f"{folder}/grams"), folder)
+    model = kneser_ney(stored(count_grams(rows, F.col("text"), order), f"{folder}/grams"), folder, order)
     hot, whole = frequent(model, most)
-    measured = measure(rows, F.col("text"), hot.select("gram", "log").toArrow(), F.struct("id", "lang", "h1", "h2"))
+    measured = measure(rows, F.col("text"), hot.select("gram", "log").toArrow(), F.struct("id", "lang", "h1", "h2"), order)
     measured = stored(measured.select("row.*", *MEASURES, "n_chars", "known", "rest"), f"{folder}/scored")
     if not whole:
         measured = with_rest(measured, model, folder)

@@ -274,7 +274,7 @@ def test_quality(docs, none):
     assert quality.judge(none, "doc_id", "text", "lang").count() == 0
 
 
-def brute_model(texts, order=5):
+def brute_model(texts, order=quality.ORDER):
     """log10 probability of each padded n-gram, by dictionaries; characters are their own classes below 2,048."""
     code = lambda c: ord(c) if ord(c) < 2048 else 2048 + ((ord(c) * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % 2048
     coded = [[0] * (order - 1) + [code(c) for c in (t or "").lower()] for t in texts]
@@ -293,7 +293,7 @@ def brute_model(texts, order=5):
     return lower, coded
 
 
-def brute_entropies(texts, order=5):
+def brute_entropies(texts, order=quality.ORDER):
     model, coded = brute_model(texts, order)
     logs = {g: np.log10(max(p, 1e-12)) for g, p in model.items()}
     return [-sum(logs[tuple(x[i : i + order])] for i in range(len(x) - order + 1)) / (len(x) - order + 1) if len(x) >= order else None for x in coded]
@@ -322,7 +322,7 @@ def test_perplexity_and_bands(spark, monkeypatch, most):
         q = [passing[int(np.ceil(x * len(passing))) - 1] for x in (0.25, 0.75)]
         width = max(q[1] - q[0], quality.LEAST_WIDTH)
         for r in mine:
-            assert abs(r.low - (q[0] - 3 * width)) < 1e-4 and abs(r.high - (q[1] + 3 * width)) < 1e-4
+            assert abs(r.low - (q[0] - quality.SPREAD * width)) < 1e-4 and abs(r.high - (q[1] + quality.SPREAD * width)) < 1e-4
             assert r.kept == (not r.base_failed and (r.entropy is None or r.low <= r.entropy <= r.high))
     assert not any(got[60 + k].kept for k in range(2)) and sum(got[i].kept for i in range(60)) >= 58  # shuffled characters
 
@@ -340,5 +340,5 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     brute, _ = brute_model(texts)
     assert len(brute) == len(model)
     for g, p in brute.items():
-        assert abs(model[sum(c << 12 * (4 - i) for i, c in enumerate(g))] - p) < 1e-6
+        assert abs(model[sum(c << 12 * (quality.ORDER - 1 - i) for i, c in enumerate(g))] - p) < 1e-6
 
