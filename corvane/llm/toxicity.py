@@ -8,7 +8,9 @@ one table of ``2**bits`` numbers, which is broadcast; a slice of texts is scored
 
 Cases: labels are joined on the id (a null id has none); an id with several labels counts as 1 if one of them is 1; a
 null label is no label; a null text counts as empty, and an empty text gets the score of the bias alone; with labels of
-one class only, or none, every score is 0; repeated rows are scored alike.
+one class only, or none, every score is 0; repeated rows are scored alike, and of rows that share an id the smallest text
+is the sampled one; a text of any length is one step of its own; a score at the threshold is toxic; an empty table gives
+an empty result; other columns pass through as ``row``.
 """
 
 from __future__ import annotations
@@ -47,10 +49,10 @@ def _sample(rows: DataFrame, orders: Sequence[int], features: np.ndarray, sample
     bits = len(features).bit_length() - 1
     shared = rows.sparkSession.sparkContext.broadcast(features)
     digest = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
-    chosen = rows.select(digest.alias("digest"), "id", "label")
+    chosen = rows.select(digest.alias("digest"), "id", "label").distinct()
     picked = [chosen.where(F.col("label") == k).orderBy("digest", "id").limit(sample) for k in (0, 1)]
     ids = [r.id for p in picked for r in p.select("id").collect()]
-    few = rows.where(F.col("id").isin(ids)).dropDuplicates(["id"])
+    few = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct("text", "label")).alias("r")).select("id", "r.*")
 
     def run(batch):
         out = {"buckets": [], "counts": [], "n": []}

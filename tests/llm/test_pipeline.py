@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from conftest import SF
 from corvane.llm import toxicity
+from corvane.llm.common import CHUNK_CHARS
 from corvane.llm.queries import vocabulary_path
 
 
@@ -51,6 +52,38 @@ def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
     assert sum(r.doc_id is None for r in got) == 1
 
 
+def wide(spark, rows):
+    """The table of documents with further columns whose names the stages use inside."""
+    more = "row string, score double, kept string, items string, rid bigint, again string, at int, h1 bigint, spans string, n_words int"
+    base = [(i, t, lang, "s", len(t or "")) for i, t, lang in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + more
+    return spark.createDataFrame([(*r, "r", 0.1, "k", "i", 7, "a", 3, 4, "p", 5) for r in base], schema)
+
+
+def test_stages_keep_other_columns_and_take_empty_tables(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    long = " ".join(f"long{i % 5000}" for i in range(60_000))
+    docs = wide(spark, [(1, words, "en"), (1, words, "fr"), (1, words, "de"), (2, None, "en"), (3, "", None), (4, long, "en"), (None, "a b", "en")])
+    assert len(long) > CHUNK_CHARS
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, docs.where("1 = 0"), SF).count() == 0, name
+        if name != "bpe":
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert all((r.row, r.score, r.kept, r["items"], r.rid, r.again, r.at, r.h1, r.spans) == ("r", 0.1, "k", "i", 7, "a", 3, 4, "p") for r in rows)
+            assert len(rows) == (5 if name == "near_duplicates" else 7), name
+        else:
+            assert out.count() == 7
+
+
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, lang) for lang in ("en", "fr", "de", "es", "it")] * 3
+    stayed = {tuple(pipeline.drop_near_duplicates(spark, wide(spark, rows).repartition(n, "lang"), SF).collect()) for n in (1, 3, 7)}
+    assert len(stayed) == 1 and len(next(iter(stayed))) == 1
+
+
 def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
