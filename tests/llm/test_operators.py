@@ -236,6 +236,21 @@ def test_urls(spark):
     assert urls.judge(table.where("1 = 0"), F.col("url"), RULES).count() == 0
 
 
+def test_url_vocabulary_of_a_table(spark):
+    rows = [("Kasyno", 2.0), ("tanio", 1.0), ("bonus", 0.5), ("bonus", 1.0), ("never", 0.0), (None, 2.0), ("", 2.0)]
+    terms = urls.vocabulary(spark.createDataFrame(rows, "term string, weight double"))
+    assert terms == (("kasyno",), ("bonus", "tanio"))
+    long = "http://a.net/" + "x" * 300_000 + "/kasyno"
+    cases = {"http://kasyno.pl": "block", "http://a.pl/tanio": "allow", "http://a.pl/tanio-bonus": "block", "http://a.pl/casino": "allow", long: "block", "http://a.pl/never": "allow"}
+    table = spark.createDataFrame([(u, "x", ["y"]) for u in cases], "url string, row string, strict_terms array<string>")
+    got = {r["row"]["url"]: r.verdict for r in urls.judge(table, F.col("url"), (), *terms).collect()}
+    assert got == cases
+    none = urls.vocabulary(spark.createDataFrame([], "term string, weight double"))
+    assert {r.verdict for r in urls.judge(table, F.col("url"), (), *none).collect()} == {"allow"}
+    twice = (urls.Rule("a.pl", "/", "allow"), urls.Rule("a.pl", "/", "block"))
+    assert {r.verdict for r in urls.judge(table.where("url LIKE '%a.pl%'"), F.col("url"), twice).collect()} == {"allow"}
+
+
 def test_languages(spark, docs, none):
     rows = REGISTRY["op2_langid"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     out = [r for r in rows if r.held_out]
@@ -251,7 +266,7 @@ def test_toxicity(spark, docs, none):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     got = REGISTRY["op3_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").collect()
     clean, toxic = ([r for r in got if r.toxic == k] for k in (0, 1))
-    assert sum(r.predicted for r in clean) <= 0.03 * len(clean) and sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.03 * len(clean) and sum(r.predicted for r in toxic) >= 0.7 * len(toxic)
     odd = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (None, 1, "x"), (4, None, "x"), (2, 0, "x")], "doc_id bigint, toxic int, text string")
     rows = toxicity.labelled(docs, odd, "doc_id", "text", "toxic")
     assert sorted((r.id, r.label) for r in rows.collect()) == [(1, 1), (2, 0)]
