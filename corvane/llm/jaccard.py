@@ -39,6 +39,7 @@ WORDS = 5
 PERCENT = 75
 HOT = 16
 TILE_TOKENS = 1 << 19
+HELD_ROWS = 1 << 17  # pairs or hot rows that a task sums at once; the sum takes several copies of them
 BROADCAST_ROWS = 1_000_000  # row keys of 8 bytes; more of them are joined by a shuffle
 CLASS_ROW = 31  # code of rows that describe a class in place of a scheme
 _LOW = np.uint64(31)
@@ -218,14 +219,17 @@ def _grouped(signed: DataFrame, hot: int) -> DataFrame:
             if many.any():
                 stars.append(np.stack([np.repeat(least, sizes)[many], key[many], sig[many] & 31]))
             for kind, held in (("pair", pairs), ("hot", stars)):
-                if sum(p.shape[1] for p in held) > 1 << 20:
+                if sum(p.shape[1] for p in held) > HELD_ROWS:
                     yield from told(kind, held)
 
         def told(kind, held):
             if held:
-                both, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
+                rows = np.concatenate(held, axis=1)
                 held.clear()
-                yield made(kind, both[0], both[1], n, both[2])
+                rows = rows[:, np.lexsort(rows)]
+                starts = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
+                both = rows[:, starts]
+                yield made(kind, both[0], both[1], np.diff(np.append(starts, rows.shape[1])), both[2])
 
         for batch in batches:
             table = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
