@@ -1,7 +1,8 @@
 """Nearest neighbours.
 
-Exact search cuts both sides into tiles of bounded size. A tile is one matrix product, and only the best ``k`` rows of
-each query leave it; a last ranking joins the tiles of a query. Groups (a tag, a parent element, a hash bucket) are
+Exact search cuts both sides into blocks of bounded size; two blocks are a tile. A tile is a series of matrix products in
+single precision that leave a few candidates to measure, and only the best ``k`` rows of each query leave it; a last
+ranking joins the tiles of a query. Groups (a tag, a parent element, a hash bucket) are
 join keys; a large group becomes as many tiles as it needs, and many small groups share one, with a product each. Few queries against a large corpus take the
 streaming path instead: they are sent to every task after their number has been checked, and the corpus is not moved.
 """
@@ -9,7 +10,7 @@ streaming path instead: they are sent to every task after their number has been
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -26,30 +27,108 @@ from corvane.operators.skew import salted_join
 
 TILE = 4096
 DIGITS = 9  # distances are rounded before ranking, so that the order does not hang on the order of additions
-_BLOCK = 2_000_000  # cells of a distance block
+VALUES = 1 << 22  # numbers in the vectors of one side of a tile
+SPREAD = 8  # blocks that a small table is cut into
+_BLOCK = 1 << 20  # cells of a product
+_LISTS = 1 << 13  # queries whose lists of groups are laid out at a time
+_PAIRS = 1 << 16  # pairs that are measured in doubles at a time
+_HELD = 1 << 21  # candidates that are held before they are cut to the best
 
 
-def _top_rows(
-    q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, runs: np.ndarray | None
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, candidate, distance) of the k nearest candidates, ties by candidate id.
+def _distances(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Rounded distances of pairs of rows, in doubles."""
+    out = np.empty(len(rows))
+    for start in range(0, len(rows), _PAIRS):
+        part = slice(start, start + _PAIRS)
+        out[part] = np.einsum("ij,ij->i", unit_rows(q[rows[part]]), unit_rows(c[cols[part]]))
+    return np.round(1.0 - out, DIGITS) + 0.0
 
-    With ``runs`` (start of each run of rows of one candidate) a candidate is as near as its nearest row.
+
+class _Nearest:
+    """The candidates of the queries of a tile that can be among their ``k`` nearest.
+
+    A product in single precision leaves out what is farther than a query's ``k``-th distance so far (or than ``most``, a
+    distance that is known before) by more than its error can be; only the rest is measured in doubles.
     """
-    k = min(k, len(ids))
-    step = max(1, _BLOCK // max(1, len(c)))
-    for start in range(0, len(q), step):
-        d = np.round(1.0 - q[start : start + step] @ c.T, DIGITS) + 0.0
-        if runs is not None:
-            d = np.minimum.reduceat(d, runs, axis=1)
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(d <= edge)
-        dist = d[rows, cols]
-        order = np.lexsort((ids[cols], dist, rows))
+
+    def __init__(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, most: np.ndarray | None) -> None:
+        self.q, self.c, self.ids, self.k = q, c, ids, k
+        self.q4, self.c4 = unit_rows(q).astype(np.float32), -unit_rows(c).astype(np.float32)
+        self.slack = 2 * (q.shape[1] + 4) * 2.0**-24 + 2 * 10.0**-DIGITS
+        self.most = np.full(len(q), np.inf) if most is None else np.where(np.isnan(most), np.inf, most)
+        self.best = np.full((len(q), k), np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def compare(self, rows: np.ndarray, start: int, stop: int, tile: int, runs: np.ndarray | None = None) -> None:
+        """Meet some queries with the candidate rows from ``start`` to ``stop``.
+
+        With ``runs`` (first row of each run of rows of one candidate) a candidate is as near as its nearest row, and is
+        known by its first row.
+        """
+        firsts = np.arange(start, stop) if runs is None else runs
+        edges = np.append(firsts[::tile], stop)
+        for left, right in zip(edges[:-1], edges[1:]):
+            heads = firsts[np.searchsorted(firsts, left) : np.searchsorted(firsts, right)]
+            step = max(1, _BLOCK // (right - left))
+            for at in range(0, len(rows), step):
+                self._block(rows[at : at + step], left, right, None if runs is None else heads)
+
+    def _block(self, rows: np.ndarray, left: int, right: int, heads: np.ndarray | None) -> None:
+        if heads is None and right - left <= 4 * self.k:  # nearly all are measured
+            dist = np.round(1.0 - unit_rows(self.q[rows]) @ unit_rows(self.c[left:right]).T, DIGITS) + 0.0
+            at, cols = np.nonzero(dist <= self.most[rows][:, None])
+            return self._keep(rows, at, cols + left, dist[at, cols])
+        near = self.q4[rows] @ self.c4[left:right].T  # minus the cosine
+        if heads is not None:
+            near = np.minimum.reduceat(near, heads - left, axis=1)
+        limit = self.most[rows] - 1.0
+        if near.shape[1] >= self.k and np.isinf(limit).any():
+            limit = np.fmin(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+        at, cols = np.nonzero(near <= (limit + self.slack).astype(np.float32)[:, None])
+        if len(at):
+            self._add(rows, at, cols + left if heads is None else heads[cols], right, heads)
+
+    def _add(self, rows: np.ndarray, at: np.ndarray, cols: np.ndarray, right: int, heads: np.ndarray | None) -> None:
+        if heads is None:
+            dist = _distances(self.q, self.c, rows[at], cols)
+        else:
+            ends = np.append(heads[1:], right)
+            size = ends[np.searchsorted(heads, cols)] - cols
+            first = np.cumsum(size) - size
+            every = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(cols, size)
+            dist = np.minimum.reduceat(_distances(self.q, self.c, np.repeat(rows[at], size), every), first)
+        keep = dist <= self.most[rows[at]]
+        self._keep(rows, at[keep], cols[keep], dist[keep])
+
+    def _keep(self, rows: np.ndarray, at: np.ndarray, cols: np.ndarray, dist: np.ndarray) -> None:
+        if not len(at):
+            return
+        # The distances of each query's new candidates as a matrix, beside the best ones so far.
+        own, first, count = np.unique(at, return_index=True, return_counts=True)
+        wide = np.full((len(own), count.max()), np.inf)
+        wide[np.repeat(np.arange(len(own)), count), np.arange(len(at)) - np.repeat(first, count)] = dist
+        both = np.partition(np.hstack([self.best[rows[own]], wide]), self.k - 1, axis=1)[:, : self.k]
+        self.best[rows[own]] = both
+        self.most[rows[own]] = np.minimum(self.most[rows[own]], both[:, -1])
+        self.found.append((rows[at], cols, dist))
+        self.held += len(at)
+        if self.held > _HELD:
+            self.found = [self.top()]
+            self.held = len(self.found[0][0])
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, candidate row, distance) of the k nearest candidates, ties by candidate id."""
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, cols, dist = (np.concatenate(x) for x in zip(*self.found))
+        keep = dist <= self.most[rows]
+        rows, cols, dist = rows[keep], cols[keep], dist[keep]
+        order = np.lexsort((self.ids[cols], dist, rows))
         rows, cols, dist = rows[order], cols[order], dist[order]
-        first = np.searchsorted(rows, np.arange(len(d)))
-        keep = np.arange(len(rows)) - first[rows] < k
-        yield rows[keep] + start, cols[keep], dist[keep]
+        first = np.searchsorted(rows, np.arange(len(self.q)))
+        keep = np.arange(len(rows)) - first[rows] < self.k
+        return rows[keep], cols[keep], dist[keep]
 
 
 def _groups(queries: pd.DataFrame, corpus: pd.DataFrame, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,35 +141,48 @@ def _groups(queries: pd.DataFrame, corpus: pd.DataFrame, keys: Sequence[str]) ->
 
 
 def _tile_top(
-    queries: pd.DataFrame, corpus: pd.DataFrame, keys: Sequence[str], k: int, carry: Sequence[str], collapse: bool = False
+    queries: pd.DataFrame,
+    corpus: pd.DataFrame,
+    keys: Sequence[str],
+    k: int,
+    carry: Sequence[str],
+    collapse: bool = False,
+    most: str | None = None,
+    member: str | None = None,
+    tile: int = TILE,
 ) -> pd.DataFrame:
     """The best ``k`` of each query within its own group; a tile may hold many small groups."""
     names = ["query_id", "item_id", "distance", *carry]
     if queries.empty or corpus.empty:
         return pd.DataFrame(columns=names)
-    of_query, of_item = _groups(queries, corpus, keys)
-    order = np.argsort(of_query, kind="stable")
-    queries, of_query = queries.iloc[order], of_query[order]
+    # With ``member`` a query names several groups, so the lists of some queries at a time are laid out.
+    parts = [slice(None)] if member is None else [slice(i, i + _LISTS) for i in range(0, len(queries), _LISTS)]
+    if member is None:
+        of_query, of_item = _groups(queries, corpus, keys)
+    else:
+        of_item = corpus[member].to_numpy()
     order = np.lexsort((corpus["item_id"].to_numpy(), of_item)) if collapse else np.argsort(of_item, kind="stable")
     corpus, of_item = corpus.iloc[order], of_item[order]
-    q = unit_rows(np.stack(queries["query_vec"].to_numpy()))
-    c = unit_rows(np.stack(corpus["item_vec"].to_numpy()))
     ids = corpus["item_id"].to_numpy()
     ranks = ids if ids.dtype != object else np.unique(ids, return_inverse=True)[1]  # texts by their order
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    shared = np.intersect1d(of_query, of_item)
-    edges = [np.searchsorted(x, shared, side) for x in (of_query, of_item) for side in ("left", "right")]
-    for a, b, u, v in zip(*edges):
-        rows_of = np.arange(u, v)
-        runs = None
-        if collapse:
-            runs = np.flatnonzero(np.append(True, ids[u + 1 : v] != ids[u : v - 1]))
-            rows_of = rows_of[runs]
-        for rows, cols, dist in _top_rows(q[a:b], c[u:v], ranks[rows_of], k, runs):
-            found.append((rows + a, rows_of[cols], dist))
-    if not found:
-        return pd.DataFrame(columns=names)
-    rows, cols, dist = (np.concatenate(x) for x in zip(*found))
+    limits = None if most is None else queries[most].to_numpy(dtype=np.float64)
+    nearest = _Nearest(np.stack(queries["query_vec"].to_numpy()), np.stack(corpus["item_vec"].to_numpy()), ranks, k, limits)
+    for part in parts:
+        asks = np.arange(len(queries))[part]
+        if member is not None:
+            lists = queries[member].iloc[part]
+            asks, of_query = np.repeat(asks, lists.str.len().to_numpy(dtype=np.int64)), np.concatenate(lists.to_list())
+        order = np.argsort(of_query, kind="stable")
+        asks, asked = asks[order], of_query[order]
+        shared = np.intersect1d(asked, of_item)
+        edges = [np.searchsorted(x, shared, side) for x in (asked, of_item) for side in ("left", "right")]
+        for a, b, u, v in zip(*edges):
+            runs = None
+            if collapse:
+                runs = u + np.flatnonzero(np.append(True, ids[u + 1 : v] != ids[u : v - 1]))
+                runs = None if len(runs) == v - u else runs
+            nearest.compare(asks[a:b], u, v, tile, runs)
+    rows, cols, dist = nearest.top()
     part = {"query_id": queries["query_id"].to_numpy()[rows], "item_id": ids[cols], "distance": dist}
     for name in carry:
         side, index = (queries, rows) if name in queries.columns else (corpus, cols)
@@ -107,8 +199,9 @@ def _schema(queries: DataFrame, corpus: DataFrame, carry: Sequence[str]) -> Stru
     return schema
 
 
-def _sizes(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+def _sizes(df: DataFrame, keys: Sequence[str], name: str, vec: str | None = None) -> DataFrame:
+    width = [] if vec is None else [F.max(F.size(vec)).alias("__width")]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name), *width)
 
 
 def tiled_topk(
@@ -119,11 +212,19 @@ def tiled_topk(
     carry: Sequence[str] = (),
     tile: int = TILE,
     collapse: bool = False,
+    most: str | None = None,
+    member: str | None = None,
+    values: int = VALUES,
 ) -> DataFrame:
     """Up to ``k`` nearest items per query *within each tile*; the k nearest overall are among them.
 
     ``queries`` is ``(keys..., query_id, query_vec)``, ``corpus`` is ``(keys..., item_id, item_vec)``. An item may have
-    several rows; with ``collapse`` it counts once, at the distance of its nearest row.
+    several rows; with ``collapse`` it counts once, at the distance of its nearest row. ``most`` is a column of the
+    queries: the greatest distance of a hit, null for any. ``member`` is a number of the corpus rows and a list of such
+    numbers in the queries: within its keys a query meets the rows whose number is in its list.
+
+    A block of a side has ``tile`` rows, or more as long as its vectors have at most ``values`` numbers: rows travel once
+    for each block of the other side. Products are cut to ``tile`` rows of the corpus.
     """
     keys = list(keys)
     # Both sides may come from one table; fresh columns keep their keys apart.
@@ -135,22 +236,27 @@ def tiled_topk(
     def all_blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    def blocks(rows: str) -> Column:
-        return F.ceil(F.col(rows) / F.lit(tile)).cast("int")
+    cap = F.greatest(F.lit(tile), F.floor(F.lit(values) / F.greatest(F.coalesce("__width", F.lit(1)), F.lit(1))))
+
+    def blocks(rows: str, of: Column | str) -> Column:
+        return F.ceil(F.col(rows) / (F.col(of) if isinstance(of, str) else of)).cast("int")
 
     if keys:
-        grid = _sizes(queries, keys, "__qr").join(_sizes(corpus, keys, "__cr"), keys, "inner")
-        grid = grid.select(*keys, (F.col("__qr") + F.col("__cr")).alias("__rows"), blocks("__qr").alias("__qn"), blocks("__cr").alias("__cn"))
-        # Groups of one tile share tiles: as many as their rows fill. Larger groups have tiles of their own.
+        grid = _sizes(queries, keys, "__qr").join(_sizes(corpus, keys, "__cr", "item_vec"), keys, "inner").withColumn("__cap", cap)
+        grid = grid.select(*keys, (F.col("__qr") + F.col("__cr")).alias("__rows"), "__cap", blocks("__qr", "__cap").alias("__qn"), blocks("__cr", "__cap").alias("__cn"))
+        # Groups of one block share tiles: as many as their rows fill, and a few for the cores of a small table. Larger
+        # groups have tiles of their own.
         one = F.greatest("__qn", "__cn") == 1
-        tiles = grid.where(one).agg(F.ceil(F.sum("__rows") / F.lit(tile)).alias("n")).scalar()
+        filled, spare = F.ceil(F.sum("__rows") / F.min("__cap")), F.ceil(F.sum("__rows") / F.lit(tile))
+        tiles = grid.where(one).agg(F.greatest(filled, F.least(spare, F.lit(SPREAD**2))).alias("n")).scalar()
         spread = F.xxhash64(*keys)
         own = F.when(one, F.pmod(spread, F.greatest(tiles, F.lit(1)))).otherwise(-1 - F.shiftrightunsigned(spread, 1))
-        grid = grid.withColumn("__pack", own).drop("__rows")
+        grid = grid.withColumn("__pack", own).drop("__rows", "__cap")
         q, c = salted_join(queries, grid, keys, ["query_id"]), salted_join(corpus, grid, keys, ["item_id"])
     else:
-        # One group: its two sizes are scalars, nothing is joined.
-        sizes = {"__qn": _sizes(queries, [], "n").select(blocks("n")).scalar(), "__cn": _sizes(corpus, [], "n").select(blocks("n")).scalar()}
+        # One group: its two sizes are scalars, nothing is joined. A small table is cut for the cores as well.
+        n = F.greatest(blocks("n", cap), F.least(blocks("n", F.lit(tile)), F.lit(SPREAD)))
+        sizes = {"__qn": _sizes(queries, [], "n", "query_vec").select(n).scalar(), "__cn": _sizes(corpus, [], "n", "item_vec").select(n).scalar()}
         q, c = (df.withColumns({**sizes, "__pack": F.lit(0).cast("bigint")}) for df in (queries, corpus))
     q = q.withColumn("__qb", own_block("query_id", "__qn")).withColumn("__cb", all_blocks("__cn"))
     c = c.withColumn("__cb", own_block("item_id", "__cn")).withColumn("__qb", all_blocks("__qn"))
@@ -160,7 +266,7 @@ def tiled_topk(
     schema = _schema(queries, corpus, names)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _tile_top(left, right, keys, k, names, collapse)
+        return _tile_top(left, right, keys, k, names, collapse, most, member, tile)
 
     return q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(work, schema)
 
