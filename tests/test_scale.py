@@ -64,3 +64,10 @@ def test_limits_leave_only_near_rows(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for i, rows in expected(x, 9).items():
         assert near[i] == [j for j in rows if i % 2 or round(1 - u[i] @ u[j], 9) <= 0.2]
+
+
+def test_a_hash_bucket_moves_by_blocks(spark, counted):
+    _, q, c = vectors(spark, 1500)
+    found = knn.knn_lsh(q, c, 3, tables=2, bits=1, probes=1, tile=50)
+    assert ranked(found) == ranked(knn.knn(q, c, 3))
+    assert counted[1].value <= 2 * (2 + 1) * 1500 + 2 * 8 * 1500
