@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import knn
+from corvane.operators import cells, knn
 
 
 @pytest.fixture()
@@ -71,3 +71,24 @@ def test_a_hash_bucket_moves_by_blocks(spark, counted):
     found = knn.knn_lsh(q, c, 3, tables=2, bits=1, probes=1, tile=50)
     assert ranked(found) == ranked(knn.knn(q, c, 3))
     assert counted[1].value <= 2 * (2 + 1) * 1500 + 2 * 8 * 1500
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_query_travels_once_for_each_pack_of_cells(spark, counted, exact):
+    """Vectors without clusters: nearly every cell is visited, but no vector is sent to each of them."""
+    x, q, c = vectors(spark, 1500, 24)
+    index = cells.build_cells(c)
+    assert index.centroids.shape[0] >= 35 and set(index.packs) == {0}
+    first, _, others = cells._rounds(index, q, 5, exact, None, knn.TILE)
+    assert max(first.count(), others.count()) <= 1500
+    assert cells.compared_pairs(index, others) > 0.3 * 1500 * 1500
+    found = ranked(cells.search_cells(index, q, 5, exact=exact))
+    same = sum(len(set(a) & set(found[i])) for i, a in expected(x, 5).items())
+    assert same == 5 * 1500 if exact else same >= 0.95 * 5 * 1500
+    counts = np.array([3, 3, 9, 1, 1, 0, 4])
+    assert cells.pack_cells(counts, 5).tolist() == [0, 0, 1, 3, 3, 3, 3]
+
+
+def test_blocks_of_cosines_are_bounded(monkeypatch):
+    assert [p.stop - p.start for p in cells._parts(3, 2 * cells._BLOCK)] == [1, 1, 1]
+    assert max(p.stop - p.start for p in cells._parts(10_000, cells.MOST_CELLS)) * cells.MOST_CELLS <= cells._BLOCK
