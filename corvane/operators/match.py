@@ -39,8 +39,13 @@ def dedupe_hits(hits: DataFrame) -> DataFrame:
     return first_row(hits.drop("item_id", "rank"), ["query_id", "element_id"], [F.col("distance")])
 
 
+def _rows(vectors: DataFrame, keys: list[str], dedupe_first: bool) -> DataFrame:
+    row = "element_id" if dedupe_first else "vec_id"
+    return vectors.select(*keys, F.col(row).alias("item_id"), F.col("embedding").alias("item_vec"), "element_id")
+
+
 def _level(
-    asked: DataFrame, vectors: DataFrame, keys: list[str], k: int, weight: float, dedupe_first: bool
+    asked: DataFrame, vectors: DataFrame, keys: list[str], k: int, weight: float, dedupe_first: bool, most: str | None = None
 ) -> DataFrame:
     """Hits ``(query_id, element_id, score, owner, grand_owner)`` of one level.
 
@@ -48,10 +53,9 @@ def _level(
     request. The cut to ``k`` counts description rows, so that fewer than ``k`` elements may remain; with
     ``dedupe_first`` it counts elements.
     """
-    row = "element_id" if dedupe_first else "vec_id"
-    c = vectors.select(*keys, F.col(row).alias("item_id"), F.col("embedding").alias("item_vec"), "element_id")
+    c = _rows(vectors, keys, dedupe_first)
     carry = ["element_id", "above", "owner", "grand_owner"]
-    hits = dedupe_hits(rank_hits(tiled_topk(asked, c, k, keys, carry, collapse=dedupe_first), k))
+    hits = dedupe_hits(rank_hits(tiled_topk(asked, c, k, keys, carry, collapse=dedupe_first, most=most), k))
     score = F.col("above") + F.lit(weight) * F.greatest("distance", F.lit(0.0))
     return hits.select("query_id", "element_id", score.alias("score"), "owner", "grand_owner")
 
@@ -70,20 +74,29 @@ def match_apps(requests: DataFrame, vectors: DataFrame, n: int = MATCH_TOP, dedu
 
 
 def _children(
-    requests: DataFrame, parents: DataFrame, vectors: DataFrame, vec: str, tag: str, k: int, weight: float, dedupe_first: bool
+    requests: DataFrame, parents: DataFrame, vectors: DataFrame, vec: str, tag: str, k: int, weight: float, dedupe_first: bool, probe: int = 0
 ) -> DataFrame:
+    """Hits among the children of ``parents``; with ``probe`` a first round over so many children of each parent bounds them."""
     above = parents.select("query_id", F.col("element_id").alias("parent_key"), F.col("score").alias("above"), F.col("owner").alias("grand_owner"))
-    asked = requests.select(
+    vecs = requests.select(
         F.col("request_id").alias("query_id"),
         F.col(vec).alias("query_vec"),
         F.coalesce("kind", F.lit(ANY_KIND)).alias("kind_key"),
-    ).join(above, "query_id", "inner")
-    asked = asked.withColumn("owner", F.col("parent_key"))
+    )
     # A candidate is listed under each of its kinds and under "any", so that the kind filter is part of the join key.
     own = F.coalesce("op_types", F.array().cast("array<string>"))
     kinds = F.explode(F.array_distinct(F.concat(own, F.array(F.lit(ANY_KIND)))))
     candidates = vectors.where(F.col("typename") == tag).withColumns({"parent_key": F.col("parent_id"), "kind_key": kinds})
-    return _level(asked, candidates, ["parent_key", "kind_key"], k, weight, dedupe_first)
+    keys = ["parent_key", "kind_key"]
+    most = None
+    if probe:
+        # The k-th of the nearest few of all parents is no nearer than the k-th of all, so what is farther stays in its
+        # tile: about 2 k rows leave the tiles for a request, not k for each parent.
+        near = rank_hits(tiled_topk(vecs.join(above, "query_id"), _rows(candidates, keys, dedupe_first), probe, keys, collapse=dedupe_first), k)
+        most = "most"
+        above = above.join(cut_lineage(near.where(F.col("rank") == k).select("query_id", F.col("distance").alias(most))), "query_id", "left")
+    asked = vecs.join(above, "query_id", "inner").withColumn("owner", F.col("parent_key"))
+    return _level(asked, candidates, keys, k, weight, dedupe_first, most)
 
 
 def match_objects(
@@ -97,7 +110,7 @@ def match_ops(
     requests: DataFrame, object_hits: DataFrame, vectors: DataFrame, n: int = MATCH_TOP, dedupe_first: bool = False
 ) -> DataFrame:
     """Operation hits under the matched objects (``owner``) of applications (``grand_owner``)."""
-    return _children(requests, object_hits, vectors, "op_vec", TAG_OPERATION, 4 * n * n, WEIGHT_OPERATION, dedupe_first)
+    return _children(requests, object_hits, vectors, "op_vec", TAG_OPERATION, 4 * n * n, WEIGHT_OPERATION, dedupe_first, probe=4)
 
 
 def match_records(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import cells, knn
+from corvane.operators import cells, knn, match
 
 
 @pytest.fixture()
@@ -92,3 +92,29 @@ def test_a_query_travels_once_for_each_pack_of_cells(spark, counted, exact):
 def test_blocks_of_cosines_are_bounded(monkeypatch):
     assert [p.stop - p.start for p in cells._parts(3, 2 * cells._BLOCK)] == [1, 1, 1]
     assert max(p.stop - p.start for p in cells._parts(10_000, cells.MOST_CELLS)) * cells.MOST_CELLS <= cells._BLOCK
+
+
+@pytest.mark.parametrize("dedupe_first", [True, False])
+def test_children_beyond_the_bound_stay_in_their_tile(spark, counted, dedupe_first):
+    draw = np.random.default_rng(8)
+    tree = [(i, None, "app", None) for i in range(5)] + [(5 + i, i % 5, "bo", ["actions"]) for i in range(25)]
+    tree += [(30 + i, 5 + i % 25, "op", ["actions"] if i % 3 else None) for i in range(5000)]
+    x = draw.normal(size=(len(tree), 16))
+    schema = "vec_id bigint, element_id bigint, parent_id bigint, typename string, op_types array<string>, embedding array<double>"
+    stored = spark.createDataFrame([(i, i, p, t, kinds, x[i].tolist()) for i, p, t, kinds in tree], schema)
+    wanted = spark.createDataFrame([(i, draw.normal(size=16).tolist(), "actions" if i % 4 == 0 else None) for i in range(40)], "request_id bigint, object_vec array<double>, kind string")
+    asked = wanted.withColumns({"app_vec": F.col("object_vec"), "op_vec": F.col("object_vec")})
+    objects = match.match_objects(asked, match.match_apps(asked, stored, 5, dedupe_first), stored, 5, dedupe_first).localCheckpoint()
+    for total in counted:
+        total.value = 0
+    hits = match.match_ops(asked, objects, stored, 5, dedupe_first).collect()
+    assert 0 < counted[2].value <= 40 * (100 + 300)  # not 40 requests x 25 objects x 100 rows
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in hits:
+        found.setdefault(r.query_id, set()).add(r.element_id)
+    for r in asked.collect():
+        own = {o.element_id for o in objects.collect() if o.query_id == r.request_id}
+        rows = [i for i, p, t, kinds in tree if t == "op" and p in own and (r.kind is None or kinds)]
+        v = np.array(r.op_vec) / np.linalg.norm(r.op_vec)
+        assert found[r.request_id] == set(sorted(rows, key=lambda i: (round(1 - float(u[i] @ v), 9), i))[:100])
