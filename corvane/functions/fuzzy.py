@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 _CELLS = 4_000_000  # cells of the pair x character matrix worked on at a time
+_WORD = 64  # characters of the shorter text that fit one integer
 _LONG = 1_000  # pairs with more cells than this are cheaper bit by bit than in a batch
 
 
@@ -112,26 +113,72 @@ def best_window_ratio(short: str, long: str) -> int:
     return int(np.floor(100.0 * best + 0.5))
 
 
+def best_window_ratios(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """``best_window_ratio`` of many pairs: the windows of all of them are the rows of one bit-parallel programme."""
+    out = np.zeros(len(pairs), dtype=np.int64)
+    ordered = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    todo = []
+    for i, (short, long) in enumerate(ordered):
+        if 0 < len(short) <= _WORD:
+            todo.append(i)
+        else:
+            out[i] = best_window_ratio(short, long)
+    todo.sort(key=lambda i: len(ordered[i][0]))  # pairs of about one length share the steps
+    start = 0
+    while start < len(todo):
+        stop, cells = start, 0
+        while stop < len(todo):
+            cells += len(ordered[todo[stop]][0]) + len(ordered[todo[stop]][1])
+            if stop > start and cells * len(ordered[todo[stop]][0]) > _CELLS:
+                break
+            stop += 1
+        rows = todo[start:stop]
+        out[rows] = _window_batch([ordered[i] for i in rows])
+        start = stop
+    return out
+
+
+def _window_batch(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The same for shorts of one to 64 characters, in order of their length.
+
+    A row of the table is one 64-bit integer a window: bit j is character j of the short, zero bits count the length.
+    """
+    m = np.array([len(a) for a, _ in pairs])
+    size = np.array([len(b) for _, b in pairs])
+    most = int(m.max())
+    patterns = _codes([a for a, _ in pairs], -1)
+    text = np.frombuffer("".join(b for _, b in pairs).encode("utf-32-le"), dtype=np.int32)
+    pair = np.repeat(np.arange(len(pairs)), size)
+    hit = np.zeros(len(text) + most, dtype=np.uint64)  # characters of the short that equal the one of the long
+    for j in range(most):
+        hit[: len(text)] |= (patterns[pair, j] == text).astype(np.uint64) << np.uint64(j)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))  # characters up to the end of the long
+    width = np.minimum(m[pair], left)
+    full = (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(_WORD) - m.astype(np.uint64)))[pair]
+    row = full.copy()
+    for step in range(most):
+        match = np.where(step < width, hit[step : step + len(text)], np.uint64(0)) & row
+        row = ((row + match) | (row - match)) & full
+    common = m[pair] - np.bitwise_count(row)
+    ratio = 2.0 * common / (m[pair] + width)
+    best = np.maximum.reduceat(ratio, np.cumsum(size) - size)
+    return np.floor(100.0 * best + 0.5).astype(np.int64)
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def _partial_ratios_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, names in batches:
-        seen: dict[tuple[str, str], int] = {}
-        out = []
+        pairs: dict[tuple[str, str], int] = {}  # number of each distinct pair
         for text, row in zip(texts, names):
-            if text is None or row is None:
-                out.append(None)
-                continue
-            scores = []
-            for name in row:
-                if name is None:
-                    scores.append(None)
-                    continue
-                key = (text, name)
-                if key not in seen:
-                    seen[key] = best_window_ratio(text, name)
-                scores.append(seen[key])
-            out.append(scores)
-        yield pd.Series(out)
+            if text is not None and row is not None:
+                for name in row:
+                    if name is not None:
+                        pairs.setdefault((text, name), len(pairs))
+        scores = best_window_ratios(list(pairs)).tolist()
+        yield pd.Series([
+            None if text is None or row is None else [None if name is None else scores[pairs[text, name]] for name in row]
+            for text, row in zip(texts, names)
+        ], dtype=object)
 
 
 def indel_distance(a: Column, b: Column) -> Column:

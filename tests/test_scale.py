@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import fuzzy
 from corvane.operators import cells, knn, match
 
 
@@ -118,3 +119,17 @@ def test_children_beyond_the_bound_stay_in_their_tile(spark, counted, dedupe_fir
         rows = [i for i, p, t, kinds in tree if t == "op" and p in own and (r.kind is None or kinds)]
         v = np.array(r.op_vec) / np.linalg.norm(r.op_vec)
         assert found[r.request_id] == set(sorted(rows, key=lambda i: (round(1 - float(u[i] @ v), 9), i))[:100])
+
+
+def test_window_ratios_of_a_batch(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    word = lambda n: "".join(draw.choice(list("abcé日😀 "), n))
+    pairs = [(word(a), word(b)) for a in (0, 1, 2, 5, 63, 64, 65, 130) for b in (0, 1, 3, 20, 64, 70, 300) for _ in range(3)]
+    single = [fuzzy.best_window_ratio(a, b) for a, b in pairs]
+    calls = []
+    plain = fuzzy.best_window_ratio
+    monkeypatch.setattr(fuzzy, "best_window_ratio", lambda a, b: calls.append(min(len(a), len(b))) or plain(a, b))
+    assert fuzzy.best_window_ratios(pairs).tolist() == single and fuzzy.best_window_ratios([]).tolist() == []
+    assert all(n == 0 or n > 64 for n in calls)  # none else by itself
+    monkeypatch.setattr(fuzzy, "_CELLS", 500)
+    assert fuzzy.best_window_ratios(pairs).tolist() == single
