@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from corvane.functions.vectors import unit_rows
-from corvane.operators.knn import TILE, VALUES, rank_hits, tiled_topk
+from corvane.operators.knn import SPREAD, TILE, VALUES, rank_hits, tiled_topk
 from corvane.operators.skew import cut_lineage
 
 SAMPLE_ROWS = 16_384  # rows that the centroids are fitted on, at most
@@ -100,7 +100,8 @@ def build_cells(corpus: DataFrame, cells: int | None = None, sample: int = SAMPL
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("cosine").alias("near"), F.min("cosine").alias("far"))
     for r in stats.collect():  # at most MOST_CELLS rows
         counts[r["cell"]], near[r["cell"]], far[r["cell"]] = r["n"], r["near"], r["far"]
-    packs = pack_cells(counts, max(TILE, VALUES // max(1, centroids.shape[1])))
+    # Packs of a block, or of fewer rows for the cores of a small table.
+    packs = pack_cells(counts, max(TILE, min(VALUES // max(1, centroids.shape[1]), math.ceil(total / SPREAD))))
     of_cell = F.element_at(F.lit(packs.tolist() or [0]), F.col("cell") + 1).cast("int")
     return CellIndex(placed.drop("cosine").withColumn("pack", of_cell), centroids, counts, near, far, packs)
 
