@@ -190,6 +190,52 @@ def _tile_top(
     return pd.DataFrame(part)[names]
 
 
+class _Distinct:
+    """The ``k`` nearest items of each query by id (the smaller one of equal distances), as lists of hits come in."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.ids, self.dist = np.full((queries, k), -1, dtype=np.int64), np.full((queries, k), np.inf)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Hits of queries in ascending order."""
+        known = ((self.ids[rows] == ids[:, None]) & (self.dist[rows] <= dist[:, None])).any(axis=1)
+        rows, ids, dist = rows[~known], ids[~known], dist[~known]
+        if not len(rows):
+            return
+        own, first, count = np.unique(rows, return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(own)), count), np.arange(len(rows)) - np.repeat(first, count)
+        k, more = self.ids.shape[1], ((0, 0), (0, count.max()))
+        all_ids = np.pad(self.ids[own], more, constant_values=-1)
+        all_dist = np.pad(self.dist[own], more, constant_values=np.inf)
+        all_ids[place[0], k + place[1]], all_dist[place[0], k + place[1]] = ids, dist
+        order = np.lexsort((all_dist, all_ids))
+        all_ids, all_dist = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_dist, order, 1)
+        all_dist[:, 1:][all_ids[:, 1:] == all_ids[:, :-1]] = np.inf
+        order = np.lexsort((all_ids, all_dist))[:, :k]
+        self.ids[own], self.dist[own] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_dist, order, 1)
+
+
+def _tile_shared(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, codes: str, most: int, tile: int) -> pd.DataFrame:
+    """The best ``k`` of each query among the rows that share a bucket with it: each bucket of each table by itself."""
+    if queries.empty or corpus.empty:
+        return pd.DataFrame(columns=["query_id", "item_id", "distance"])
+    q, c = np.stack(queries["query_vec"].to_numpy()), np.stack(corpus["item_vec"].to_numpy())
+    of_query, of_item = (np.stack(side[codes].to_numpy()).astype(np.int64) for side in (queries, corpus))
+    ids, ranks = np.unique(corpus["item_id"].to_numpy(), return_inverse=True)
+    best = _Distinct(len(q), k)
+    for table in range(of_item.shape[1]):
+        order = np.argsort(of_item[:, table], kind="stable")
+        buckets, first = np.unique(of_item[order, table], return_index=True)
+        for bucket, cols in zip(buckets, np.split(order, first[1:])):
+            rows = np.flatnonzero(np.bitwise_count(of_query[:, table] ^ bucket) <= most)
+            nearest = _Nearest(q[rows], c[cols], ranks[cols], k, best.dist[rows, -1])
+            nearest.compare(np.arange(len(rows)), 0, len(cols), tile)
+            found, at, dist = nearest.top()
+            best.add(rows[found], ranks[cols[at]], dist)
+    rows, places = np.nonzero(np.isfinite(best.dist))
+    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[rows], "item_id": ids[best.ids[rows, places]], "distance": best.dist[rows, places]})
+
+
 def _schema(queries: DataFrame, corpus: DataFrame, carry: Sequence[str]) -> StructType:
     schema = StructType().add("query_id", queries.schema["query_id"].dataType)
     schema = schema.add("item_id", corpus.schema["item_id"].dataType).add("distance", "double")
@@ -215,13 +261,17 @@ def tiled_topk(
     most: str | None = None,
     member: str | None = None,
     values: int = VALUES,
+    codes: str | None = None,
+    sides: int = 0,
 ) -> DataFrame:
     """Up to ``k`` nearest items per query *within each tile*; the k nearest overall are among them.
 
     ``queries`` is ``(keys..., query_id, query_vec)``, ``corpus`` is ``(keys..., item_id, item_vec)``. An item may have
     several rows; with ``collapse`` it counts once, at the distance of its nearest row. ``most`` is a column of the
     queries: the greatest distance of a hit, null for any. ``member`` is a number of the corpus rows and a list of such
-    numbers in the queries: within its keys a query meets the rows whose number is in its list.
+    numbers in the queries: within its keys a query meets the rows whose number is in its list. ``codes`` is a list of
+    numbers on both sides, one a hash table: rows meet if at one place their numbers differ in at most ``sides`` bits, and
+    an item counts once.
 
     A block of a side has ``tile`` rows, or more as long as its vectors have at most ``values`` numbers: rows travel once
     for each block of the other side. Products are cut to ``tile`` rows of the corpus.
@@ -266,6 +316,8 @@ def tiled_topk(
     schema = _schema(queries, corpus, names)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if codes is not None:
+            return _tile_shared(left, right, k, codes, sides, tile)
         return _tile_top(left, right, keys, k, names, collapse, most, member, tile)
 
     return q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(work, schema)
@@ -340,6 +392,9 @@ def knn_lsh(
     quarter of the bits may differ, and there are as many tables (8 at least) as find a neighbour at ``FAR_SIDES`` with
     a probability of ``FOUND``, so the recall does not fall as the bits grow (see ``recall``). A full bucket is tiled
     like any other group, so no candidate is cut.
+
+    If a query visits as many buckets, over all tables, as a table has, a row travels once with its buckets of all tables
+    for each block of the other side, and buckets meet within the tile; otherwise it travels to each bucket.
     """
     if bits is None:
         bits = max(1, math.ceil(math.log2(max(2, corpus.count()) / tile)))
@@ -359,26 +414,27 @@ def knn_lsh(
     left, right = with_unit(queries, "query_vec"), with_unit(corpus, "item_vec")
     model = lsh.fit(right)
     sides = F.transform("__hash", lambda h: F.when(F.get(vector_to_array(h), F.lit(0)) < 0, F.lit(0)).otherwise(F.lit(1)))
-
     flips = [sum(1 << i for i in c) for n in range(min(probes, bits) + 1) for c in combinations(range(bits), n)]
 
     def pattern(row: Column) -> Column:
         return F.aggregate(row, F.lit(0).cast("bigint"), lambda code, side: code * 2 + side)
 
-    def probed(row: Column) -> Column:
-        code = pattern(row)
-        return F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), lambda flip: code.bitwiseXOR(flip))
+    def coded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        # Not a lambda over the tables: the optimiser would hash the row anew for each of them.
+        own = [pattern(F.slice("__sides", t * bits + 1, bits)) for t in range(tables)]
+        return model.transform(df).withColumn("__sides", sides).select(*columns, F.array(*own).alias("codes"))
 
-    def bucketed(df: DataFrame, columns: Sequence[str], patterns) -> DataFrame:
-        hashed = model.transform(df).withColumn("__sides", sides)
-        starts = F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table")
-        rows = hashed.select(*columns, "__sides", starts)
-        own = F.slice("__sides", F.col("table") * bits + 1, F.lit(bits))
-        return rows.select(*columns, "table", F.explode(patterns(own)).alias("bucket"))
+    def bucketed(df: DataFrame, columns: Sequence[str], patterns: Sequence[int]) -> DataFrame:
+        rows = df.select(*columns, F.posexplode("codes").alias("table", "code"))
+        every = F.transform(F.array(*[F.lit(f).cast("bigint") for f in patterns]), lambda flip: F.col("code").bitwiseXOR(flip))
+        return rows.select(*columns, "table", F.explode(every).alias("bucket"))
 
-    q = bucketed(left, ["query_id", "query_vec"], probed)
-    c = bucketed(right, ["item_id", "item_vec"], lambda row: F.array(pattern(row)))
-    hits = tiled_topk(q, c, k, ["table", "bucket"], tile=tile)
+    q, c = coded(left, ["query_id", "query_vec"]), coded(right, ["item_id", "item_vec"])
+    if tables * len(flips) >= 1 << bits:
+        hits = tiled_topk(q, c, k, [], tile=tile, codes="codes", sides=min(probes, bits))
+    else:
+        q, c = bucketed(q, ["query_id", "query_vec"], flips), bucketed(c, ["item_id", "item_vec"], [0])
+        hits = tiled_topk(q, c, k, ["table", "bucket"], tile=tile)
     return rank_hits(hits.groupBy("query_id", "item_id").agg(F.min("distance").alias("distance")), k)
 
 

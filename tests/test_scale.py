@@ -1,6 +1,7 @@
 """What the searches move and call, counted on small tables cut into small tiles; results against plain searches."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,36 @@ def test_a_hash_bucket_moves_by_blocks(spark, counted):
     assert counted[1].value <= 2 * (2 + 1) * 1500 + 2 * 8 * 1500
 
 
+def test_a_row_travels_once_with_its_buckets_of_all_tables(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), knn._tile_shared
+
+    def tile(left, right, *args):
+        seen.add(len(left) + len(right))
+        return plain(left, right, *args)
+
+    monkeypatch.setattr(knn, "_tile_shared", tile)
+    x, q, c = vectors(spark, 600)
+    got, exact = ranked(knn.knn_lsh(q, c, 5, tables=4, bits=3, probes=1, tile=200)), expected(x, 5)
+    assert 0 < seen.value <= 2 * 3 * 600
+    assert sum(len(set(a) & set(exact[i])) for i, a in got.items()) >= 0.9 * 5 * 600
+
+
+def test_rows_meet_only_in_shared_buckets():
+    draw = np.random.default_rng(5)
+    x, codes = draw.normal(size=(90, 6)), draw.integers(0, 16, (90, 2))
+    rows = {"query_id": np.arange(90), "item_id": np.arange(90), "query_vec": list(x), "item_vec": list(x), "codes": list(codes)}
+    frame = pd.DataFrame(rows)
+    got = knn._tile_shared(frame, pd.concat([frame, frame]), 4, "codes", 1, 7).groupby("query_id").item_id.agg(set)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(90):
+        every = set()
+        for t in range(2):
+            for bucket in {int(codes[i, t]) ^ f for f in (0, 1, 2, 4, 8)}:
+                near = sorted(np.flatnonzero(codes[:, t] == bucket), key=lambda j: (round(1 - u[i] @ u[j], 9), j))
+                every |= {int(j) for j in np.repeat(near, 2)[:4]}  # each row is there twice
+        assert got[i] == set(sorted(every, key=lambda j: (round(1 - u[i] @ u[j], 9), j))[:4])
+
+
 @pytest.mark.parametrize("exact", [True, False])
 def test_a_query_travels_once_for_each_pack_of_cells(spark, counted, exact):
     """Vectors without clusters: nearly every cell is visited, but no vector is sent to each of them."""
