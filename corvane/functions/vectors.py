@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KNOWN_WORDS = 1 << 17  # words whose digests a task keeps
+
 
 def dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -35,29 +37,41 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def hash_tokens(text: Column) -> Column:
-    """Lower-cased words (letters and digits) and word pairs of a text; none for null."""
-    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
-    last = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def hash_words(text: Column) -> Column:
+    """Lower-cased words (letters and digits) of a text; none for null."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
+
+
+def hash_counts(words: str, dim: int, known: dict[bytes, bytes]) -> np.ndarray:
+    """Signed counts of the words (parted by blanks) and pairs of words. ``known`` keeps the digests of words."""
+    each = words.encode().split()
+    digests = [known.get(w) or known.setdefault(w, md5(w).digest()) for w in each]
+    digests += [md5(pair).digest() for pair in map(b" ".join, zip(each, each[1:]))]
+    places = np.frombuffer(b"".join(digests), ">u4")[3::4] % np.uint32(2 * dim)
+    counts = np.bincount(places, minlength=2 * dim)
+    return counts[:dim] - counts[dim:]
 
 
 def hash_encode(df: DataFrame, text: str, out: str = "embedding", dim: int = 256) -> DataFrame:
-    """Signed hashed counts of words and word pairs, scaled to length one. Map-only, on the JVM.
+    """Signed hashed counts of words and word pairs, scaled to length one. Map-only: words by the JVM, counts by numpy.
 
     The last 8 hex digits of a token's md5, modulo 2 * dim, are its place, and from ``dim`` on its sign is minus.
     """
-    code = lambda t: (F.conv(F.substring(F.md5(t), 25, 8), 16, 10).cast("bigint") % (2 * dim)).cast("string")
-    coded = df.withColumn("__codes", F.transform(hash_tokens(F.col(text)), code))
-    # A fixed vocabulary of all codes counts them in one pass over the tokens.
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * dim)], inputCol="__codes", outputCol="__counts")
-    # The row number only keeps the optimiser from counting again in each place where the counts are used.
-    once = F.when(F.monotonically_increasing_id() >= 0, vector_to_array("__counts"))
-    counts = counter.transform(coded).withColumn("__n", once)
-    signed = F.zip_with(F.slice("__n", 1, dim), F.slice("__n", dim + 1, dim), lambda plus, minus: plus - minus)
-    unit = Normalizer(inputCol="__v", outputCol="__unit").transform(counts.withColumn("__v", array_to_vector(signed)))
-    return unit.withColumn(out, vector_to_array("__unit", "float32")).drop("__codes", "__counts", "__n", "__v", "__unit")
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[bytes, bytes] = {}
+        for batch in batches:
+            units = []
+            for words in batch:
+                counts = hash_counts(words, dim, known).astype(np.float64)
+                length = np.sqrt((counts * counts).sum())
+                units.append((counts * (1.0 / length if length else 1.0)).astype(np.float32))
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+            yield pd.Series(units, dtype=object)
+
+    return df.withColumn(out, encode(F.array_join(hash_words(F.col(text)), " ")))
 
 
 def batch_encode(

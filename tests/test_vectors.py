@@ -196,6 +196,17 @@ def test_hash_encoder_by_hand(spark):
         assert np.allclose(r.embedding, expected / length if length else expected, atol=1e-6)
 
 
+def test_a_word_is_hashed_once_a_task(monkeypatch):
+    from hashlib import md5
+
+    hashed, known = [], {}
+    monkeypatch.setattr(vectors, "md5", lambda token: hashed.append(token) or md5(token))
+    first = vectors.hash_counts("été a été", 16, known)
+    assert first.tolist() == vectors.hash_counts("été a été", 16, known).tolist() and abs(first).sum() <= 5
+    assert sorted(hashed) == sorted([w.encode() for w in ["été", "a", *["été a", "a été"] * 2]])
+    assert not vectors.hash_counts("", 16, known).any() and len(known) == 2
+
+
 def test_text_cosine(spark):
     df = spark.createDataFrame([(0, "a b c", "A, b; c"), (1, "a", "z"), (2, None, "a"), (3, "", "")], "i int, a string, b string")
     got = {r.i: r.similarity for r in embed.text_cosine(df, "a", "b", dim=1 << 12).collect()}
